@@ -134,7 +134,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train
         for ids, data, _ in pieces(batches):
             m = _measured(data)
             n = np.array([len((t or b"").split()) for t in data], np.float64)
-            s = np.where(n > 0, 1 / (1 + np.exp(-np.clip(features(m, n, dims) @ w[:-1] + w[-1], -30, 30)))), 0.0)
+            s = np.where(n > 0, 1 / (1 + np.exp(-np.clip(features(m, n, dims) @ w[:-1] + w[-1], -30, 30))), 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(votes(m).tolist(), pa.list_(pa.int32())), pa.array(s), pa.array(s >= reject)], ["doc_id", "votes", "score", "keep"])
 
     return docs.mapInArrow(run, "doc_id long, votes array<int>, score double, keep boolean")
