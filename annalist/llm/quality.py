@@ -41,7 +41,7 @@ def measures(t: bytes) -> tuple[float, ...]:
         sum(map(len, words)) / n,
         t.count(b"!") / n,
         len(_MARKED.findall(t)) / n,
-        (n - len(_SPELT.findall(t))) / n,
+        (n - len(_SPELT.findall(t))) / n if n >= 20 else np.nan,
         len(_DOUBLED.findall(t)) / n,
     )
 
@@ -61,7 +61,7 @@ def em(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarr
     """Posterior of "good" for each vote pattern, labellers' accuracies (labellers x 2: on bad, on good), share of good."""
     voted = patterns >= 0
     good = np.where(voted.any(1), ((patterns == 1).sum(1) + 0.5) / (voted.sum(1) + 1), 0.5)
-    good = np.where((patterns == 0).any(1), np.minimum(good, 0.4), good)
+    good = np.where((patterns == 0).any(1), np.minimum(good, 0.1), good)
     for _ in range(rounds):
         w1, w0 = n * good, n * (1 - good)
         share = np.clip((w1.sum() + 1) / (n.sum() + 2), 0.5, 0.99)
