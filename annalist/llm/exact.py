@@ -69,7 +69,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     # The bytes of all hits: grouped by the text itself within its digest.
     same = (
         source.select("doc_id", text.alias("text"), digest.alias("digest"), salt.alias("salt"))
-        .join(salted, ["digest", "salt"], "left_semi")
+        .join(salted.hint("merge"), ["digest", "salt"], "left_semi")  # hits grow with the input: never broadcast
         .groupBy("digest", "text").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("digest", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
