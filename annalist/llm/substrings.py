@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, gram_hashes, longs, mix, pieces, stored, texts, word_hashes
+from .common import SPACES, bitmap, gram_hashes, in_bitmap, longs, mix, pieces, stored, texts, word_hashes
 
 #: Prefix lengths tried, in words, and cells that count each.
 PREFIXES = (1, 2, 4, 8)
@@ -40,10 +40,11 @@ def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(data, np.uint8).reshape(size, n).T.copy().view(kind).ravel()
 
 
-def repeated_positions(docs: DataFrame, n_words: int = 13, group: int = GROUP, cells: int = CELLS, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
-    """(doc_id, positions): the suffixes whose first n_words words also start in a document with a smaller doc_id.
+def repeated_ranges(docs: DataFrame, n_words: int = 13, group: int = GROUP, cells: int = CELLS, prefixes: tuple[int, ...] = PREFIXES) -> DataFrame:
+    """(doc_id, runs): the word ranges (pairs of little-endian 32-bit start and end) covered by suffixes whose first n_words
+    words also start in a document with a smaller doc_id.
 
-    docs: (doc_id, text). Documents come in several rows, each with some of their positions. Null doc_id: left out.
+    docs: (doc_id, text). A document may come in several rows. Null doc_id: left out.
     Suffixes are told apart by 64-bit hashes of their words within a group.
     """
     spark = docs.sparkSession
@@ -113,11 +114,36 @@ def repeated_positions(docs: DataFrame, n_words: int = 13, group: int = GROUP, c
             pos.append(_unpacked(data[16 * n :], n, np.int32))
         return np.concatenate(full), np.concatenate(doc), np.concatenate(pos)
 
-    def by_doc(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
-        order = np.argsort(doc, kind="stable")
+    n_buckets = max(1, total // (4 * group))
+
+    def by_bucket(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+        """Marks for the task that will hold all of a document's: one row per bucket of documents."""
+        to = (mix(doc.view(np.uint64)) % np.uint64(n_buckets)).astype(np.int64)
+        order = np.lexsort((pos, doc, to))
+        doc, pos, to = doc[order], pos[order], to[order]
+        press, rows = zstandard.ZstdCompressor(level=1), []
+        cuts = np.flatnonzero(np.diff(to)) + 1
+        for a, b in zip([0, *cuts], [*cuts, len(to)], strict=True) if len(to) else ():
+            blob = _packed(np.diff(doc[a:b], prepend=0)).tobytes() + _packed(pos[a:b]).tobytes()
+            rows.append((int(to[a]), b - a, press.compress(blob)))
+        return pd.DataFrame(rows, columns=["bucket", "n", "blob"])
+
+    def ranges(doc: np.ndarray, pos: np.ndarray) -> pd.DataFrame:
+        order = np.lexsort((pos, doc))
         doc, pos = doc[order], pos[order]
-        cuts = np.flatnonzero(np.diff(doc, prepend=doc[0] - 1)) if len(doc) else np.empty(0, np.int64)
-        return pd.DataFrame({"doc_id": doc[cuts], "positions": [p.astype("<i4").tobytes() for p in np.split(pos, cuts[1:])] if len(doc) else []})
+        first = np.flatnonzero((np.diff(doc, prepend=~doc[:1]) != 0) | (np.diff(pos, prepend=0) > n_words))
+        last = np.append(first[1:], len(doc)) - 1
+        run = np.stack([pos[first], pos[last] + n_words], 1).astype("<i4")
+        head = np.flatnonzero(np.diff(doc[first], prepend=~doc[:1]))
+        return pd.DataFrame({"doc_id": doc[first][head], "runs": [r.tobytes() for r in np.split(run, head[1:])] if len(head) else []})
+
+    def gathered(g: pd.DataFrame) -> pd.DataFrame:
+        doc, pos = [], []
+        for n, blob in zip(g["n"], g["blob"], strict=True):
+            data = zstandard.ZstdDecompressor().decompress(blob)
+            doc.append(np.cumsum(_unpacked(data[: 8 * n], n, np.int64)))
+            pos.append(_unpacked(data[8 * n :], n, np.int32))
+        return ranges(np.concatenate(doc), np.concatenate(pos))
 
     def tree(g: pd.DataFrame) -> pd.DataFrame:
         full, doc, pos = opened(g)
@@ -127,7 +153,7 @@ def repeated_positions(docs: DataFrame, n_words: int = 13, group: int = GROUP, c
         size = np.diff(start, append=len(full))
         first = np.repeat(np.minimum.reduceat(doc, start), size)
         later = doc > first
-        return by_doc(doc[later], pos[later])
+        return by_bucket(doc[later], pos[later])
 
     def loose(batches):
         for b in batches:
@@ -135,54 +161,65 @@ def repeated_positions(docs: DataFrame, n_words: int = 13, group: int = GROUP, c
                 full, doc, pos = opened(pd.DataFrame([g]))
                 yield pa.RecordBatch.from_arrays([longs(full), pa.array(doc), pa.array(pos)], ["h", "doc_id", "pos"])
 
+    def gather(marks: DataFrame) -> DataFrame:
+        return marks.groupBy("bucket").applyInPandas(gathered, "doc_id long, runs binary")
+
     blobs = docs.mapInArrow(split, "g long, n long, base long, blob binary")
+    marks_type = "bucket long, n long, blob binary"
     if not common[-1].any():
-        return blobs.groupBy("g").applyInPandas(tree, "doc_id long, positions binary")
+        return gather(blobs.groupBy("g").applyInPandas(tree, marks_type))
     blobs = stored(blobs)
     rest = blobs.where("g < 0").mapInArrow(loose, "h long, doc_id long, pos int")
     first = rest.groupBy("h").agg(F.min("doc_id").alias("first"))
-    marks = rest.join(first, "h").where("doc_id > first")
+    late = rest.join(first, "h").where("doc_id > first").select("doc_id", "pos")
 
     def rows(batches):
         for b in batches:
-            yield pa.RecordBatch.from_pandas(by_doc(b.column(0).to_numpy(), b.column(1).to_numpy()), preserve_index=False)
+            yield pa.RecordBatch.from_pandas(by_bucket(b.column(0).to_numpy(), b.column(1).to_numpy()), preserve_index=False)
 
-    return (
-        blobs.where("g >= 0").groupBy("g").applyInPandas(tree, "doc_id long, positions binary")
-        .unionByName(marks.select("doc_id", "pos").mapInArrow(rows, "doc_id long, positions binary"))
-    )
+    return gather(blobs.where("g >= 0").groupBy("g").applyInPandas(tree, marks_type).unionByName(late.mapInArrow(rows, marks_type)))
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 13, **how) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 13, bits: int = 1 << 26, **how) -> DataFrame:
     """Remove each word covered by a window of n_words words that also starts in a document with a smaller id.
 
     Windows are judged on the input texts. One row per input row: doc_id, n_words, n_removed, kept_text (the kept words,
     joined by a space). Null or empty text: no words. Null doc_id: kept whole, and no document is smaller for its sake.
     Texts under n_words words: kept whole. Repeated rows: of the same id, so neither removes words of the other. Rows
-    that share an id but not a text: positions repeated in one of the texts go from all. A very long text is hashed in
+    that share an id but not a text: word positions repeated in one of the texts go from all. A very long text is hashed in
     pieces; its suffixes are dealt out like any. An empty table: no rows.
+    bits: size of the bitmap of documents with repeats, which only decides how many others are dealt out with them.
     """
     docs = texts(docs, id_col, text_col)
-    marks = repeated_positions(docs, n_words, **how).groupBy("doc_id").agg(F.collect_list("positions").alias("positions"))
+    marks = stored(repeated_ranges(docs, n_words, **how))
+    sieve = docs.sparkSession.sparkContext.broadcast(bitmap(marks, "doc_id", bits))
 
     def cut(batches):
         for ids, data, s in pieces(batches):
             out = []
-            for t, marked in zip(data, s.column(2).to_pylist(), strict=True):
+            for t, marked in zip(data, s.column(2).to_pylist() if s.num_columns > 2 else [None] * len(ids), strict=True):
                 words = t.split() if t else []
                 n = len(words)
                 if marked:
-                    at = np.concatenate([np.frombuffer(p, "<i4") for p in marked])
-                    at = at[at <= n - n_words]
-                    edge = np.zeros(n + 1, np.int64)
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + n_words, -1)
-                    words = [words[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0)]
+                    kept, at = [], 0
+                    for a, b in np.frombuffer(marked, "<i4").reshape(-1, 2).tolist():
+                        kept += words[at:a]
+                        at = b
+                    words = kept + words[at:]
                 out.append((n, n - len(words), b" ".join(words).decode()))
             n, gone, kept = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
 
-    return docs.join(marks, "doc_id", "left").select("doc_id", "text", "positions").mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_text string")
+    def sifted(batches, marked: bool):
+        for b in batches:
+            ids = b.column(0)
+            may = in_bitmap(sieve.value, bits, ids.fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield b.filter(pa.array(may == marked))
+
+    out = "doc_id long, n_words long, n_removed long, kept_text string"
+    # Only documents that may have marks are dealt out to meet them.
+    cutting = docs.mapInArrow(lambda b: sifted(b, True), "doc_id long, text string").join(marks.hint("merge"), "doc_id", "left").select("doc_id", "text", "runs")
+    return cutting.mapInArrow(cut, out).unionByName(docs.mapInArrow(lambda b: cut(sifted(b, False)), out))
 
 
 assert SPACES == b" \t\n\x0b\x0c\r"  # what bytes.split() splits on
