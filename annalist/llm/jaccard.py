@@ -9,6 +9,9 @@ costly shingles takes a longer one (l up to `most_match`) and is verified only w
 A shingle that few classes share gives all their pairs. One that many share gives a star around one of them; what the
 star leaves apart goes through further stars and then through a join bounded by the triangle inequality, which Jaccard
 distance obeys. So no link between two components is lost and no group's pairs are all made.
+
+Before two sets are fetched, their parity bitmaps are compared: each member of a set flips one bit, so two bitmaps differ
+in no more bits than the sets have members apart.
 """
 
 from __future__ import annotations
@@ -32,6 +35,15 @@ def _class_key(tokens: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(tokens ^ _SIG), dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
+#: Bits of a set's parity bitmap.
+PARITY = 4096
+
+
+def _parity(tokens: np.ndarray) -> bytes:
+    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
+
+
 def _ordered(tokens: np.ndarray, costly: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
     """A sorted set in the global order, costly shingles last, and how many are not costly."""
     late = in_bitmap(costly, bits, tokens)
@@ -59,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("a", "l")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(3, 4), lower: bool = True, most_match: int = 4, sample: int = 8, bits: int = 1 << 24, few: int = FEW, stars: int = 3) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(3, 4), lower: bool = True, most_match: int = 4, sample: int = 8, bits: int = 1 << 24, few: int = FEW, stars: int = 4) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of `least` or more between their sets of n-word shingles.
 
     One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
@@ -89,21 +101,22 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
                     yield pa.RecordBatch.from_arrays([longs(shingle_set(w, n))], ["t"])
 
     members = stored(docs.mapInArrow(classes, "doc_id long, n long, k long"))
-    costly_rows = docs.mapInArrow(sampled, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") >= few)
-    costly = spark.sparkContext.broadcast(bitmap(costly_rows, "t", bits))
+    costly_rows = docs.mapInArrow(sampled, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c >= 3")
+    first = spark.sparkContext.broadcast(bitmap(costly_rows, "t", bits))
 
-    def prefixes(batches):
+    def prefixes(batches, late):
         for _, got in sets(batches):
-            t, k, size = [], [], []
+            t, k, size, length = [], [], [], []
             for tokens in got:
                 if len(tokens):
-                    order, cheap = _ordered(tokens, costly.value, bits)
+                    order, cheap = _ordered(tokens, late.value, bits)
                     head = order[: _prefix(len(tokens), cheap, least, most_match)[0]]
                     t.append(head)
                     k.append(np.full(len(head), _class_key(tokens), np.int64))
                     size.append(np.full(len(head), len(tokens), np.int32))
+                    length.append(np.full(len(head), len(head), np.int32))
             if t:
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate(t)), pa.array(np.concatenate(k)), pa.array(np.concatenate(size))], ["t", "k", "n"])
+                yield pa.RecordBatch.from_arrays([longs(np.concatenate(t)), pa.array(np.concatenate(k)), pa.array(np.concatenate(size)), pa.array(np.concatenate(length))], ["t", "k", "n", "len"])
 
     def buckets(batches):
         """Of rows sorted by (t, k): pairs (t = null) of classes sharing a rare shingle; members (t, hub, member) of common ones. Holds `few` rows at a time."""
@@ -111,30 +124,30 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         out: list[tuple] = []
 
         def pairs():
-            out.extend((None, a, b, na, nb) for i, (a, na) in enumerate(held) for b, nb in held[i + 1 :] if q * min(na, nb) >= p * max(na, nb))
+            out.extend((None, a, b, na, nb, la, lb) for i, (a, na, la) in enumerate(held) for b, nb, lb in held[i + 1 :] if q * min(na, nb) >= p * max(na, nb))
 
         def batch():
-            b = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 5, (pa.int64(),) * 3 + (pa.int32(),) * 2, strict=True)], ["t", "a", "b", "na", "nb"])
+            b = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 7, (pa.int64(),) * 3 + (pa.int32(),) * 4, strict=True)], ["t", "a", "b", "na", "nb", "la", "lb"])
             out.clear()
             return b
 
         for b in batches:
-            ts, ks, ns = (b.column(i).to_numpy() for i in range(3))
+            ts, ks, ns, ls = (b.column(i).to_numpy() for i in range(4))
             # Only shingles met twice in a row matter; the first and last may go on in the neighbouring batches.
             same = np.flatnonzero(np.concatenate([[True], ts[1:] == ts[:-1]]) | np.concatenate([ts[1:] == ts[:-1], [True]]))
-            for t, k, size in zip(ts[same].tolist(), ks[same].tolist(), ns[same].tolist(), strict=True):
+            for t, k, size, length in zip(ts[same].tolist(), ks[same].tolist(), ns[same].tolist(), ls[same].tolist(), strict=True):
                 if t != now:
                     if not hub:
                         pairs()
-                    now, held, hub = t, [(k, size)], None
+                    now, held, hub = t, [(k, size, length)], None
                 elif hub:
                     if k != last:
-                        out.append((t, hub[0], k, hub[1], size))
+                        out.append((t, hub[0], k, hub[1], size, hub[2], length))
                 elif k != held[-1][0]:
-                    held.append((k, size))
+                    held.append((k, size, length))
                     if len(held) > few:
                         hub = held[0]
-                        out.extend((t, hub[0], m, hub[1], s) for m, s in held[1:])
+                        out.extend((t, hub[0], m, hub[1], s, hub[2], x) for m, s, x in held[1:])
                 last = k
             if len(out) > 10_000:
                 yield batch()
@@ -142,27 +155,46 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             pairs()
         yield batch()
 
-    rows = docs.mapInArrow(prefixes, "t long, k long, n int").repartition("t").sortWithinPartitions("t", "k")
-    near = stored(rows.mapInArrow(buckets, "t long, a long, b long, na int, nb int"))
-    fits = f"{q} * least(na, nb) >= {p} * greatest(na, nb)"
-    common = stored(near.where("t is not null").select("t", F.col("a").alias("hub"), F.col("b").alias("k"), F.col("na").alias("hub_n"), F.col("nb").alias("n")))
-    in_common = common.select("hub").union(common.select("k")).distinct()
+    def shared(late) -> DataFrame:
+        rows = docs.mapInArrow(lambda b: prefixes(b, late), "t long, k long, n int, len int").repartition("t").sortWithinPartitions("t", "k")
+        return rows.mapInArrow(buckets, "t long, a long, b long, na int, nb int, la int, lb int")
 
-    pairs = stored(near.where(fits).select("a", "b").distinct())
+    # Shingles that many prefixes share all the same are costly too, and go last in a second pass.
+    again = bitmap(shared(first).where("t is not null").select("t").distinct(), "t", bits)
+    costly = spark.sparkContext.broadcast(first.value | again)
+    near = stored(shared(costly))
+    fits = f"{q} * least(na, nb) >= {p} * greatest(na, nb)"
+    common = near.where("t is not null").select("t", F.col("a").alias("hub"), F.col("b").alias("k"), F.col("na").alias("hub_n"), F.col("nb").alias("n"), F.col("la").alias("hub_len"), F.col("lb").alias("len"))
+    # All pairs of rare shingles are made. So two classes that meet in common ones only share none of their prefixes' others.
+    within_common = common.select("t", "k", "n", "len").union(common.select("t", "hub", "hub_n", "hub_len")).distinct()
+    may_share = stored(within_common.groupBy("k", "n", "len").agg(F.count(F.lit(1)).alias("c")).select("k", (F.col("n") - F.col("len") + F.col("c")).alias("most")))
+    common = stored(common.drop("len", "hub_len").join(may_share, "k").join(may_share.select(F.col("k").alias("hub"), F.col("most").alias("hub_most")), "hub"))
+    in_common = may_share.select("k")
+    # The least overlap of sets of m and n members is p (m + n) / (p + q).
+    enough = f"{p + q} * least(ma, mb) >= {p} * (na + nb)"
+
+    stars_ = common.select(F.col("hub").alias("a"), F.col("k").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"), F.col("hub_most").alias("ma"), F.col("most").alias("mb"))
+    pairs = stored(near.where("t is null").select("a", "b").union(stars_.where(f"{fits} and {enough}").select("a", "b")).distinct())
     wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(in_common).distinct()
-    needed = spark.sparkContext.broadcast(bitmap(wanted, "k", bits))
+    firsts = members.where("k is not null").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(wanted.hint("merge"), "k", "left_semi")
+    needed = spark.sparkContext.broadcast(bitmap(firsts, "d", bits))
 
     def contents(batches):
-        done: set[int] = set()
-        for _, got in sets(batches):
-            keys = [(_class_key(t), t) for t in got if len(t)]
-            may = in_bitmap(needed.value, bits, np.array([k for k, _ in keys], np.int64).view(np.uint64)) if keys else []
-            keys = [x for x, m in zip(keys, may, strict=True) if m and x[0] not in done]
-            if len(done) < 1_000_000:
-                done.update(k for k, _ in keys)
-            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.int64()), pa.array([t.tobytes() for _, t in keys], pa.binary())], ["k", "tokens"])
+        """Sets of each wanted class's first document, and of a few others that the bitmap lets by."""
+        for ids, got in sets(batches):
+            may = in_bitmap(needed.value, bits, np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64)) if ids else []
+            keep = [t for t, m in zip(got, may, strict=True) if m and len(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([_class_key(t) for t in keep], pa.int64()), pa.array([len(t) for t in keep], pa.int64()), pa.array([_parity(t) for t in keep], pa.binary()), pa.array([t.tobytes() for t in keep], pa.binary())], ["k", "n", "parity", "tokens"])
 
-    content = stored(docs.mapInArrow(contents, "k long, tokens binary").join(wanted, "k", "left_semi").groupBy("k").agg(F.min("tokens").alias("tokens")))
+    content = stored(docs.mapInArrow(contents, "k long, n long, parity binary, tokens binary"))
+    light = content.select("k", "n", "parity")
+
+    def compared(batches):
+        """(a, b, total, apart) of rows (a, b, total, parity, parity): at least how many members the sets have apart."""
+        for b in batches:
+            pa_, pb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in (3, 4))
+            apart = np.bitwise_count(pa_ ^ pb).sum(1).astype(np.int64) if len(pa_) else np.empty(0, np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(apart)], ["a", "b", "total", "apart"])
 
     def judged(batches):
         """Rows (a, b, tokens) sorted by a, a's own set first (b null): (a, b, inter, total)."""
@@ -187,42 +219,61 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 4)], ["a", "b", "inter", "total"])
 
     def verify(found: DataFrame, salts: int = 4) -> DataFrame:
-        """(a, b, inter, total) of pairs; inter is null where the prefixes rule a link out."""
+        """(a, b, low, high, linked) of pairs: bounds of their distance, equal if both sets were compared."""
+        met = found.join(light.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")).hint("merge"), "a")
+        met = met.join(light.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")).hint("merge"), "b")
+        held = stored(met.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "pa", "pb").mapInArrow(compared, "a long, b long, total long, apart long").distinct())
+        # Sets of m and n members with a similarity of p / q have (m + n) (q - p) / (q + p) members apart.
+        may = f"{q + p} * apart <= {q - p} * total"
+        far = held.where(f"not ({may})").select("a", "b", F.expr("2 * apart / (total + apart)").alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
+        if held.where(may).isEmpty():
+            return stored(far)
         salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-        others = found.join(content.withColumnRenamed("k", "b"), "b").select("a", "b", "tokens", salt.alias("salt"))
-        own = others.select("a", "salt").distinct().join(content.withColumnRenamed("k", "a"), "a").select("a", F.lit(None).cast("long").alias("b"), "tokens", "salt")
+        others = held.where(may).select("a", "b").join(content.select(F.col("k").alias("b"), "tokens").hint("merge"), "b").select("a", "b", "tokens", salt.alias("salt"))
+        pairs_ = held.where(may).select("a", salt.alias("salt")).distinct()
+        own = pairs_.join(content.select(F.col("k").alias("a"), "tokens").hint("merge"), "a").select("a", F.lit(None).cast("long").alias("b"), "tokens", "salt")
         together = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        return stored(together.select("a", "b", "tokens").mapInArrow(judged, "a long, b long, inter long, total long"))
+        exact = together.select("a", "b", "tokens").mapInArrow(judged, "a long, b long, inter long, total long")
+        d = 1 - F.col("inter") / (F.col("total") - F.col("inter"))
+        exact = exact.select("a", "b", F.coalesce(d, F.lit(1 - p / q)).alias("low"), F.coalesce(d, F.lit(1.0)).alias("high"), F.coalesce(F.expr(f"{q} * inter >= {p} * (total - inter)"), F.lit(False)).alias("linked"))
+        return stored(exact.distinct().unionByName(far))
 
-    linked = f"{q} * inter >= {p} * (total - inter)"
     checked = verify(pairs)
-    edges = checked.where(linked).select("a", "b")
+    edges = checked.where("linked").select("a", "b")
     named = components(edges)
 
     def labels(df: DataFrame, key: str, name: str) -> DataFrame:
         return df.join(named.select(F.col("node").alias(key), F.col("component").alias("c_")), key, "left").withColumn(name, F.coalesce("c_", key)).drop("c_")
 
-    # What the stars left apart. Members with their distance from the hub; null: not known, kept.
-    distance = checked.select(F.col("a").alias("hub"), F.col("b").alias("k"), (1 - F.col("inter") / (F.col("total") - F.col("inter"))).alias("d"))
-    around = stored(common.join(distance, ["hub", "k"], "left"))
+    # What the stars left apart. Members with bounds of their distance from the hub; null: not compared.
+    distance = checked.select(F.col("a").alias("hub"), F.col("b").alias("k"), "low", "high")
+    members_of = common.join(distance, ["hub", "k"], "left").select("t", "hub", "k", "n", "most", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+    around = stored(members_of)
+    within = 1 - p / q + 1e-9
     for star in range(stars + 1):
         now = labels(labels(around, "hub", "hub_c"), "k", "c")
         apart = stored(now.where("c <> hub_c"))
         if apart.isEmpty():
             break
         open_ = apart.select("t").distinct()
-        if star < stars:  # another hub out of the first one's component, met by all that is apart
-            hubs = now.join(open_, "t", "left_semi").where("c = hub_c").groupBy("t").agg(F.min(F.struct(F.xxhash64("k", F.lit(star)), "k", "n")).alias("h")).select("t", F.col("h.k").alias("a"), F.col("h.n").alias("na"))
-            found = apart.select("t", F.col("k").alias("b"), F.col("n").alias("nb")).join(hubs, "t").where(f"a <> b and {fits}").select("a", "b").distinct()
+        rest = now.join(open_, "t", "left_semi")
+        y = apart if star == stars else rest
+        y = y.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("c").alias("ca"))
+        if star < stars:  # a few other hubs of the bucket, met by all members of other components
+            pick = F.min(F.struct(F.xxhash64("k", F.lit(star)), "k", "n", "most", "low", "high", "c")).alias("h")
+            hubs = rest.groupBy("t", F.pmod(F.xxhash64(F.lit(star), "k"), F.lit(few))).agg(pick)
+            z = hubs.select("t", F.col("h.k").alias("b"), F.col("h.n").alias("nb"), F.col("h.most").alias("mb"), F.col("h.low").alias("lb"), F.col("h.high").alias("hb"), F.col("h.c").alias("cb"))
         else:
-            x = now.join(open_, "t", "left_semi").select("t", "k", "n", "d", "c")
-            y = apart.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"), F.col("c").alias("ca"))
-            z = x.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"), F.col("c").alias("cb"))
-            apart_by = F.coalesce(F.abs(F.col("da") - F.col("db")), F.lit(0.0)) <= 1 - p / q + 1e-9
-            found = y.join(z, "t").where(f"a <> b and ca <> cb and {fits}").where(apart_by).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = verify(stored(found.join(checked.select("a", "b"), ["a", "b"], "left_anti")))
+            z = rest.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("c").alias("cb"))
+        met = y.join(z, "t").where(f"a <> b and ca <> cb and {fits} and {enough} and la - hb <= {within} and lb - ha <= {within}")
+        more_pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        more_pairs = stored(more_pairs.join(known, ["a", "b"], "left_anti"))
+        if more_pairs.isEmpty():
+            continue
+        more = verify(more_pairs)
         checked = checked.unionByName(more)
-        if not (new := more.where(linked)).isEmpty():
+        if not (new := more.where("linked")).isEmpty():
             edges = stored(edges.unionByName(new.select("a", "b")))
             named = components(edges)
 
