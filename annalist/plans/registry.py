@@ -1,5 +1,292 @@
-"""The operators as queries over the given tables, and their SQL."""
+"""The operators as queries over the given tables, and their SQL. Plays are events, event headers and lines are orders and lineitems, titled items are parts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-FLAGSHIP = "p2_most_played"
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from annalist.functions import text, times
+from annalist.operators import relational as R
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+FLAGSHIP = "w3_rank_moves"
+#: The latest week of events and the one before.
+PREVIOUS, START, END = "2024-01-17", "2024-01-24", "2024-01-31"
+
+
+def query(sql: str) -> Callable:
+    def add(f):
+        QUERIES[f.__name__] = lambda spark, d: f(lambda name: spark.read.parquet(f"{d}/{name}.parquet"))
+        ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- filters, sorts --------------------------------------------------------------------------
+
+@query("SELECT event_id, user_id, CASE WHEN value < 0 THEN 'negative' WHEN ts < TIMESTAMP '2024-01-02' THEN 'early' WHEN user_id IS NULL THEN 'nobody' END AS reason FROM events")
+def f1_split_valid(t):
+    rules = {"negative": F.col("value") < 0, "early": F.col("ts") < F.lit("2024-01-02").cast("timestamp_ntz"), "nobody": F.col("user_id").isNull()}
+    return R.split_valid(t("events"), rules).select("event_id", "user_id", "reason")
+
+
+@query("SELECT event_id, user_id FROM events WHERE ts >= TIMESTAMP '2024-01-24' AND ts < TIMESTAMP '2024-01-31'")
+def f3_in_period(t):
+    return times.in_period(t("events"), "ts", START, END).select("event_id", "user_id")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 're') OR contains(lower(p_type), 're')")
+def f4_text_search(t):
+    return R.text_search(t("part"), ["p_name", "p_type"], "Re").select("p_partkey", "p_name")
+
+
+@query("SELECT c_custkey FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_nationkey IN (1, 2, 3, 4, 5)")
+def f5_facet_filter(t):
+    return R.facet_filter(t("customer"), {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_nationkey": [1, 2, 3, 4, 5]}).select("c_custkey")
+
+
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+def f8_where_missing(t):
+    return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+
+
+@query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 50")
+def f10_page(t):
+    return R.page(t("customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], 3, 25).select("c_custkey", "c_acctbal")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(p_name, '^[Tt][Hh][Ee]\\s+', '')) AS sort_key, CASE WHEN upper(substr(p_name, 1, 1)) BETWEEN 'A' AND 'Z' THEN upper(substr(p_name, 1, 1)) ELSE '#' END AS letter FROM part")
+def t3_article_key(t):
+    return t("part").select("p_partkey", text.article_key(F.col("p_name")).alias("sort_key"), text.letter(F.col("p_name")).alias("letter"))
+
+
+@query("SELECT p_brand, p_partkey, p_retailprice FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_partkey) AS r FROM part) WHERE r = 1 ORDER BY p_retailprice DESC, p_brand LIMIT 10")
+def t4_diverse_top(t):
+    return R.top_per_group(t("part"), "p_brand", [F.desc("p_retailprice"), F.asc("p_partkey")], 1).orderBy(F.desc("p_retailprice"), "p_brand").limit(10).select("p_brand", "p_partkey", "p_retailprice")
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY md5(p_partkey::VARCHAR || 'review'), p_partkey LIMIT 20")
+def t6_sample_by_hash(t):
+    return R.sample_by_hash(t("part"), "p_partkey", "review", 20).select("p_partkey", "p_name")
+
+
+# --- joins -----------------------------------------------------------------------------------
+
+@query("SELECT o_orderkey, c_name, n_name, r_name FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
+def j1_star(t):
+    return t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("o_orderkey", "c_name", "n_name", "r_name")
+
+
+@query("SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey) AS lines, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_returnflag = 'R') AS returned FROM part")
+def j2_with_activity(t):
+    lines = t("lineitem").withColumnRenamed("l_partkey", "p_partkey")
+    return R.with_activity(t("part").select("p_partkey"), {"lines": lines, "returned": lines.where("l_returnflag = 'R'")}, "p_partkey")
+
+
+@query("""SELECT a.event_type || ':' || (a.user_id % 50) AS item, b.event_type || ':' || (b.user_id % 50) AS other, count(DISTINCT a.event_id) AS n FROM events a JOIN events b
+ON a.user_id = b.user_id AND a.event_type <> b.event_type AND b.ts BETWEEN a.ts - INTERVAL 30 MINUTE AND a.ts + INTERVAL 30 MINUTE GROUP BY 1, 2 HAVING count(DISTINCT a.event_id) >= 2""")
+def j5_played_alongside(t):
+    e = t("events").withColumn("item", F.concat_ws(":", "event_type", (F.col("user_id") % 50).cast("string")))
+    return R.played_alongside(e, "item", "user_id", "ts")
+
+
+@query("""WITH e AS (SELECT o_custkey AS who, max(o_orderdate)::DATE AS d FROM orders GROUP BY 1)
+SELECT who, d, (SELECT count(*) FROM orders o WHERE o.o_custkey = who AND o.o_orderdate >= d - INTERVAL 90 DAY AND o.o_orderdate < d) AS before,
+(SELECT count(*) FROM orders o WHERE o.o_custkey = who AND o.o_orderdate >= d AND o.o_orderdate < d + INTERVAL 90 DAY) AS after FROM e""")
+def j6_before_after(t):
+    o = t("orders").select(F.col("o_custkey").alias("who"), "o_orderdate")
+    return R.before_after(o.groupBy("who").agg(F.max("o_orderdate").cast("date").alias("d")), o, "who", "d", "o_orderdate", 90)
+
+
+@query("""WITH s AS (SELECT o_custkey, o_orderkey, o_orderdate, list_distinct(list(l_suppkey % 10)) AS now FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL),
+w AS (SELECT *, coalesce(lag(now) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), []) AS was FROM s)
+SELECT o_custkey, o_orderkey, (len(now) - len(list_intersect(now, was)))::BIGINT AS added, len(list_intersect(now, was))::BIGINT AS kept, (len(was) - len(list_intersect(now, was)))::BIGINT AS dropped FROM w""")
+def j9_diff_with_previous(t):
+    lines = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).withColumn("item", F.col("l_suppkey") % 10)
+    return R.diff_with_previous(lines, "o_custkey", "o_orderkey", "item", "o_orderdate")
+
+
+@query("SELECT node, other, min(first) AS first FROM (SELECT l_partkey AS node, l_suppkey AS other, l_orderkey AS first FROM lineitem UNION ALL SELECT l_suppkey, l_partkey, l_orderkey FROM lineitem) GROUP BY 1, 2")
+def j10_links_of(t):
+    return R.links_of(t("lineitem"), "l_partkey", "l_suppkey", "l_orderkey")
+
+
+@query("""WITH a AS (SELECT p_name AS k, min(p_partkey) AS v FROM part WHERE p_size <= 10 GROUP BY 1), b AS (SELECT p_brand AS k, min(p_partkey) AS v FROM part WHERE p_size > 40 GROUP BY 1)
+SELECT p_partkey, coalesce(a.v, b.v) AS v, CASE WHEN a.v IS NOT NULL THEN 'name' WHEN b.v IS NOT NULL THEN 'brand' ELSE 'new' END AS rule FROM part LEFT JOIN a ON p_name = a.k LEFT JOIN b ON p_brand = b.k""")
+def j15_first_match(t):
+    p = t("part")
+    by = lambda c, d: d.groupBy(c).agg(F.min("p_partkey").alias("v"))
+    return R.first_match(p, [("name", by("p_name", p.where("p_size <= 10")), "p_name"), ("brand", by("p_brand", p.where("p_size > 40")), "p_brand")], "v").select("p_partkey", "v", "rule")
+
+
+# --- aggregates and windows ------------------------------------------------------------------
+
+@query("SELECT user_id, plays, round(plays / sum(plays) OVER (), 8) AS share, rank() OVER (ORDER BY plays DESC) AS rank FROM (SELECT user_id, count(*) AS plays FROM events GROUP BY 1)")
+def ag1_most_played(t):
+    return R.most_played(t("events"), "user_id").withColumn("share", F.round("share", 8))
+
+
+@query("SELECT o_custkey, child, n FROM (SELECT o_custkey, o_orderpriority AS child, count(*) AS n, row_number() OVER (PARTITION BY o_custkey ORDER BY count(*) DESC, o_orderpriority) AS r FROM orders GROUP BY 1, 2) WHERE r = 1")
+def ag2_best_child(t):
+    return R.best_child(t("orders"), "o_custkey", "o_orderpriority")
+
+
+@query("SELECT event_type, count(*) AS plays, count(DISTINCT user_id) AS users, strftime(min(ts), '%Y-%m-%d') AS first_day, strftime(max(ts), '%Y-%m-%d') AS last_day FROM events GROUP BY 1")
+def ag3_distinct_counts(t):
+    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("plays"), F.countDistinct("user_id").alias("users"), F.date_format(F.min("ts"), "yyyy-MM-dd").alias("first_day"), F.date_format(F.max("ts"), "yyyy-MM-dd").alias("last_day"))
+
+
+@query("SELECT o_custkey, count(*) AS plays FROM orders GROUP BY 1 HAVING min(o_orderdate) >= TIMESTAMP '1996-01-01' AND min(o_orderdate) < TIMESTAMP '1997-01-01'")
+def ag5_discovered(t):
+    return R.discovered(t("orders"), "o_custkey", "o_orderdate", "1996-01-01", "1997-01-01").select("o_custkey", "plays")
+
+
+@query(f"SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '{START}') AS now, count(*) FILTER (ts < TIMESTAMP '{START}') AS before FROM events WHERE ts >= TIMESTAMP '{PREVIOUS}' AND ts < TIMESTAMP '{END}' GROUP BY 1")
+def ag6_window_pair(t):
+    return R.window_pair(t("events"), "user_id", "ts", PREVIOUS, START, END)
+
+
+@query("SELECT event_type, round(sum(v) * count(*) / count(v), 2) AS total, count(v) < 0.98 * count(*) AS estimated FROM (SELECT event_type, CASE WHEN event_id % 10 <> 0 THEN value END AS v FROM events) GROUP BY 1")
+def ag8_scaled_total(t):
+    return R.scaled_total(t("events"), "event_type", F.when(F.col("event_id") % 10 != 0, F.col("value"))).withColumn("total", F.round("total", 2))
+
+
+@query("""SELECT 'c_mktsegment' AS facet, value, sum(n)::BIGINT AS n FROM (SELECT c_mktsegment AS value, count(*) AS n FROM customer WHERE c_nationkey IN (3, 4) GROUP BY 1 UNION ALL SELECT 'BUILDING', 0) GROUP BY value
+UNION ALL SELECT 'c_nationkey', value, sum(n)::BIGINT FROM (SELECT c_nationkey::VARCHAR AS value, count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1 UNION ALL SELECT '3', 0 UNION ALL SELECT '4', 0) GROUP BY value""")
+def ag12_facet_counts(t):
+    return R.facet_counts(t("customer"), ["c_mktsegment", "c_nationkey"], {"c_mktsegment": ["BUILDING"], "c_nationkey": [3, 4]})
+
+
+@query("SELECT CASE WHEN n = 1 THEN 'first' WHEN n <= 10 THEN '2-10' WHEN n <= 49 THEN '11-49' ELSE '50+' END AS bucket, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) GROUP BY 1")
+def ag14_familiarity(t):
+    return R.familiarity(t("events"), ["user_id", "event_type"], "ts", "event_id")
+
+
+@query(f"""WITH c AS (SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '{START}') AS now, count(*) FILTER (ts < TIMESTAMP '{START}') AS before FROM events WHERE ts >= TIMESTAMP '{PREVIOUS}' AND ts < TIMESTAMP '{END}' GROUP BY 1),
+n AS (SELECT user_id, now, rank() OVER (ORDER BY now DESC) AS rank_now FROM c WHERE now > 0), b AS (SELECT user_id, rank() OVER (ORDER BY before DESC) AS rank_before FROM c WHERE before > 0), f AS (SELECT user_id, min(ts) AS first FROM events GROUP BY 1)
+SELECT user_id, now AS plays, rank_now, rank_before, CASE WHEN rank_before IS NULL THEN CASE WHEN first >= TIMESTAMP '{START}' THEN 'new' ELSE 'back' END WHEN rank_now < rank_before THEN 'up' WHEN rank_now > rank_before THEN 'down' ELSE 'same' END AS move
+FROM n LEFT JOIN b USING (user_id) JOIN f USING (user_id)""")
+def w3_rank_moves(t):
+    return R.rank_moves(t("events"), "user_id", "ts", PREVIOUS, START, END)
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) OVER w AS \"of\", CASE WHEN l_linenumber = min(l_linenumber) OVER w THEN 'opener' WHEN l_linenumber = max(l_linenumber) OVER w THEN 'closer' ELSE 'middle' END AS role FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
+def w5_position_role(t):
+    return R.position_role(t("lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "of", "role")
+
+
+@query("""WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey ORDER BY day) = 1 THEN 0 ELSE 1 END AS b FROM d),
+i AS (SELECT *, sum(b) OVER (PARTITION BY o_custkey ORDER BY day) AS island FROM m)
+SELECT o_custkey, min(day)::VARCHAR AS first_day, max(day)::VARCHAR AS last_day, count(*) AS days, max(n) AS most FROM i GROUP BY o_custkey, island""")
+def w7_runs(t):
+    return R.runs(t("orders"), "o_custkey", "o_orderdate").withColumns({c: F.col(c).cast("string") for c in ("first_day", "last_day")})
+
+
+@query("""WITH d AS (SELECT DISTINCT o_custkey, o_orderdate::DATE AS d FROM orders), g AS (SELECT o_custkey, d - lag(d) OVER (PARTITION BY o_custkey ORDER BY d) AS gap, lag(d) OVER (PARTITION BY o_custkey ORDER BY d) AS since FROM d)
+SELECT o_custkey, gap::BIGINT AS gap, since::VARCHAR AS since FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY gap DESC, since) AS r FROM g WHERE gap IS NOT NULL) WHERE r = 1""")
+def w8_longest_gap(t):
+    return R.longest_gap(t("orders"), "o_custkey", "o_orderdate").withColumn("since", F.col("since").cast("string"))
+
+
+@query("SELECT p_brand, p_partkey, nth FROM (SELECT p_brand, p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS nth FROM part) WHERE nth <= 8")
+def w9_top_per_group(t):
+    return R.top_per_group(t("part"), "p_brand", [F.desc("p_size"), F.asc("p_partkey")], 8).select("p_brand", "p_partkey", F.col("nth").cast("long").alias("nth"))
+
+
+@query("""SELECT conv_id, turn, sum(b) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS run FROM (SELECT conv_id, turn, CASE WHEN role IS NOT DISTINCT FROM lag(role) OVER w AND lag(turn) OVER w IS NOT NULL THEN 0 ELSE 1 END AS b FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn))""")
+def w10_split_runs(t):
+    return R.split_runs(t("conversations"), "conv_id", "turn", "role").select("conv_id", "turn", "run")
+
+
+@query("SELECT s.d::DATE::VARCHAR AS day, coalesce(n, 0) AS n FROM (SELECT unnest(generate_series(min(o_orderdate)::DATE, max(o_orderdate)::DATE, INTERVAL 1 DAY)) AS d FROM orders) s LEFT JOIN (SELECT o_orderdate::DATE AS d, count(*) AS n FROM orders WHERE o_orderstatus = 'F' GROUP BY 1) o ON s.d = o.d WHERE s.d BETWEEN (SELECT min(o_orderdate) FROM orders WHERE o_orderstatus = 'F')::DATE AND (SELECT max(o_orderdate) FROM orders WHERE o_orderstatus = 'F')::DATE")
+def w11_zero_fill(t):
+    per = t("orders").where("o_orderstatus = 'F'").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    return times.zero_fill(per, "day", "n").withColumn("day", F.col("day").cast("string"))
+
+
+# --- sets, scalar expressions, time ----------------------------------------------------------
+
+@query("""WITH d AS (SELECT DISTINCT l_suppkey AS e, l_partkey AS k FROM lineitem), n AS (SELECT e, count(*) AS n FROM d GROUP BY 1)
+SELECT a, b, shared, round(shared / (x.n + y.n - shared), 8) AS jaccard FROM (SELECT p.e AS a, q.e AS b, count(*) AS shared FROM d p JOIN d q ON p.k = q.k AND p.e < q.e GROUP BY 1, 2 HAVING count(*) >= 2) m JOIN n x ON x.e = a JOIN n y ON y.e = b""")
+def u3_overlap(t):
+    return R.overlap(t("lineitem"), "l_suppkey", "l_partkey", 2).withColumn("jaccard", F.round("jaccard", 8))
+
+
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS g, l_suppkey % 25 AS m FROM lineitem), s AS (SELECT g, count(*) AS n FROM d WHERE g % 10 = 0 GROUP BY 1)
+SELECT x.g AS small, y.g AS big FROM d x JOIN d y ON x.m = y.m AND x.g <> y.g AND x.g % 10 = 0 JOIN s ON s.g = x.g GROUP BY x.g, y.g, s.n HAVING count(*) = s.n""")
+def u5_contained_in(t):
+    d = t("lineitem").select("l_orderkey", (F.col("l_suppkey") % 25).alias("m"), (F.col("l_orderkey") % 10 == 0).alias("small"))
+    return R.contained_in(d, "l_orderkey", "m", "small")
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS folded, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS compact FROM part")
+def s1_fold(t):
+    return t("part").select("p_partkey", text.fold(F.col("p_name")).alias("folded"), text.compact(F.col("p_name")).alias("compact"))
+
+
+@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 8) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.75")
+def s13_similarity(t):
+    p = t("part").select("p_partkey", "p_name", "p_brand")
+    s = text.similarity(F.col("x.p_name"), F.col("y.p_name"))
+    return p.alias("x").join(p.alias("y"), F.expr("x.p_brand = y.p_brand and x.p_partkey < y.p_partkey")).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), s.alias("similarity")).where("similarity >= 0.75").withColumn("similarity", F.round("similarity", 8))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H') AS hour_key, strftime(ts, '%Y-%m') AS month_key, hour(ts)::INTEGER AS hour, (isodow(ts) - 1)::INTEGER AS weekday, floor(date_diff('day', DATE '2024-01-10', ts::DATE) / 7)::BIGINT AS week FROM events")
+def s30_time_keys(t):
+    return times.time_keys(t("events"), "ts").select("event_id", "hour_key", "month_key", "hour", "weekday", times.weeks_from(F.col("ts").cast("date"), "2024-01-10").alias("week"))
+
+
+@query("SELECT p_type, round(ln(1 + (SELECT count(*) FROM part) / count(*)), 8) AS weight FROM part GROUP BY 1")
+def s35_tag_weights(t):
+    n = t("part").agg(F.count(F.lit(1)).alias("n"))
+    return t("part").groupBy("p_type").agg(F.count(F.lit(1)).alias("c")).join(F.broadcast(n), how="cross").select("p_type", F.round(F.log1p(F.col("n") / F.col("c")), 8).alias("weight"))
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def s36_typed_json(t):
+    return t("events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
+
+
+@query("SELECT o_custkey, substr(sha1(array_to_string(list_sort(list(o_orderkey::VARCHAR)), chr(10))), 1, 16) AS signature FROM orders GROUP BY 1")
+def s37_signatures(t):
+    return t("orders").groupBy("o_custkey").agg(text.signature(F.collect_list(F.col("o_orderkey").cast("string"))).alias("signature"))
+
+
+# --- duplicates and quality checks -----------------------------------------------------------
+
+@query("SELECT p_brand, p_name, count(*) AS n, min(p_partkey) AS first, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def d1_exact_groups(t):
+    ids = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
+    return t("part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"), ids.alias("ids")).where("n > 1")
+
+
+@query("""SELECT 'orders without customer' AS "check", count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lines without order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
+UNION ALL SELECT 'labels without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'customers without order', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
+def q1_referential_checks(t):
+    rules = [("orders without customer", "orders", "o_custkey", "customer", "c_custkey"), ("lines without order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels without document", "labels", "doc_id", "documents", "doc_id"), ("customers without order", "customer", "c_custkey", "orders", "o_custkey")]
+    out = None
+    for name, fact, a, dim, b in rules:
+        part = t(fact).select(F.col(a).alias("k")).join(t(dim).select(F.col(b).alias("k")), "k", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("""WITH m AS (SELECT p_partkey AS absorbed, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS canonical FROM part)
+SELECT l_orderkey, l_linenumber, canonical AS l_partkey, canonical <> l_partkey AS moved FROM lineitem JOIN m ON l_partkey = absorbed""")
+def m1_apply_merges(t):
+    first = t("part").groupBy("p_brand", "p_name").agg(F.min("p_partkey").alias("canonical"))
+    merges = t("part").join(first, ["p_brand", "p_name"]).where("p_partkey <> canonical").select("p_partkey", "canonical")
+    lines = t("lineitem").join(merges, F.col("l_partkey") == F.col("p_partkey"), "left")
+    return lines.select("l_orderkey", "l_linenumber", F.coalesce("canonical", "l_partkey").alias("l_partkey"), F.col("canonical").isNotNull().alias("moved"))
+
+
+@query("""WITH c AS (SELECT p_brand AS a, p_type AS tag, count(*) AS v FROM part GROUP BY 1, 2), q AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY v DESC, tag) AS r, max(v) OVER (PARTITION BY a) AS most FROM c)
+SELECT a AS p_brand, tag, v AS votes FROM q WHERE v >= 2 OR (most < 2 AND r = 1)""")
+def gn1_pick_tags(t):
+    votes = t("part").groupBy("p_brand", F.col("p_type").alias("tag")).agg(F.count(F.lit(1)).alias("votes"))
+    best = votes.groupBy("p_brand").agg(F.max("votes").alias("most"), F.min(F.struct((-F.col("votes")).alias("m"), "tag")).alias("b"))
+    return votes.join(best, "p_brand").where((F.col("votes") >= 2) | ((F.col("most") < 2) & (F.col("tag") == F.col("b.tag")))).select("p_brand", "tag", "votes")
