@@ -71,7 +71,7 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("a", "l")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(3, 4), lower: bool = True, most_match: int = 4, sample: int = 8, bits: int = 1 << 24, few: int = FEW, stars: int = 4) -> DataFrame:
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(3, 4), lower: bool = True, most_match: int = 4, sample: int = 8, bits: int = 1 << 24, few: int = FEW, stars: int = 1) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of `least` or more between their sets of n-word shingles.
 
     One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
@@ -265,7 +265,12 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             z = hubs.select("t", F.col("h.k").alias("b"), F.col("h.n").alias("nb"), F.col("h.most").alias("mb"), F.col("h.low").alias("lb"), F.col("h.high").alias("hb"), F.col("h.c").alias("cb"))
         else:
             z = rest.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("c").alias("cb"))
-        met = y.join(z, "t").where(f"a <> b and ca <> cb and {fits} and {enough} and la - hb <= {within} and lb - ha <= {within}")
+        once = "true"
+        if star == stars:  # a pair that meets in several buckets is made in the first of them
+            y = y.join(y.groupBy("a").agg(F.collect_set("t").alias("ta")), "a")
+            z = z.join(z.groupBy("b").agg(F.collect_set("t").alias("tb")), "b")
+            once = "t = array_min(array_intersect(ta, tb))"
+        met = y.join(z, "t").where(f"a <> b and ca <> cb and {fits} and {enough} and la - hb <= {within} and lb - ha <= {within} and {once}")
         more_pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         more_pairs = stored(more_pairs.join(known, ["a", "b"], "left_anti"))
