@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import annalist.plans.curation  # noqa: F401 (adds its queries)
 from annalist.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
