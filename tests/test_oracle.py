@@ -5,7 +5,8 @@ import os
 import duckdb
 import pytest
 
-import annalist.plans.curation  # noqa: F401 (adds its queries)
+import annalist.plans.curation
+import annalist.plans.entities  # noqa: F401 (both add their queries)
 from annalist.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
