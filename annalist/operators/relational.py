@@ -130,12 +130,16 @@ def most_played(df: DataFrame, key: str, n: int | None = None) -> DataFrame:
     return out.orderBy(F.desc("plays"), key).limit(n) if n else out
 
 
-def with_rank(df: DataFrame, score: str) -> DataFrame:
-    """Add rank: one more than the rows with a higher score. Only distinct scores are ordered."""
-    scores = df.groupBy(score).agg(F.count(F.lit(1)).alias("c_"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = scores.select(score, (F.coalesce(F.sum("c_").over(w), F.lit(0)) + 1).alias("rank"))
-    return df.join(ranks, score)
+def with_rank(df: DataFrame, score: str, buckets: int = 256) -> DataFrame:
+    """Add rank: one more than the rows with a higher score. Distinct scores are ordered within buckets between quantiles of them, after the sizes of the buckets above; the quantiles set the cost, not the result. Rows without a score have no rank and go."""
+    scores = df.where(F.col(score).isNotNull()).groupBy(score).agg(F.count(F.lit(1)).alias("c_"))
+    cuts = scores.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)]).alias("q_"))
+    scores = scores.crossJoin(F.broadcast(cuts)).select(score, "c_", F.size(F.filter("q_", lambda q: q > F.col(score))).alias("b_"))
+    above = scores.groupBy("b_").agg(F.sum("c_").alias("s_"))
+    above = above.select("b_", F.coalesce(F.sum("s_").over(Window.orderBy("b_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("above_"))
+    w = Window.partitionBy("b_").orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
+    ranks = scores.withColumn("r_", F.coalesce(F.sum("c_").over(w), F.lit(0))).join(F.broadcast(above), "b_")
+    return df.join(ranks.select(score, (F.col("above_") + F.col("r_") + 1).alias("rank")), score)
 
 
 def window_pair(df: DataFrame, key: str, ts: str, previous: str, start: str, end: str) -> DataFrame:
