@@ -26,3 +26,16 @@ def zero_fill(df: DataFrame, bucket: str, value: str, step: str = "INTERVAL 1 DA
     """Every bucket between the first and the last, with 0 where it is missing."""
     spine = df.agg(F.explode(F.expr(f"sequence(min({bucket}), max({bucket}), {step})")).alias(bucket))
     return spine.join(df, bucket, "left").select(bucket, F.coalesce(value, F.lit(0)).alias(value))
+
+
+def period_bounds(date: str, unit: str, offset: int = 0) -> Column:
+    """struct<start, end, previous>: the day, week (from Monday), month or year of a date, so many units later; [start, end) and the start of the one before."""
+    step = {"day": "INTERVAL 1 DAY", "week": "INTERVAL 7 DAY", "month": "INTERVAL 1 MONTH", "year": "INTERVAL 1 YEAR"}[unit]
+    start = F.date_trunc(unit, F.expr(f"CAST('{date}' AS TIMESTAMP_NTZ) + {offset} * {step}")).cast("date")
+    one = F.expr(step)
+    return F.struct(start.alias("start"), (start + one).cast("date").alias("end"), (start - one).cast("date").alias("previous"))
+
+
+def average_per(n: Column, start: Column, end: Column, as_of: Column) -> Column:
+    """n per day of the part of [start, end) that has passed, a day at least."""
+    return n / F.greatest(F.datediff(F.least(end, as_of), start), F.lit(1))

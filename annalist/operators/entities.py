@@ -230,3 +230,22 @@ def suggest_tags(sources: Mapping[str, DataFrame], have: DataFrame, hidden: Data
     for gone in (have, hidden):
         out = out.join(gone.select(entity, tag).distinct(), [entity, tag], "left_anti")
     return out.groupBy(entity, tag).agg(F.array_join(F.array_sort(F.collect_set("why_")), ", ").alias("reasons"))
+
+
+# --- compositions ----------------------------------------------------------------------------
+
+def fold_places(places: DataFrame, place: str, city: str, stage: str, n: str) -> DataFrame:
+    """(place, folded): a stage counts as the busiest place of its city that is none, ties by the smaller one; where there is none it stays itself."""
+    hall = places.where(~F.col(stage)).groupBy(city).agg(F.min_by(place, F.struct((-F.coalesce(F.col(n), F.lit(0))).alias("n"), place)).alias("hall_"))
+    return places.join(hall, city, "left").select(place, F.when(F.col(stage), F.coalesce("hall_", place)).otherwise(F.col(place)).alias("folded"))
+
+
+def compare_pairs(facts: DataFrame, actor: str, item: str, pairs: DataFrame) -> DataFrame:
+    """(a, b, shared, of_a, of_b) for given pairs (a, b): distinct items of each and of both. Only items of the pairs' actors are joined."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias(actor)).distinct()
+    s = facts.join(wanted, actor, "left_semi").select(actor, item).distinct()
+    n = s.groupBy(actor).agg(F.count(F.lit(1)).alias("n_"))
+    side = lambda k: s.select(F.col(actor).alias(k), item)
+    shared = pairs.join(side("a"), "a").join(side("b"), ["b", item]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    size = lambda k: n.select(F.col(actor).alias(k), F.col("n_").alias(f"of_{k}"))
+    return shared.join(size("a"), "a").join(size("b"), "b").select("a", "b", "shared", "of_a", "of_b")

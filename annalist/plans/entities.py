@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from annalist.functions import times
 from annalist.operators import entities as N
 from annalist.operators import relational as R
 from annalist.plans.registry import query
+from annalist.sources import tables
+from annalist.streaming import streams
 
 def rows():
     return F.count(F.lit(1))
@@ -309,3 +312,74 @@ def ag16_totals(t):
 def ag17_coverage(t):
     known, pending = F.count_if(F.col("p_size") > 10), F.count_if((F.col("p_size") <= 10) & (F.col("p_size") > 3))
     return t("part").groupBy("p_brand").agg(known.alias("known"), pending.alias("pending"), rows().alias("n"), F.round(100 * known / rows(), 1).alias("percent"))
+
+
+# --- compositions, sources and times over the given tables -----------------------------------
+
+@query("""WITH c AS (SELECT o_custkey AS k, CASE WHEN o_orderstatus = 'F' THEN NULL ELSE o_orderpriority END AS payload, o_orderdate, o_orderkey FROM orders), l AS (SELECT k, (array_agg(payload ORDER BY o_orderdate DESC))[1] AS payload, max(o_orderdate) AS f, count(*) FILTER (o_orderdate = m) AS ties FROM (SELECT *, max(o_orderdate) OVER (PARTITION BY k) AS m FROM c) GROUP BY 1)
+SELECT c_custkey, CASE WHEN l.k IS NULL OR datediff('day', f::DATE, DATE '2001-08-01') > CASE WHEN payload IS NULL THEN 30 ELSE 180 END THEN 'missing' WHEN payload IS NULL THEN 'none' ELSE 'found' END AS state FROM customer LEFT JOIN l ON k = c_custkey WHERE coalesce(ties, 1) = 1""")
+def a10_cache_lookup(t):
+    """Orders as answers of a cache, those of status F empty; customers whose two latest answers came together are left out, as either may count."""
+    c = t("orders").select(F.col("o_custkey").alias("c_custkey"), F.when(F.col("o_orderstatus") != "F", F.col("o_orderpriority")).alias("payload"), F.col("o_orderdate").alias("fetched_at"))
+    top = c.groupBy("c_custkey", "fetched_at").agg(rows().alias("n")).groupBy("c_custkey").agg(F.max_by("n", "fetched_at").alias("n")).where("n > 1")
+    return tables.cache_lookup(t("customer").select("c_custkey"), c, "c_custkey", "2001-08-01", 180, 30).join(top, "c_custkey", "left_anti").select("c_custkey", "state")
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT + i AS v FROM events, generate_series(0, 1) AS s(i)")
+def a12_explode_json(t):
+    """The number in each event's JSON, and the one after it, by way of a JSON array."""
+    n = F.get_json_object("props", "$.k").cast("long")
+    e = t("events").select("event_id", F.format_string("[%d, %d]", n, n + 1).alias("list"))
+    return tables.explode_json(e, "list", "bigint", "v")
+
+
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1")
+def x6_first_seen(t):
+    e = t("events").where("user_id is not null").select("user_id", "ts", "event_id")
+    return streams.first_seen(e, "user_id", "ts").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+
+
+@query("""SELECT event_type, count(*) FILTER (ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-29') AS now, count(*) FILTER (ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-01-22') AS before, round(count(*) FILTER (ts >= TIMESTAMP '2024-01-22' AND ts < TIMESTAMP '2024-01-29') / 3, 3) AS per_day FROM events GROUP BY 1""")
+def s29_period_bounds(t):
+    """The week of a Wednesday and the one before, and the average of its days so far."""
+    e = t("events").withColumn("p", times.period_bounds("2024-01-24", "week"))
+    now, before = (F.col("ts") >= F.col("p.start")) & (F.col("ts") < F.col("p.end")), (F.col("ts") >= F.col("p.previous")) & (F.col("ts") < F.col("p.start"))
+    g = e.groupBy("event_type").agg(F.count_if(now).alias("now"), F.count_if(before).alias("before"), F.any_value("p").alias("p"))
+    per = times.average_per(F.col("now"), F.col("p.start"), F.col("p.end"), F.lit("2024-01-25").cast("date"))
+    return g.select("event_type", "now", "before", F.round(per, 3).alias("per_day"))
+
+
+@query("""WITH a AS (SELECT o_orderkey AS id, 'merge' AS kind, o_orderdate AS "at" FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT l_orderkey, 'edit', max(l_shipdate) FROM lineitem GROUP BY 1) SELECT id, kind, "at" FROM a ORDER BY "at" DESC, kind, id LIMIT 200""")
+def m15_activity(t):
+    """A page of the newest entries of two histories."""
+    merges = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("merge").alias("kind"), F.col("o_orderdate").alias("at"))
+    edits = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").alias("at")).select("id", F.lit("edit").alias("kind"), "at")
+    return merges.unionByName(edits).orderBy(F.desc("at"), "kind", "id").limit(200)
+
+
+@query("""WITH n AS (SELECT s_nationkey AS city, s_suppkey AS place, coalesce(c, 0) AS c FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey), b AS (SELECT city, place AS hall FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY c DESC, place) AS r FROM n WHERE place % 3 <> 0) WHERE r = 1)
+SELECT place, CASE WHEN place % 3 = 0 THEN coalesce(hall, place) ELSE place END AS folded FROM n LEFT JOIN b USING (city)""")
+def p12_fold_places(t):
+    """A stage (every third supplier) counts as the busiest place of its city that is none."""
+    n = t("lineitem").groupBy(F.col("l_suppkey").alias("place")).agg(rows().alias("c"))
+    p = t("supplier").select(F.col("s_suppkey").alias("place"), F.col("s_nationkey").alias("city"), (F.col("s_suppkey") % 3 == 0).alias("stage")).join(n, "place", "left")
+    return N.fold_places(p, "place", "city", "stage", "c")
+
+
+@query("""WITH s AS (SELECT DISTINCT o_custkey % 20 AS actor, l_partkey AS item FROM orders JOIN lineitem ON l_orderkey = o_orderkey), n AS (SELECT actor, count(*) AS n FROM s GROUP BY 1)
+SELECT a.actor AS a, b.actor AS b, count(*) AS shared, any_value(x.n) AS of_a, any_value(y.n) AS of_b FROM s a JOIN s b USING (item) JOIN n x ON x.actor = a.actor JOIN n y ON y.actor = b.actor WHERE a.actor = 3 AND b.actor IN (5, 7) GROUP BY 1, 2""")
+def p13_compare_actors(t):
+    """Shared items of given pairs of actors, without pairing any others."""
+    s = t("orders").join(t("lineitem"), F.col("o_orderkey") == F.col("l_orderkey")).select((F.col("o_custkey") % 20).alias("actor"), F.col("l_partkey").alias("item"))
+    pairs = s.select(F.lit(3).cast("long").alias("a"), F.when(F.col("actor").isin(5, 7), F.col("actor")).alias("b")).where("b is not null").distinct()
+    return N.compare_pairs(s, "actor", "item", pairs)
+
+
+@query("""WITH m AS (SELECT p_brand, p_type, count(*) AS n, sum(p_size) AS w FROM part GROUP BY 1, 2), f AS (SELECT p_brand, p_type FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY n DESC, w DESC, p_type) AS r FROM m) WHERE r = 1)
+SELECT f.p_type AS tag, count(*) AS plays FROM lineitem JOIN part ON p_partkey = l_partkey JOIN f USING (p_brand) GROUP BY 1""")
+def w1_main_tag_mix(t):
+    """Each brand's main type, weighed by the lines of its parts."""
+    p = t("part")
+    main = p.groupBy("p_brand", "p_type").agg(rows().alias("n"), F.sum("p_size").alias("w")).groupBy("p_brand").agg(F.min_by("p_type", F.struct((-F.col("n")).alias("n"), (-F.col("w")).alias("w"), "p_type")).alias("tag"))
+    plays = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(rows().alias("plays"))
+    return plays.join(p.select("p_partkey", "p_brand"), "p_partkey").groupBy("p_brand").agg(F.sum("plays").alias("plays")).join(main, "p_brand").groupBy("tag").agg(F.sum("plays").alias("plays"))

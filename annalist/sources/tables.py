@@ -48,3 +48,39 @@ def publish(tables: Mapping[str, DataFrame], allow: Mapping[str, Sequence[str]],
             n = df.sparkSession.read.parquet(f"{folder}/{name}").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("table"), "n")
             out = n if out is None else out.unionByName(n)
     return out
+
+
+def parse_collection(raw: DataFrame, col: str = "json") -> DataFrame:
+    """Owned items of a nested collection record as the flat rows that the CSV gives: credits and labels joined, fields told apart by name. Records that are no JSON give nothing."""
+    named = "array<struct<name:string>>"
+    schema = f"struct<id:long,date_added:string,rating:int,basic_information:struct<title:string,year:int,artists:{named},labels:array<struct<name:string,catno:string>>,formats:array<struct<name:string,descriptions:array<string>>>>,fields:array<struct<name:string,value:string>>>"
+    r = raw.select(F.from_json(col, schema).alias("r")).where("r.id is not null")
+    joined = lambda c: F.array_join(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""), ", ")
+    field = lambda name: F.get(F.transform(F.filter("r.fields", lambda x: F.lower(x["name"]) == name), lambda x: x["value"]), F.lit(0))
+    b = "r.basic_information"
+    return r.select(F.col("r.id").alias("release_id"), F.col("r.date_added").alias("date_added"), F.nullif("r.rating", F.lit(0)).alias("rating"), F.col(f"{b}.title").alias("title"), F.nullif(f"{b}.year", F.lit(0)).alias("year"), joined(F.col(f"{b}.artists.name")).alias("artist"), joined(F.col(f"{b}.labels.name")).alias("label"), joined(F.col(f"{b}.labels.catno")).alias("catalog"), joined(F.flatten(F.transform(f"{b}.formats", lambda f: F.concat(F.array(f["name"]), F.coalesce(f["descriptions"], F.array().cast("array<string>")))))).alias("format"), field("media condition").alias("media"), field("sleeve condition").alias("sleeve"), field("notes").alias("notes"))
+
+
+def parse_event_lines(raw: DataFrame, col: str = "json") -> DataFrame:
+    """(event, date, actor, place, city, set, position, title, cover_of): the titles of every event, numbered over its sets; lines without a title have no number and are left out. A set without a name is "Encore" if it is one."""
+    song = "struct<name:string,cover:struct<name:string>>"
+    schema = f"id string,eventDate string,artist struct<name:string>,venue struct<name:string,city:struct<name:string>>,sets struct<`set`:array<struct<name:string,encore:int,song:array<{song}>>>>"
+    e = raw.select(F.from_json(col, schema).alias("e")).where("e.id is not null")
+    sets = F.transform("e.sets.set", lambda s: F.transform(F.filter(s["song"], lambda x: F.trim(x["name"]) != ""), lambda x: F.struct(F.coalesce(F.nullif(F.trim(s["name"]), F.lit("")), F.when(s["encore"].isNotNull(), "Encore")).alias("set"), F.trim(x["name"]).alias("title"), x["cover"]["name"].alias("cover_of"))))
+    head = [F.col("e.id").alias("event"), F.to_date("e.eventDate", "dd-MM-yyyy").alias("date"), F.col("e.artist.name").alias("actor"), F.col("e.venue.name").alias("place"), F.col("e.venue.city.name").alias("city")]
+    lines = e.select(*head, F.posexplode(F.flatten(F.filter(sets, lambda s: s.isNotNull()))).alias("position", "line"))
+    return lines.select("event", "date", "actor", "place", "city", "line.set", (F.col("position") + 1).alias("position"), "line.title", "line.cover_of")
+
+
+def explode_json(df: DataFrame, col: str, element: str, name: str) -> DataFrame:
+    """A row for each element of a JSON array in a text column, in place of that column; text that is no such array gives no rows."""
+    return df.withColumn(name, F.explode(F.from_json(col, f"array<{element}>"))).drop(col).where(F.col(name).isNotNull())
+
+
+def cache_lookup(df: DataFrame, cache: DataFrame, key: str, now: str, days: int, none_days: int) -> DataFrame:
+    """Add payload and state: found, none (looked up, nothing there) or missing. What was fetched more than `days` ago counts as missing, empty answers after `none_days`. cache (key, payload, fetched_at); of several entries the latest counts."""
+    age = F.lit(none_days) if days == none_days else F.when(F.col("payload").isNull(), none_days).otherwise(days)
+    alive = cache.groupBy(key).agg(F.max_by(F.struct("payload", "fetched_at"), "fetched_at").alias("c_")).select(key, "c_.payload", "c_.fetched_at")
+    alive = alive.where(F.datediff(F.lit(now).cast("date"), "fetched_at") <= age).select(key, "payload", F.lit(True).alias("in_"))
+    met = df.join(alive, key, "left")
+    return met.select(*df.columns, "payload", F.when(F.col("in_").isNull(), "missing").when(F.col("payload").isNull(), "none").otherwise("found").alias("state"))

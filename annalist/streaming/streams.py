@@ -45,3 +45,15 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", delay: s
     """(key, first, until, n): rows of a key with less than a gap between them; until is a gap after the last."""
     s = F.session_window(ts, gap)
     return _late(df, ts, delay).groupBy(key, s).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("session_window.start").alias("first"), F.col("session_window.end").alias("until"), "n")
+
+
+def first_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
+    """The first row of each key: by time in a table, as they come in a stream, which remembers every key."""
+    if df.isStreaming:
+        return df.dropDuplicates([key])
+    return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), ts).alias("r_")).select(*[key if c == key else F.col(f"r_.{c}").alias(c) for c in df.columns])
+
+
+def run_summary(batch: DataFrame, batch_id: int, key: str) -> DataFrame:
+    """(batch, n, keys, nameless): one row on a micro-batch; call it from foreachBatch and append the row."""
+    return batch.agg(F.lit(batch_id).alias("batch"), F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("keys"), F.count_if(F.col(key).isNull()).alias("nameless"))

@@ -63,3 +63,21 @@ def test_merge_chains_and_gate(spark):
     assert all(got[i] == 0 for i in range(1, 41)) and {got[100], got[101]} <= {100, 101}
     before, after = (spark.createDataFrame(x, "check string, n long") for x in ([("a", 1), ("b", 2)], [("a", 1), ("b", 3), ("c", 1)]))
     assert sorted(map(tuple, C.worsened(before, after).collect())) == [("b", 2, 3), ("c", 0, 1)]
+
+
+def test_first_seen_and_summary(spark, folder, tmp_path):
+    table = spark.read.parquet(folder)
+    plays = X.stream_plays(spark, folder, table.schema, files=1)
+    assert len(run(X.first_seen(plays, "user_id", "ts").select("user_id"), "append", "first", tmp_path)) == table.select("user_id").distinct().count()
+    assert X.run_summary(table, 7, "user_id").collect()[0][:2] == (7, table.count())
+
+
+def test_nested_sources(spark):
+    df = lambda *x: spark.createDataFrame([(v,) for v in x], "json string")
+    record = '{"id":5,"date_added":"2020-01-02","rating":0,"basic_information":{"title":"t","year":0,"artists":[{"name":"A"},{"name":" "},{"name":"B"}],"labels":[{"name":"L","catno":"c1"}],"formats":[{"name":"Vinyl","descriptions":["LP","RE"]},{"name":"CD"}]},"fields":[{"name":"Notes","value":"n"},{"name":"Media Condition","value":"VG"}]}'
+    (r,) = tables.parse_collection(df(record, "nothing", None)).collect()
+    assert tuple(r) == (5, "2020-01-02", None, "t", None, "A, B", "L", "c1", "Vinyl, LP, RE, CD", "VG", None, "n")
+    event = '{"id":"e","eventDate":"03-02-2021","artist":{"name":"A"},"venue":{"name":"V","city":{"name":"C"}},"sets":{"set":[{"song":[{"name":"x"},{"name":" "},{"name":"y","cover":{"name":"Z"}}]},{"encore":1,"song":[{"name":"w"}]}]}}'
+    got = tables.parse_event_lines(df(event, '{"id":"f"}', "nothing")).collect()
+    assert [(str(r.date), r.place, r.set, r.position, r.title, r.cover_of) for r in got] == [("2021-02-03", "V", None, 1, "x", None), ("2021-02-03", "V", None, 2, "y", "Z"), ("2021-02-03", "V", "Encore", 3, "w", None)]
+    assert [r.v for r in tables.explode_json(df("[1,2]", "x", None), "json", "int", "v").collect()] == [1, 2]
