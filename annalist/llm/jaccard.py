@@ -57,6 +57,11 @@ def _prefix(n: int, cheap: int, least: Fraction, most_match: int) -> tuple[int,
     return plain - 1 + match, match
 
 
+def _end(head: np.ndarray, cheap: int) -> int:
+    """Where in the global order a prefix ends, as a signed long: costly shingles are not negative. The last bit is lost, so ends may be equal."""
+    return int(head[-1] >> np.uint64(1)) - (0 if len(head) > cheap else 1 << 63)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): the smallest node reachable. Labels spread to neighbours and jump to their own labels until nothing changes."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -165,17 +170,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     near = stored(shared(costly))
     fits = f"{q} * least(na, nb) >= {p} * greatest(na, nb)"
     common = near.where("t is not null").select("t", F.col("a").alias("hub"), F.col("b").alias("k"), F.col("na").alias("hub_n"), F.col("nb").alias("n"), F.col("la").alias("hub_len"), F.col("lb").alias("len"))
-    # All pairs of rare shingles are made. So two classes that meet in common ones only share none of their prefixes' others.
+    # All pairs of rare shingles are made. So of two classes that meet in common ones only, the one whose prefix ends first
+    # in the global order shares none of its prefix's others: they would lie in the other's prefix too.
     within_common = common.select("t", "k", "n", "len").union(common.select("t", "hub", "hub_n", "hub_len")).distinct()
     may_share = stored(within_common.groupBy("k", "n", "len").agg(F.count(F.lit(1)).alias("c")).select("k", (F.col("n") - F.col("len") + F.col("c")).alias("most")))
-    common = stored(common.drop("len", "hub_len").join(may_share, "k").join(may_share.select(F.col("k").alias("hub"), F.col("most").alias("hub_most")), "hub"))
     in_common = may_share.select("k")
-    # The least overlap of sets of m and n members is p (m + n) / (p + q).
-    enough = f"{p + q} * least(ma, mb) >= {p} * (na + nb)"
-
-    stars_ = common.select(F.col("hub").alias("a"), F.col("k").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"), F.col("hub_most").alias("ma"), F.col("most").alias("mb"))
-    pairs = stored(near.where("t is null").select("a", "b").union(stars_.where(f"{fits} and {enough}").select("a", "b")).distinct())
-    wanted = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(in_common).distinct()
+    rare = stored(near.where("t is null").select("a", "b").distinct())
+    wanted = rare.select(F.col("a").alias("k")).union(rare.select("b")).union(in_common).distinct()
     firsts = members.where("k is not null").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(wanted.hint("merge"), "k", "left_semi")
     needed = spark.sparkContext.broadcast(bitmap(firsts, "d", bits))
 
@@ -184,10 +185,20 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         for ids, got in sets(batches):
             may = in_bitmap(needed.value, bits, np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64)) if ids else []
             keep = [t for t, m in zip(got, may, strict=True) if m and len(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_key(t) for t in keep], pa.int64()), pa.array([len(t) for t in keep], pa.int64()), pa.array([_parity(t) for t in keep], pa.binary()), pa.array([t.tobytes() for t in keep], pa.binary())], ["k", "n", "parity", "tokens"])
+            ends = []
+            for t in keep:
+                order, cheap = _ordered(t, costly.value, bits)
+                ends.append(_end(order[: _prefix(len(t), cheap, least, most_match)[0]], cheap))
+            yield pa.RecordBatch.from_arrays([pa.array([_class_key(t) for t in keep], pa.int64()), pa.array([len(t) for t in keep], pa.int64()), pa.array(ends, pa.int64()), pa.array([_parity(t) for t in keep], pa.binary()), pa.array([t.tobytes() for t in keep], pa.binary())], ["k", "n", "end", "parity", "tokens"])
 
-    content = stored(docs.mapInArrow(contents, "k long, n long, parity binary, tokens binary"))
+    content = stored(docs.mapInArrow(contents, "k long, n long, end long, parity binary, tokens binary"))
     light = content.select("k", "n", "parity")
+    may_share = stored(may_share.join(content.select("k", "end").distinct(), "k"))
+    common = stored(common.drop("len", "hub_len").join(may_share, "k").join(may_share.select(F.col("k").alias("hub"), F.col("most").alias("hub_most"), F.col("end").alias("hub_end")), "hub"))
+    # The least overlap of sets of m and n members is p (m + n) / (p + q).
+    enough = f"{p + q} * case when ea < eb then ma when eb < ea then mb else greatest(ma, mb) end >= {p} * (na + nb)"
+    stars_ = common.select(F.col("hub").alias("a"), F.col("k").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"), F.col("hub_most").alias("ma"), F.col("most").alias("mb"), F.col("hub_end").alias("ea"), F.col("end").alias("eb"))
+    pairs = stored(rare.union(stars_.where(f"{fits} and {enough}").select("a", "b")).distinct())
 
     def compared(batches):
         """(a, b, total, apart) of rows (a, b, total, parity, parity): at least how many members the sets have apart."""
@@ -247,7 +258,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     # What the stars left apart. Members with bounds of their distance from the hub; null: not compared.
     distance = checked.select(F.col("a").alias("hub"), F.col("b").alias("k"), "low", "high")
-    members_of = common.join(distance, ["hub", "k"], "left").select("t", "hub", "k", "n", "most", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
+    members_of = common.join(distance, ["hub", "k"], "left").select("t", "hub", "k", "n", "most", "end", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
     around = stored(members_of)
     within = 1 - p / q + 1e-9
     for star in range(stars + 1):
@@ -258,13 +269,13 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         open_ = apart.select("t").distinct()
         rest = now.join(open_, "t", "left_semi")
         y = apart if star == stars else rest
-        y = y.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("c").alias("ca"))
+        y = y.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("end").alias("ea"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("c").alias("ca"))
         if star < stars:  # a few other hubs of the bucket, met by all members of other components
-            pick = F.min(F.struct(F.xxhash64("k", F.lit(star)), "k", "n", "most", "low", "high", "c")).alias("h")
+            pick = F.min(F.struct(F.xxhash64("k", F.lit(star)), "k", "n", "most", "end", "low", "high", "c")).alias("h")
             hubs = rest.groupBy("t", F.pmod(F.xxhash64(F.lit(star), "k"), F.lit(few))).agg(pick)
-            z = hubs.select("t", F.col("h.k").alias("b"), F.col("h.n").alias("nb"), F.col("h.most").alias("mb"), F.col("h.low").alias("lb"), F.col("h.high").alias("hb"), F.col("h.c").alias("cb"))
+            z = hubs.select("t", F.col("h.k").alias("b"), F.col("h.n").alias("nb"), F.col("h.most").alias("mb"), F.col("h.end").alias("eb"), F.col("h.low").alias("lb"), F.col("h.high").alias("hb"), F.col("h.c").alias("cb"))
         else:
-            z = rest.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("c").alias("cb"))
+            z = rest.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("end").alias("eb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("c").alias("cb"))
         once = "true"
         if star == stars:  # a pair that meets in several buckets is made in the first of them
             y = y.join(y.groupBy("a").agg(F.collect_set("t").alias("ta")), "a")

@@ -1,0 +1,25 @@
+"""Inputs on which an operator once did less than its whole job."""
+
+import numpy as np
+import pytest
+
+from annalist.llm import jaccard
+
+
+def words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 1 << 40, n)]
+
+
+@pytest.mark.parametrize("copies", [30, 1000])
+def test_jaccard_appended(spark, copies):
+    """One text and copies that each append words: they are linked with it, not among themselves."""
+    rng = np.random.default_rng(copies)
+    body = words(rng, 84)
+    rows = [body, *(body + words(rng, 20) for _ in range(copies))]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in rows]
+    assert all(4 * len(sets[0] & s) >= 3 * len(sets[0] | s) for s in sets)
+    at = copies // 2  # the original is neither the first row nor the smallest id
+    rows[0], rows[at] = rows[at], rows[0]
+    df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in jaccard.link(df, sample=1).collect()}
+    assert got == {(i, 0) for i in range(len(rows))}
