@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from annalist.llm import jaccard
+from annalist.llm import decontaminate, jaccard
 
 
 def words(rng, n):
@@ -23,3 +23,28 @@ def test_jaccard_appended(spark, copies):
     df = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(rows)], "doc_id long, text string")
     got = {(r.doc_id, r.component_id) for r in jaccard.link(df, sample=1).collect()}
     assert got == {(i, 0) for i in range(len(rows))}
+
+
+def test_decontaminate_replaced(spark):
+    """Items with words replaced, near their ends too, against every stretch of every alignment."""
+    rng = np.random.default_rng(5)
+    items = {n: words(rng, n) for n in (5, 6, 7, 8, 9, 10, 11, 12, 13, 15, 20, 23, 40)}
+    pad, rows = words(rng, 30), []
+    for n, item in items.items():
+        tries = [{0}, {n - 1}, {1}, {1, n - 2}, {0, n // 2}, {1, n // 2, n - 2}, *(set(rng.choice(n, min(n, int(rng.integers(1, 1 + n // 3 + 1))), replace=False).tolist()) for _ in range(25))]
+        rows += [(n, pad + ["x" if i in gone else w for i, w in enumerate(item)] + pad) for gone in tries]
+
+    def found(doc, item):
+        need = min(12, len(item))
+        for shift in range(need - len(item), len(doc) - need + 1):
+            same = [0 <= i + shift < len(doc) and doc[i + shift] == w for i, w in enumerate(item)]
+            total = np.concatenate([[0], np.cumsum(same)])
+            if any(5 * (total[j] - total[i]) >= 4 * (j - i) for i in range(len(item)) for j in range(i + need, len(item) + 1) if 0 <= i + shift and j + shift <= len(doc)):
+                return True
+        return False
+
+    want = {(k, n) for k, (n, doc) in enumerate(rows) if found(doc, items[n])}
+    docs = spark.createDataFrame([(k, " ".join(doc)) for k, (_, doc) in enumerate(rows)], "doc_id long, text string")
+    got = decontaminate.overlaps(docs, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect()
+    assert len(want) < len(rows) and {(r.doc_id, r.item_id) for r in got} == want
+    assert all(r.n_words >= min(12, r.item_id) and 5 * r.n_same >= 4 * r.n_words for r in got)
