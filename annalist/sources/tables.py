@@ -78,9 +78,9 @@ def explode_json(df: DataFrame, col: str, element: str, name: str) -> DataFrame:
 
 
 def cache_lookup(df: DataFrame, cache: DataFrame, key: str, now: str, days: int, none_days: int) -> DataFrame:
-    """Add payload and state: found, none (looked up, nothing there) or missing. What was fetched more than `days` ago counts as missing, empty answers after `none_days`. cache (key, payload, fetched_at); of several entries the latest counts."""
+    """Add payload and state: found, none (looked up, nothing there) or missing. What was fetched more than `days` ago counts as missing, empty answers after `none_days`. cache (key, payload, fetched_at); of several entries the latest counts, of those of one time the one with the largest payload, an empty one last."""
     age = F.lit(none_days) if days == none_days else F.when(F.col("payload").isNull(), none_days).otherwise(days)
-    alive = cache.groupBy(key).agg(F.max_by(F.struct("payload", "fetched_at"), "fetched_at").alias("c_")).select(key, "c_.payload", "c_.fetched_at")
+    alive = cache.groupBy(key).agg(F.max_by(F.struct("payload", "fetched_at"), F.when(F.col("fetched_at").isNotNull(), F.struct("fetched_at", "payload"))).alias("c_")).select(key, "c_.payload", "c_.fetched_at")
     alive = alive.where(F.datediff(F.lit(now).cast("date"), "fetched_at") <= age).select(key, "payload", F.lit(True).alias("in_"))
     met = df.join(alive, key, "left")
     return met.select(*df.columns, "payload", F.when(F.col("in_").isNull(), "missing").when(F.col("payload").isNull(), "none").otherwise("found").alias("state"))
