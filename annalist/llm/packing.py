@@ -73,13 +73,18 @@ def _encoder(path: str, known_words: int):
 
 
 class Packer:
-    """Windows of `size` ids with a level array: counts[h] is the number of open windows filled to h."""
+    """Windows of `size` ids with a level array: counts[h] is the number of open windows filled to h.
 
-    def __init__(self, size: int, first: int, open_most: int = 4096) -> None:
-        self.size, self.next, self.most = size, first, open_most
-        self.counts = np.zeros(size + 1, np.int64)
+    A piece of s ids goes to the level h (0: a new window) that leaves the least sum of squared counts: one window goes
+    from h to h + s. Past the end of a window the piece is cut, and what is left over opens a window of its own, which
+    costs `cut` besides. So a level's count stays under about `cut` / 2 whatever the lengths of documents, and the number of open
+    windows has a bound. Of equal levels, the fullest.
+    """
+
+    def __init__(self, size: int, first: int, cut: int = 16) -> None:
+        self.size, self.next, self.cut = size, first, cut
+        self.counts = np.zeros(size, np.int64)
         self.open: dict[int, list[list]] = {}  # fill level -> open windows, each a list of (doc, start, ids, doc_tokens)
-        self.n_open = 0
         self.done: list[tuple] = []
 
     def _close(self, window: list) -> None:
@@ -89,53 +94,66 @@ class Packer:
             at += len(ids)
         self.next += 1
 
+    def _take(self, h: int) -> list:
+        self.counts[h] -= 1
+        return self.open[h].pop()
+
+    def _put(self, h: int, window: list) -> None:
+        self.counts[h] += 1
+        self.open.setdefault(h, []).append(window)
+
+    def _level(self, s: int, cut: int, new: bool) -> int:
+        """The level for a piece of s ids, under a whole window."""
+        h = np.flatnonzero(self.counts)
+        after = (h + s) % self.size
+        # Sums of squares change by 1 - 2 counts[h] where a window leaves and by 1 + 2 counts[h] where one enters; a full one enters nowhere.
+        cost = 1 - 2 * self.counts[h] + np.where(after > 0, 1 + 2 * self.counts[after], 0) + np.where(h + s > self.size, cut, 0)
+        if not len(h) or new and 1 + 2 * self.counts[s] < cost.min():
+            return 0
+        return int(h[len(h) - 1 - np.argmin(cost[::-1])])
+
+    def _place(self, piece: tuple, cut: int, new: bool) -> None:
+        doc, start, ids, total = piece
+        h = self._level(len(ids), cut, new)
+        window, room = self._take(h) if h else [], self.size - h
+        window.append((doc, start, ids[:room], total))
+        if len(ids) < room:
+            self._put(h + len(ids), window)
+            return
+        self._close(window)
+        if len(ids) > room:
+            rest = (doc, start + room, ids[room:], total)
+            if new:
+                self._put(len(ids) - room, [rest])
+            else:
+                self._place(rest, cut, new)
+
     def add(self, doc, ids: np.ndarray) -> None:
         total, size = len(ids), self.size
         whole = total - total % size
         for at in range(0, whole, size):
             self._close([(doc, at, ids[at : at + size], total)])
-        if s := total - whole:
-            # Moving a window from level h to h + s changes the sum of squares by 2 (1 - counts[h] + counts[h + s]).
-            gain = self.counts[: size + 1 - s] - self.counts[s:]
-            gain[0] = -self.counts[s] - (s < size)  # a new window leaves no level
-            gain[-1] += 1  # a full window enters none
-            usable = self.counts[: size + 1 - s] > 0
-            usable[0] = True
-            gain[~usable] = np.iinfo(np.int64).min
-            h = len(gain) - 1 - int(np.argmax(gain[::-1]))  # of equals, the fullest
-            if h:
-                window = self.open[h].pop()
-                self.counts[h] -= 1
-                self.n_open -= 1
-            else:
-                window = []
-            window.append((doc, whole, ids[whole:], total))
-            if h + s == size:
-                self._close(window)
-            else:
-                self.open.setdefault(h + s, []).append(window)
-                self.counts[h + s] += 1
-                self.n_open += 1
-                if self.n_open > self.most:
-                    self.join_open()
-
-    def join_open(self) -> None:
-        """Fill the open windows from one another, cutting documents: all come out full, but for a rest in windows of a power of two."""
-        rest = [list(x) for h in sorted(self.open, reverse=True) for w in self.open[h] for x in w]
-        self.open, self.n_open = {}, 0
-        self.counts[:] = 0
-        left = sum(len(x[2]) for x in rest)
-        window, room = [], 0
-        for doc, start, ids, total in rest:
-            while len(ids):
-                if not room:
-                    room = self.size if left >= self.size else 1 << (left.bit_length() - 1)
-                part, ids = ids[:room], ids[room:]
-                window.append((doc, start, part, total))
-                start, room, left = start + len(part), room - len(part), left - len(part)
-                if not room:
-                    self._close(window)
-                    window = []
+        if total > whole:
+            self._place((doc, whole, ids[whole:], total), self.cut, True)
+
+    def finish(self) -> None:
+        """No more documents: the emptiest windows' pieces go to the others by the same rule, cuts free, until one is left, which is split into windows of powers of two."""
+        while self.counts.sum() > 1:
+            for piece in self._take(int(np.flatnonzero(self.counts)[0])):
+                self._place(piece, 0, False)
+        for h in np.flatnonzero(self.counts).tolist():
+            window, left = self._take(h), h
+            while left:
+                room = 1 << (left.bit_length() - 1)
+                left -= room
+                part = []
+                while room:
+                    doc, start, ids, total = window.pop(0)
+                    part.append((doc, start, ids[:room], total))
+                    if len(ids) > room:
+                        window.insert(0, (doc, start + room, ids[room:], total))
+                    room -= min(room, len(ids))
+                self._close(part)
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = 2048, end_id: int = 1, known_words: int = 600_000) -> DataFrame:
@@ -147,7 +165,8 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     padding; sequence ids are unique, the reading task's number times 2**40 and a running number.
 
     Null or empty text: end_id alone. Null doc_id: packed, with a null id. Repeated rows: packed each time. A very long
-    text: cut into windows; a task holds one text's ids and at most 4096 open windows. An empty table: no rows.
+    text: cut into windows; a task holds one text's ids and the open windows, whose number the rule bounds. Ties: of equal levels the
+    fullest. Other columns, whatever their names, are not read. An empty table: no rows.
     """
 
     def run(batches):
@@ -168,7 +187,7 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
             for doc, got in zip(ids, encode(data), strict=True):
                 packer.add(doc, np.append(got, np.uint32(end_id)))
             yield rows()
-        packer.join_open()
+        packer.finish()
         yield rows()
 
     return texts(docs, id_col, text_col).mapInArrow(run, _SCHEMA)
