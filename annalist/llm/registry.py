@@ -39,7 +39,8 @@ def op4_exact_dedup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op5_url_filter(spark: SparkSession, d: str) -> DataFrame:
-    return urls.judge(table(spark, d, "pages")).select("page_id", "host", "path", "rule", "verdict")
+    pages = table(spark, d, "pages")
+    return urls.judge(pages, labels=urls.content_labels(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
 def op6_quality_classifier(spark: SparkSession, d: str) -> DataFrame:
