@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import texts
+from .common import stored, texts
 
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind: (pattern, group whose length counts, least length, quick test of the text). The first three are reported alone.
@@ -14,7 +14,7 @@ KINDS = {
     "access": (r"AKIA[A-Z0-9]+", 0, 16, r"AKIA"),
     "hex": (r"[0-9a-f]{32,}", 0, 32, r"[0-9a-f]{32}"),
     "weak_access": (r"(?<![A-Za-z0-9+/_=-])(?!AKIA)[A-Z]{2,6}[0-9][A-Z0-9]{8,}(?![A-Za-z0-9+/_=-])", 0, 12, r"[A-Z]{2}[0-9][A-Z0-9]{8}"),
-    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,40}[0-9])[A-Za-z0-9+/_=-]{20,}", 0, 20, r"[0-9][A-Za-z0-9+/_=-]{3}"),
+    "weak_secret": (r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{20,}", 0, 20, r"[0-9][A-Za-z0-9+/_=-]{3}"),
     "endpoint": (r"(?:https?|s3|jdbc:[a-z]+|mongodb|postgres|redis)://[^\x00-\x20\"'<>]+", 0, 10, r"://"),
 }
 BASE = ("assign", "access", "hex")
@@ -52,12 +52,13 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     One row per input row: doc_id, spans array<struct<kind, start, end>> by start, then kind as listed. An access
     identifier is complemented by a secret, a secret by an access identifier, an endpoint by either; the parts meet in
     an interval join within their document that stops at the first one. A weak candidate over a base span is left out.
-    Null text: empty. Null doc_id: its rows are told apart by text. Repeated rows: the same spans each. A very long text:
-    its spans are rows until the end. An empty table: no rows.
+    Null text: empty. Null doc_id: its rows are told apart by text. Repeated rows: the same spans each. Ties: spans of one
+    start follow their kinds' order. A very long text: its spans are rows until the end. Other columns, whatever their names,
+    are not read. An empty table: no rows.
     """
     docs = texts(docs, id_col, text_col).withColumn("text", F.coalesce("text", F.lit("")))
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**62))).alias("doc_id"), "text")
-    spans = candidates(keyed)
+    spans = stored(candidates(keyed))
     weak = spans.where(~F.col("kind").isin(*BASE))
     bin_ = F.floor(F.col("start") / scope)
     binned = spans.select("doc_id", "h", F.explode(F.sequence(bin_ - 1, F.floor(F.col("end") / scope) + 1)).alias("bin"), F.col("kind").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
