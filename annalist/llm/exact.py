@@ -73,9 +73,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         .groupBy("digest", "text").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
         .select("digest", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
     )
-    full = source.select("doc_id", F.sha2(text, 256).alias("text_sha256"))
+    full = source.select("doc_id", F.sha2(text, 256).alias("text_sha256"), salt.alias("salt"))
+    found = same.select("text_sha256", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     return (
-        full.join(same.select("text_sha256", "keep_id", "group_size"), "text_sha256", "left")
+        full.join(found, ["text_sha256", "salt"], "left")
         .select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
         .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
     )
