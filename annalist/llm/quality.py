@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, stored, texts
+from .common import pieces, texts, word_hashes
 
 _SYMBOLS = b"#$%&*+<=>@[\\]^_`{|}~/"
 _UPPER, _LOWER, _DIGIT = (bytes(range(a, b)) for a, b in ((65, 91), (97, 123), (48, 58)))
@@ -75,15 +75,19 @@ def em(patterns: np.ndarray, n: np.ndarray, rounds: int = 100) -> tuple[np.ndarr
     return good, right, float(share)
 
 
-def features(m: np.ndarray, n_words: np.ndarray, dims: int) -> np.ndarray:
-    """Rows of hashed features: each measure's bucket of sixteen about its bounds, and the text's length on a log scale."""
+def features(m: np.ndarray, words: list[np.ndarray], dims: int) -> np.ndarray:
+    """Rows of hashed features: each measure's bucket of sixteen about its bounds, the number of words on a log scale, and the words themselves, a row's shares of them of length one."""
     out = np.zeros((len(m), dims), np.float32)
+    rows = np.arange(len(m))
+    for i, w in enumerate(words):
+        if len(w):
+            seen = np.bincount((w % np.uint64(dims)).astype(np.int64), minlength=dims)
+            out[i] = seen / np.sqrt((seen.astype(np.float64) ** 2).sum())
     span = BOUNDS[:, 1] - BOUNDS[:, 0]
     bucket = np.where(np.isnan(m), 16, np.clip((m * _SIGN - BOUNDS[:, 0]) / span * 8 + 4, 0, 15).astype(np.float64))
-    rows = np.arange(len(m))
     for j in range(m.shape[1]):
         out[rows, ((j + 1) * 2654435761 + bucket[:, j].astype(np.int64) * 40503) % dims] += 1
-    out[rows, (99 * 2654435761 + np.log2(1 + n_words).astype(np.int64) * 40503) % dims] += 0.25
+    out[rows, (99 * 2654435761 + np.log2(1 + np.array([len(w) for w in words])).astype(np.int64) * 40503) % dims] += 0.25
     return out
 
 
@@ -102,39 +106,49 @@ def _measured(data: list[bytes | None]) -> np.ndarray:
     return np.array([measures(t or b"") for t in data], np.float64).reshape(-1, len(LABELLERS))
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 8192, dims: int = 512, reject: float = 0.5) -> DataFrame:
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_rows: int = 4096, dims: int = 1024, reject: float = 0.5) -> DataFrame:
     """Score every text. One row per input row: doc_id, votes array<int> as in LABELLERS, score (1: surely good), keep.
 
     train_rows: most rows the scorer is trained on, those of the smallest hash; the labellers' accuracies come from the
     votes on all texts. A text under `reject` is not kept. Null, empty or blank text: no votes, score 0, not kept. Null
-    doc_id: kept in the result and scored. Repeated rows: scored each. A very long text: measured where it is read. An
-    empty table: no rows.
+    doc_id: kept in the result and scored. Repeated rows: scored each. Ties: a score of just `reject` is kept. A very long
+    text: measured whole where it is read. Other columns, whatever their names, are not read. An empty table: no rows.
     """
     docs = texts(docs, id_col, text_col)
     k = len(LABELLERS)
+    code = lambda m: ((votes(m) + 1) * 3 ** np.arange(k)).sum(1).astype(np.int64) if len(m) else np.empty(0, np.int64)
 
-    def measured(batches):
+    def voted(batches):
         for _, data, _ in pieces(batches):
-            data = [t for t in data if t and not t.isspace()]
-            m = _measured(data)
-            code = ((votes(m) + 1) * 3 ** np.arange(k)).sum(1) if len(m) else np.empty(0)
-            yield pa.RecordBatch.from_arrays([pa.array(code.astype(np.int64)), pa.array([len(t.split()) for t in data], pa.int64()), pa.array(m.tolist(), pa.list_(pa.float64()))], ["code", "n", "m"])
+            seen, n = np.unique(code(_measured([t for t in data if t and not t.isspace()])), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(n)], ["code", "n"])
 
-    seen = stored(docs.mapInArrow(measured, "code long, n long, m array<double>"))
     # At most 3 ** len(LABELLERS) rows.
-    counted = seen.groupBy("code").agg(F.count(F.lit(1)).alias("c")).orderBy("code").collect()
-    codes = np.array([r["code"] for r in counted], np.int64)
-    patterns = codes[:, None] // 3 ** np.arange(k) % 3 - 1
-    good, _, _ = em(patterns, np.array([r["c"] for r in counted], np.float64)) if counted else (np.empty(0), None, 1.0)
-    sample = seen.orderBy(F.xxhash64("m", "n"), "n").limit(train_rows).collect()
-    x = features(np.array([r["m"] for r in sample], np.float64).reshape(-1, k), np.array([r["n"] for r in sample], np.float64), dims)
-    w = fit_linear(x, np.array([dict(zip(codes.tolist(), good, strict=True))[r["code"]] for r in sample]))
+    counted = docs.mapInArrow(voted, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).orderBy("code").collect()
+    codes, n = (np.array([r[c] for r in counted], np.int64) for c in ("code", "n"))
+    good, _, _ = em(codes[:, None] // 3 ** np.arange(k) % 3 - 1, n.astype(np.float64)) if counted else (np.empty(0), None, 1.0)
+
+    # Of the rows whose hash lies below a bound that four times as many rows pass as are wanted, those of the smallest.
+    hash_ = F.xxhash64("doc_id", "text")
+    bound = int(min(1.0, 4 * train_rows / max(1, int(n.sum()))) * 2**64 - 2**63) - 1
+    drawn = docs.where("text is not null").withColumn("h", hash_).where(F.col("h") <= bound).orderBy("h", "doc_id").limit(train_rows)
+
+    def sampled(batches):
+        for _, data, _ in pieces(batches):
+            m, words = _measured(data), word_hashes(data, True)
+            at = [i for i, w in enumerate(words) if len(w)]
+            x = features(m, words, dims)[at]
+            yield pa.RecordBatch.from_arrays([pa.array(code(m)[at], pa.int64()), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary())], ["code", "x"])
+
+    sample = drawn.select("doc_id", "text").mapInArrow(sampled, "code long, x binary").collect()
+    x = np.stack([np.frombuffer(r["x"], np.float16) for r in sample]).astype(np.float32) if sample else np.empty((0, dims), np.float32)
+    w = fit_linear(x, good[np.searchsorted(codes, [r["code"] for r in sample])] if sample else np.empty(0))
 
     def run(batches):
         for ids, data, _ in pieces(batches):
-            m = _measured(data)
-            n = np.array([len((t or b"").split()) for t in data], np.float64)
-            s = np.where(n > 0, 1 / (1 + np.exp(-np.clip(features(m, n, dims) @ w[:-1] + w[-1], -30, 30))), 0.0)
+            m, words = _measured(data), word_hashes(data, True)
+            s = 1 / (1 + np.exp(-np.clip(features(m, words, dims) @ w[:-1] + w[-1], -30, 30)))
+            s = np.where([len(x) > 0 for x in words], s, 0.0)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(votes(m).tolist(), pa.list_(pa.int32())), pa.array(s), pa.array(s >= reject)], ["doc_id", "votes", "score", "keep"])
 
     return docs.mapInArrow(run, "doc_id long, votes array<int>, score double, keep boolean")
