@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import tempfile
 import uuid
 
 import numpy as np
@@ -17,9 +18,11 @@ WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; /tmp/checkpoints only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share; where that is unset, in the temporary folder of a local session, never of a cluster."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    return f"{base or '/tmp/checkpoints'}/{uuid.uuid4().hex}"
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{base or tempfile.gettempdir() + '/checkpoints'}/{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:

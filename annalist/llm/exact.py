@@ -47,36 +47,38 @@ def possible_hits(memtables: DataFrame, expected: int) -> DataFrame:
     return seen.unionByName(tables.where("n > 1").select("run", "digest", "keep_id", "n"))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 8, bits: int = 256, salts: int = 8) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: str = "largest", runs: int = 8, bits: int = 256, salts: int = 8, row_col: str | None = None) -> DataFrame:
     """Which documents are copies: of equal texts the row with the largest (or smallest) identifier stays.
 
     One row per input row: doc_id, keep_id, group_size, kept, text_sha256. Null text counts as empty. Null doc_id: a
-    member of its group that stays only if no member has an id. Rows that repeat the identifier that stays are all kept,
-    being one document. bits: length of the digest (256: SHA-256); shorter ones collide, and byte verification tells
-    such texts apart. An empty table: no rows. A very long text is hashed and compared where it is read; copies of a hot
-    text meet by partial aggregation and over `salts` keys, so no task gathers them.
+    member of its group that stays only if no member has an id. Ties: rows that repeat the identifier that stays are all
+    kept, being one document, unless row_col names a column with a key of its own for each row: then one of them stays, and
+    the column `row` tells rows apart. bits: length of the digest (256: SHA-256); shorter ones collide, and byte
+    verification tells such texts apart. An empty table: no rows. Other columns, whatever their names, are not read. A very
+    long text is hashed and compared where it is read; copies of a hot text meet by partial aggregation and over `salts`
+    keys, so no task gathers them.
     """
-    source = texts(docs, id_col, text_col)
-    rows = flush(docs, id_col, text_col, runs, bits)
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    row = docs[row_col].cast("long") if row_col else F.lit(0).cast("long")
+    source = docs.select(docs[id_col].cast("long").alias("doc_id"), text.alias("text"), row.alias("row"))
+    rows = flush(source, "doc_id", "text", runs, bits)
     best = F.max("doc_id") if keep == "largest" else F.min("doc_id")
     memtables = rows.groupBy("run", "digest").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("n"))
     hits = stored(compact(possible_hits(memtables, rows.count()), keep).where("n > 1").select("digest"))
 
-    text = F.coalesce("text", F.lit(""))
-    salt = F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")
-    digest = F.substring(F.unhex(F.sha2(text, 256)), 1, bits // 8)
-    salted = hits.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    order = F.max(F.struct("doc_id", "row")) if keep == "largest" else F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    salt = F.pmod(F.xxhash64("doc_id", "row"), F.lit(salts)).cast("int").alias("salt")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
     # The bytes of all hits: grouped by the text itself within its digest.
     same = (
-        source.select("doc_id", text.alias("text"), digest.alias("digest"), salt.alias("salt"))
-        .join(salted.hint("merge"), ["digest", "salt"], "left_semi")  # hits grow with the input: never broadcast
-        .groupBy("digest", "text").agg(best.alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", F.sha2("text", 256).alias("text_sha256"), "keep_id", "group_size")
+        source.select("doc_id", "row", "text", F.substring(F.unhex(F.sha2("text", 256)), 1, bits // 8).alias("digest"), salt)
+        .join(hits.select("digest", every).hint("merge"), ["digest", "salt"], "left_semi")  # hits grow with the input: never broadcast
+        .groupBy("digest", "text").agg(order.alias("best"), F.count(F.lit(1)).alias("group_size"))
+        .select(F.sha2("text", 256).alias("text_sha256"), F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "group_size")
     )
-    full = source.select("doc_id", F.sha2(text, 256).alias("text_sha256"), salt.alias("salt"))
-    found = same.select("text_sha256", "keep_id", "group_size", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    return (
-        full.join(found, ["text_sha256", "salt"], "left")
-        .select("doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "text_sha256")
-        .select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
-    )
+    full = source.select("doc_id", "row", F.sha2("text", 256).alias("text_sha256"), salt)
+    met = full.join(same.select("*", every), ["text_sha256", "salt"], "left")
+    alone = F.col("group_size").isNull()
+    kept = alone | F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("row") == F.col("keep_row"))
+    out = met.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), F.coalesce(kept, F.lit(False)).alias("kept"), "text_sha256", "row")
+    return out if row_col else out.drop("row")

@@ -67,7 +67,7 @@ def repeated_ranges(docs: DataFrame, n_words: int = 13, group: int = GROUP, cell
         table[divmod(r["cell"], cells)] = r["n"]
     total = int(table[0].sum())
     n_groups = max(1, -(-total // group))
-    common = table > max(group, 8 * total // cells)
+    common = table > group  # suffixes of a cell that holds more go on to a longer prefix, and at last to Spark's own aggregation
 
     def split(batches):
         """Rows (group, n, blob) of suffixes in sorted order; group -1 - k: the suffixes whose prefixes are all common, dealt out by hash."""
