@@ -2,24 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import unicodedata
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Accented Latin letters and their plain forms.
-ACCENTED = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "aaaaaaceeeeiiiinooooouuuuyy"
+
+def _plain() -> tuple[str, str]:
+    """Letters and digits that Unicode takes apart into one plain character and marks, and those characters."""
+    pairs = []
+    for code in range(0xC0, 0x10000):
+        c = chr(code)
+        parts = [x for x in unicodedata.normalize("NFKD", c) if not unicodedata.combining(x)]
+        if len(parts) == 1 and parts[0] != c and (c.isalnum() or parts[0].isalnum()):
+            pairs.append((c, parts[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+MARKED, PLAIN = _plain()
 
 
 def fold(c: Column) -> Column:
-    """Lower case, no accents, '&' as 'and', anything but letters and digits as one space."""
-    c = F.translate(F.lower(c), ACCENTED, PLAIN)
-    c = F.regexp_replace(c, "&", " and ")
-    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}]+", " "))
+    """Lower case, no accents in any script, '&' as 'and', 'ß' as 'ss', anything but letters, digits and underscores as one space."""
+    c = F.regexp_replace(F.translate(c, MARKED, PLAIN), r"\p{M}+", "")
+    c = F.replace(F.replace(F.translate(F.lower(c), "ς", "σ"), F.lit("ß"), F.lit("ss")), F.lit("&"), F.lit(" and "))
+    return F.trim(F.regexp_replace(c, r"[^\p{L}\p{N}_]+", " "))
 
 
 def name_key(c: Column) -> Column:
     """A name without a leading or trailing 'the'."""
-    return F.regexp_replace(fold(c), r"^the (?=.)|(?<=.) the$", "")
+    return F.regexp_replace(F.regexp_replace(fold(c), "^the ", ""), " the$", "")
 
 
 def article_key(c: Column) -> Column:
@@ -34,27 +46,8 @@ def letter(c: Column) -> Column:
 
 
 def compact(c: Column) -> Column:
-    """A key blind to spacing and punctuation."""
-    return F.regexp_replace(F.lower(c), r"[\W_]+", "")
-
-
-#: Suffixes that say which version of a title it is, in the order they are tried.
-TAGS = (("live", r"live\b.*"), ("edit", r"(radio |single )?edit"), ("remix", r"(.* )?(remix|mix|dub)"), ("demo", r"demo.*"), ("acoustic", r"acoustic.*"), ("edition", r"(\d{4} )?(remaster(ed)?|deluxe|expanded|anniversary)( .*)?"))
-_SUFFIX = r"^(.*\S)\s*(?:\(([^()]*)\)|\[([^\[\]]*)\]|\s-\s+([^-]*))\s*$"
-
-
-def title_keys(df: DataFrame, title: str, rounds: int = 4) -> DataFrame:
-    """Add base (the title without recognised suffixes), tags, key (its folded form), track_key and sequel (a trailing number or roman numeral)."""
-    base, tags = F.trim(F.col(title)), F.array().cast("array<string>")
-    for _ in range(rounds):
-        suffix = F.trim(F.lower(F.concat(*[F.coalesce(F.regexp_extract(base, _SUFFIX, g), F.lit("")) for g in (2, 3, 4)])))
-        tag = F.coalesce(*[F.when(suffix.rlike(f"^({p})$"), name) for name, p in TAGS])
-        base, tags = F.when(tag.isNotNull(), F.regexp_extract(base, _SUFFIX, 1)).otherwise(base), F.when(tag.isNotNull(), F.array_append(tags, tag)).otherwise(tags)
-    key = fold(base)
-    last = F.element_at(F.split(key, " "), -1)
-    roman = F.create_map(*[F.lit(x) for i, r in enumerate(("i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix", "x"), 1) for x in (r, str(i))])
-    sequel = F.when(last.rlike(r"^\d{1,2}$"), last).when(key.contains(" "), F.try_element_at(roman, last))
-    return df.withColumns({"base": base, "tags": F.array_sort(F.array_distinct(tags)), "key": key, "track_key": fold(F.regexp_replace(base, "['’`´]", "")), "sequel": sequel})
+    """A key blind to spacing and punctuation, but not to letters of any script."""
+    return F.regexp_replace(fold(c), "[ _]+", "")
 
 
 def seconds(c: Column) -> Column:
@@ -65,7 +58,7 @@ def seconds(c: Column) -> Column:
 
 def credits(c: Column) -> Column:
     """Credited names, without "(2)" suffixes and blanks."""
-    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, r"\s*\(\d+\)\s*$", ""))), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(F.regexp_replace(x, r"\s*\(\d+\)", ""))), lambda x: x != "")
 
 
 def similarity(a: Column, b: Column) -> Column:

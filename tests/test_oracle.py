@@ -6,7 +6,8 @@ import duckdb
 import pytest
 
 import annalist.plans.curation
-import annalist.plans.entities  # noqa: F401 (both add their queries)
+import annalist.plans.entities
+import annalist.plans.titles  # noqa: F401 (all three add their queries)
 from annalist.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
