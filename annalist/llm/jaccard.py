@@ -3,15 +3,15 @@
 Documents of one shingle set form a class and are joined once. In a global order of shingles, two sets of sizes m <= n
 with a Jaccard similarity of p/q or more share at least l of their first n - t + l shingles, t being the least overlap
 that n allows. The order puts costly shingles last: those frequent in a sample of the documents, known by a bitmap of a
-fixed size. Any order gives the same result, so the sample only sets the cost. A document whose prefix still holds
-costly shingles takes a longer one (l up to `most_match`) and is verified only with documents that share l of theirs.
-
-A shingle that few classes share gives all their pairs. One that many share gives a star around one of them; what the
-star leaves apart goes through further stars and then through a join bounded by the triangle inequality, which Jaccard
-distance obeys. So no link between two components is lost and no group's pairs are all made.
-
-Before two sets are fetched, their parity bitmaps are compared: each member of a set flips one bit, so two bitmaps differ
-in no more bits than the sets have members apart.
+fixed size. Any order gives the same result, so the sample only sets the cost. A class whose prefix still holds costly
+shingles takes a longer one (l up to `most_match`), and a pair is verified only if it may share as many as the smaller l.
+
+A shingle that few classes share gives all their pairs. One that many share gives a group around a hub, the class with
+the largest share of costly shingles, and every member is compared with the hub. For members that this leaves in another
+component, the group is joined again on what sets them apart from the hub: two sets have as many members apart as their
+differences from the hub have, so linked ones share part of these, and the same prefixes serve, now in the order of how
+many of the group hold an element. Elements that very many hold give smaller groups around new hubs, until none is left. So
+no link between two components is lost, and no group's pairs are all made.
 """
 
 from __future__ import annotations
@@ -20,13 +20,19 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bitmap, in_bitmap, longs, mix, pieces, shingle_set, stored, texts, word_hashes
 
 #: Classes sharing a shingle of which all pairs are made.
 FEW = 8
+#: Pairs sharing what sets them apart from a hub that are compared by their sizes; where there are more, they get a hub of their own.
+MEET = 4096
+#: Bits of a set's parity bitmap.
+PARITY = 2048
+#: Tasks over which a costly shingle's or a hub's classes are dealt.
+SALTS = 32
 _SIG = np.uint64(0xA24BAED4963EE407)
 
 
@@ -35,19 +41,10 @@ def _class_key(tokens: np.ndarray) -> int:
     return int(mix(np.array([np.sum(mix(tokens ^ _SIG), dtype=np.uint64) + np.uint64(len(tokens))], np.uint64)).view(np.int64)[0])
 
 
-#: Bits of a set's parity bitmap.
-PARITY = 4096
-
-
-def _parity(tokens: np.ndarray) -> bytes:
+def _parity(tokens: np.ndarray) -> np.ndarray:
+    """Bits that each member of a set flips one of: two sets have at least as many members apart as their bitmaps have bits apart."""
     odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
-    return np.packbits(odd.astype(np.uint8)).tobytes()
-
-
-def _ordered(tokens: np.ndarray, costly: np.ndarray, bits: int) -> tuple[np.ndarray, int]:
-    """A sorted set in the global order, costly shingles last, and how many are not costly."""
-    late = in_bitmap(costly, bits, tokens)
-    return np.concatenate([tokens[~late], tokens[late]]), int((~late).sum())
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _prefix(n: int, cheap: int, least: Fraction, most_match: int) -> tuple[int, int]:
@@ -57,11 +54,6 @@ def _prefix(n: int, cheap: int, least: Fraction, most_match: int) -> tuple[int,
     return plain - 1 + match, match
 
 
-def _end(head: np.ndarray, cheap: int) -> int:
-    """Where in the global order a prefix ends, as a signed long: costly shingles are not negative. The last bit is lost, so ends may be equal."""
-    return int(head[-1] >> np.uint64(1)) - (0 if len(head) > cheap else 1 << 63)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes of edges (a, b): the smallest node reachable. Labels spread to neighbours and jump to their own labels until nothing changes."""
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
@@ -76,13 +68,40 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("a", "l")
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(3, 4), lower: bool = True, most_match: int = 4, sample: int = 8, bits: int = 1 << 24, few: int = FEW, stars: int = 1) -> DataFrame:
+def _together(pairs: DataFrame, content: DataFrame, work, kind: pa.DataType, out: str, salts: int) -> DataFrame:
+    """pairs (a, b, ...) with a column `out` of what `work` says of both sets. A set a is sent once to each of `salts` tasks at most, ahead of the sets it meets."""
+    salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")
+    sets = content.select("k", "tokens")
+    others = pairs.select("*", salt).join(sets.withColumnRenamed("k", "b").hint("merge"), "b")
+    own = pairs.select("a", salt).distinct().join(sets.withColumnRenamed("k", "a").hint("merge"), "a")
+    dealt = own.unionByName(others, allowMissingColumns=True).select(*pairs.columns, "tokens", "salt").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
+    columns = pairs.columns
+
+    def run(batches):
+        mine = None
+        for batch in batches:
+            got, at = [], []
+            for i, (other, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True)):
+                tokens = np.frombuffer(data, np.uint64)
+                if other is None:
+                    mine = tokens
+                else:
+                    at.append(i)
+                    got.append(work(mine, tokens))
+            kept = batch.take(pa.array(at, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(columns)], pa.array(got, kind)], [*columns, out])
+
+    return dealt.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*pairs.dtypes, (out, "boolean" if kind == pa.bool_() else "array<long>")]))
+
+
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(3, 4), lower: bool = True, most_match: int = 4, sample: int = 8, bits: int = 1 << 24, few: int = FEW, meet: int = MEET) -> DataFrame:
     """Components of documents linked by a Jaccard similarity of `least` or more between their sets of n-word shingles.
 
     One row per input row: doc_id, n_shingles, component_id (the smallest doc_id reachable by links, itself included).
     A document of fewer words has its whole sequence as one shingle. Null, empty or blank text: no shingle, linked with
     nothing. Null doc_id: linked like any, but its id stands for no component unless nothing else does. Repeated rows: in
-    one class. A very long text: hashed in pieces, its set held by one task. An empty table: no rows. Shingles and sets
+    one class. Ties: a component's id is the smallest whatever was compared first. A very long text: hashed in pieces, its
+    set held by one task. An empty table: no rows. Other columns, whatever their names, are not read. Shingles and sets
     are told apart by 64-bit hashes. sample: one of how many documents' shingles are counted to find the costly ones,
     which decides order and speed only; bits: size of that bitmap and of the one of documents to verify.
     """
@@ -96,7 +115,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
 
     def classes(batches):
         for ids, got in sets(batches):
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in got], pa.int64()), pa.array([_class_key(t) if len(t) else None for t in got], pa.int64())], ["doc_id", "n", "k"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(t) for t in got], pa.int64()), pa.array([_class_key(t) if len(t) else None for t in got], pa.int64()), pa.array([_parity(t) if len(t) else None for t in got], pa.list_(pa.int64()))], ["doc_id", "n", "k", "parity"])
 
     def sampled(batches):
         for ids, data, _ in pieces(batches):
@@ -105,79 +124,107 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
                 if len(w):
                     yield pa.RecordBatch.from_arrays([longs(shingle_set(w, n))], ["t"])
 
-    members = stored(docs.mapInArrow(classes, "doc_id long, n long, k long"))
+    members = stored(docs.mapInArrow(classes, "doc_id long, n long, k long, parity array<long>"))
     costly_rows = docs.mapInArrow(sampled, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where("c >= 3")
     first = spark.sparkContext.broadcast(bitmap(costly_rows, "t", bits))
 
     def prefixes(batches, late):
+        """A class's key and set, the set in the global order, how many are not costly, and the length of its prefix; once a task, however many copies it reads."""
+        seen: set[int] = set()
         for _, got in sets(batches):
-            t, k, size, length = [], [], [], []
             for tokens in got:
-                if len(tokens):
-                    order, cheap = _ordered(tokens, late.value, bits)
-                    head = order[: _prefix(len(tokens), cheap, least, most_match)[0]]
-                    t.append(head)
-                    k.append(np.full(len(head), _class_key(tokens), np.int64))
-                    size.append(np.full(len(head), len(tokens), np.int32))
-                    length.append(np.full(len(head), len(head), np.int32))
-            if t:
-                yield pa.RecordBatch.from_arrays([longs(np.concatenate(t)), pa.array(np.concatenate(k)), pa.array(np.concatenate(size)), pa.array(np.concatenate(length))], ["t", "k", "n", "len"])
+                if len(tokens) and (k := _class_key(tokens)) not in seen:
+                    seen.add(k)
+                    costly = in_bitmap(late.value, bits, tokens)
+                    cheap = len(tokens) - int(costly.sum())
+                    yield k, np.concatenate([tokens[~costly], tokens[costly]]), cheap, _prefix(len(tokens), cheap, least, most_match)[0]
+
+    def cheap_ones(batches):
+        """The shingles of prefixes that are not costly."""
+        for _, order, cheap, length in prefixes(batches, first):
+            yield pa.RecordBatch.from_arrays([longs(order[: min(length, cheap)])], ["t"])
+
+    def heads(batches):
+        """Rows (t, k, sizes, odd) of prefixes: sizes holds the class's size and its prefix's length, odd the tasks' number of a costly shingle and the share of those that are not."""
+        out: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for k, order, cheap, length in prefixes(batches, costly):
+            head = order[:length]
+            salt = np.where(np.arange(length) < cheap, 0, 1 + k % SALTS)
+            out.append((head, np.full(length, k), np.full(length, len(order) << 32 | length), salt << 16 | cheap * 1000 // len(order)))
+            size += length
+            if size > 100_000:
+                yield batch_of(out)
+                size = 0
+        if out:
+            yield batch_of(out)
+
+    def batch_of(out):
+        t, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
+        out.clear()
+        return pa.RecordBatch.from_arrays([longs(t), *(pa.array(x.astype(np.int64)) for x in rest)], ["t", "k", "sizes", "odd"])
 
     def buckets(batches):
-        """Of rows sorted by (t, k): pairs (t = null) of classes sharing a rare shingle; members (t, hub, member) of common ones. Holds `few` rows at a time."""
-        now, held, hub = None, [], None
+        """Of rows (t, k, sizes, odd) sorted by t, the salt in odd, and k: the pairs of classes sharing a rare shingle (t = null); the members (t, a) of one that many share or that is costly. Holds `few` rows at a time."""
+        now, held, many = None, [], False
         out: list[tuple] = []
 
-        def pairs():
-            out.extend((None, a, b, na, nb, la, lb) for i, (a, na, la) in enumerate(held) for b, nb, lb in held[i + 1 :] if q * min(na, nb) >= p * max(na, nb))
+        def close():
+            if not many:
+                out.extend((None, a, b, na, nb, la, lb, 0) for i, (a, na, la, _) in enumerate(held) for b, nb, lb, _ in held[i + 1 :] if q * min(na, nb) >= p * max(na, nb))
 
         def batch():
-            b = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 7, (pa.int64(),) * 3 + (pa.int32(),) * 4, strict=True)], ["t", "a", "b", "na", "nb", "la", "lb"])
+            b = pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*out, strict=True) if out else [()] * 8, (pa.int64(),) * 3 + (pa.int32(),) * 5, strict=True)], ["t", "a", "b", "na", "nb", "la", "lb", "odd"])
             out.clear()
             return b
 
         for b in batches:
-            ts, ks, ns, ls = (b.column(i).to_numpy() for i in range(4))
-            # Only shingles met twice in a row matter; the first and last may go on in the neighbouring batches.
-            same = np.flatnonzero(np.concatenate([[True], ts[1:] == ts[:-1]]) | np.concatenate([ts[1:] == ts[:-1], [True]]))
-            for t, k, size, length in zip(ts[same].tolist(), ks[same].tolist(), ns[same].tolist(), ls[same].tolist(), strict=True):
-                if t != now:
-                    if not hub:
-                        pairs()
-                    now, held, hub = t, [(k, size, length)], None
-                elif hub:
-                    if k != last:
-                        out.append((t, hub[0], k, hub[1], size, hub[2], length))
-                elif k != held[-1][0]:
-                    held.append((k, size, length))
-                    if len(held) > few:
-                        hub = held[0]
-                        out.extend((t, hub[0], m, hub[1], s, hub[2], x) for m, s, x in held[1:])
+            ts, ks, sizes, odds = (b.column(i).to_numpy() for i in range(4))
+            # Of shingles that are not costly, only those met twice in a row matter; the first and last may go on in the neighbouring batches.
+            same = np.flatnonzero((odds >> 16 > 0) | np.concatenate([[True], ts[1:] == ts[:-1]]) | np.concatenate([ts[1:] == ts[:-1], [True]]))
+            for t, k, size, length, salt, odd in zip(*(x[same].tolist() for x in (ts, ks, sizes >> 32, sizes & 0xFFFFFFFF, odds >> 16, odds & 0xFFFF)), strict=True):
+                if t != now or salt != dealt:
+                    close()
+                    now, dealt, held, many, last = t, salt, [], salt > 0, None
+                if k == last:
+                    continue
                 last = k
+                if not many:
+                    held.append((k, size, length, odd))
+                    if len(held) > few:
+                        many = True
+                        out.extend((t, m, None, s, None, x, None, o) for m, s, x, o in held)
+                else:
+                    out.append((t, k, None, size, None, length, None, odd))
             if len(out) > 10_000:
                 yield batch()
-        if not hub:
-            pairs()
+        close()
         yield batch()
 
-    def shared(late) -> DataFrame:
-        rows = docs.mapInArrow(lambda b: prefixes(b, late), "t long, k long, n int, len int").repartition("t").sortWithinPartitions("t", "k")
-        return rows.mapInArrow(buckets, "t long, a long, b long, na int, nb int, la int, lb int")
-
-    # Shingles that many prefixes share all the same are costly too, and go last in a second pass.
-    again = bitmap(shared(first).where("t is not null").select("t").distinct(), "t", bits)
+    # Shingles of many prefixes are costly too, and go last in a second pass.
+    again = bitmap(docs.mapInArrow(cheap_ones, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(f"c > {few}"), "t", bits)
     costly = spark.sparkContext.broadcast(first.value | again)
-    near = stored(shared(costly))
-    fits = f"{q} * least(na, nb) >= {p} * greatest(na, nb)"
-    common = near.where("t is not null").select("t", F.col("a").alias("hub"), F.col("b").alias("k"), F.col("na").alias("hub_n"), F.col("nb").alias("n"), F.col("la").alias("hub_len"), F.col("lb").alias("len"))
-    # All pairs of rare shingles are made. So of two classes that meet in common ones only, the one whose prefix ends first
-    # in the global order shares none of its prefix's others: they would lie in the other's prefix too.
-    within_common = common.select("t", "k", "n", "len").union(common.select("t", "hub", "hub_n", "hub_len")).distinct()
-    may_share = stored(within_common.groupBy("k", "n", "len").agg(F.count(F.lit(1)).alias("c")).select("k", (F.col("n") - F.col("len") + F.col("c")).alias("most")))
-    in_common = may_share.select("k")
-    rare = stored(near.where("t is null").select("a", "b").distinct())
-    wanted = rare.select(F.col("a").alias("k")).union(rare.select("b")).union(in_common).distinct()
-    firsts = members.where("k is not null").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(wanted.hint("merge"), "k", "left_semi")
+    salt = F.shiftright("odd", 16)
+    dealt = docs.mapInArrow(heads, "t long, k long, sizes long, odd long").repartition("t", salt).sortWithinPartitions("t", salt, "k")
+    near = stored(dealt.mapInArrow(buckets, "t long, a long, b long, na int, nb int, la int, lb int, odd int"))
+
+    common = near.where("t is not null").select("t", F.col("a").alias("k"), F.col("na").alias("n"), "odd").distinct()
+    hubs = common.groupBy("t").agg(F.min(F.struct("odd", "k", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", F.col("h.k").alias("hub"), F.col("h.n").alias("hub_n"))
+    in_common = stored(common.join(hubs, "t"))
+    groups = stored(in_common.where("k <> hub").select(F.col("hub").alias("g"), "hub", "hub_n", "k", "n").distinct())
+
+    # Of pairs in rare shingles, those that may share as many of their prefixes as the smaller number of matches.
+    match = lambda size, length: F.col(length) - F.col(size) + F.expr(f"({size} * {p} + {q - 1}) div {q}")
+    more = in_common.groupBy("k").agg(F.count(F.lit(1)).alias("more"))
+    rare = near.where("t is null").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count(F.lit(1)).alias("c"))
+    rare = rare.join(more.select(F.col("k").alias("a"), F.col("more").alias("ca")), "a", "left").join(more.select(F.col("k").alias("b"), F.col("more").alias("cb")), "b", "left")
+    todo = stored(rare.where(F.col("c") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))) >= F.least(match("na", "la"), match("nb", "lb"))).select("a", "b"))
+
+    sides = lambda pairs, *more: pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(groups.join(groups.groupBy("g").count().where(" and ".join(["count > 0", *more])), "g").select("k")).union(groups.select("hub")).distinct()
+    light = stored(members.join(sides(todo).hint("merge"), "k", "left_semi").select("k", "n", "parity").dropDuplicates(["k"]))
+    # Sets are fetched of classes in pairs that may be linked, and of the members of groups of three or more.
+    first_pairs = stored(_near(todo.unionByName(_stars(groups, p, q)).distinct(), light, p, q))
+    firsts = members.where("k is not null").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(sides(first_pairs, "count > 1").hint("merge"), "k", "left_semi")
     needed = spark.sparkContext.broadcast(bitmap(firsts, "d", bits))
 
     def contents(batches):
@@ -185,116 +232,90 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
         for ids, got in sets(batches):
             may = in_bitmap(needed.value, bits, np.array([-1 if i is None else i for i in ids], np.int64).view(np.uint64)) if ids else []
             keep = [t for t, m in zip(got, may, strict=True) if m and len(t)]
-            ends = []
-            for t in keep:
-                order, cheap = _ordered(t, costly.value, bits)
-                ends.append(_end(order[: _prefix(len(t), cheap, least, most_match)[0]], cheap))
-            yield pa.RecordBatch.from_arrays([pa.array([_class_key(t) for t in keep], pa.int64()), pa.array([len(t) for t in keep], pa.int64()), pa.array(ends, pa.int64()), pa.array([_parity(t) for t in keep], pa.binary()), pa.array([t.tobytes() for t in keep], pa.binary())], ["k", "n", "end", "parity", "tokens"])
-
-    content = stored(docs.mapInArrow(contents, "k long, n long, end long, parity binary, tokens binary"))
-    light = content.select("k", "n", "parity")
-    may_share = stored(may_share.join(content.select("k", "end").distinct(), "k"))
-    common = stored(common.drop("len", "hub_len").join(may_share, "k").join(may_share.select(F.col("k").alias("hub"), F.col("most").alias("hub_most"), F.col("end").alias("hub_end")), "hub"))
-    # The least overlap of sets of m and n members is p (m + n) / (p + q).
-    enough = f"{p + q} * case when ea < eb then ma when eb < ea then mb else greatest(ma, mb) end >= {p} * (na + nb)"
-    stars_ = common.select(F.col("hub").alias("a"), F.col("k").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"), F.col("hub_most").alias("ma"), F.col("most").alias("mb"), F.col("hub_end").alias("ea"), F.col("end").alias("eb"))
-    pairs = stored(rare.union(stars_.where(f"{fits} and {enough}").select("a", "b")).distinct())
-
-    def compared(batches):
-        """(a, b, total, apart) of rows (a, b, total, parity, parity): at least how many members the sets have apart."""
-        for b in batches:
-            pa_, pb = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint64).reshape(-1, PARITY // 64) for c in (3, 4))
-            apart = np.bitwise_count(pa_ ^ pb).sum(1).astype(np.int64) if len(pa_) else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(apart)], ["a", "b", "total", "apart"])
+            yield pa.RecordBatch.from_arrays([pa.array([_class_key(t) for t in keep], pa.int64()), pa.array([t.tobytes() for t in keep], pa.binary())], ["k", "tokens"])
 
-    def judged(batches):
-        """Rows (a, b, tokens) sorted by a, a's own set first (b null): (a, b, inter, total)."""
-        me, mine, head, match = None, None, None, 0
-        for b in batches:
-            out = []
-            for a, other, data in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                tokens = np.frombuffer(data, np.uint64)
-                order, cheap = _ordered(tokens, costly.value, bits)
-                size, m = _prefix(len(tokens), cheap, least, most_match)
-                if other is None:
-                    me, mine, match = a, tokens, m
-                    head = order
-                    continue
-                assert a == me
-                # The prefixes that go with the smaller number of matches must share that many before all is compared.
-                use = min(m, match)
-                plain = lambda s: s - -(-s * p // q)
-                shared = len(np.intersect1d(order[: plain(len(tokens)) + use], head[: plain(len(mine)) + use], assume_unique=True))
-                inter = len(np.intersect1d(tokens, mine, assume_unique=True)) if shared >= use else None
-                out.append((a, other, inter, len(tokens) + len(mine)))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (zip(*out, strict=True) if out else [()] * 4)], ["a", "b", "inter", "total"])
-
-    def verify(found: DataFrame, salts: int = 4) -> DataFrame:
-        """(a, b, low, high, linked) of pairs: bounds of their distance, equal if both sets were compared."""
-        met = found.join(light.select(F.col("k").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")).hint("merge"), "a")
-        met = met.join(light.select(F.col("k").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")).hint("merge"), "b")
-        held = stored(met.select("a", "b", (F.col("na") + F.col("nb")).alias("total"), "pa", "pb").mapInArrow(compared, "a long, b long, total long, apart long").distinct())
-        # Sets of m and n members with a similarity of p / q have (m + n) (q - p) / (q + p) members apart.
-        may = f"{q + p} * apart <= {q - p} * total"
-        far = held.where(f"not ({may})").select("a", "b", F.expr("2 * apart / (total + apart)").alias("low"), F.lit(1.0).alias("high"), F.lit(False).alias("linked"))
-        if held.where(may).isEmpty():
-            return stored(far)
-        salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int")
-        others = held.where(may).select("a", "b").join(content.select(F.col("k").alias("b"), "tokens").hint("merge"), "b").select("a", "b", "tokens", salt.alias("salt"))
-        pairs_ = held.where(may).select("a", salt.alias("salt")).distinct()
-        own = pairs_.join(content.select(F.col("k").alias("a"), "tokens").hint("merge"), "a").select("a", F.lit(None).cast("long").alias("b"), "tokens", "salt")
-        together = own.unionByName(others).repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-        exact = together.select("a", "b", "tokens").mapInArrow(judged, "a long, b long, inter long, total long")
-        d = 1 - F.col("inter") / (F.col("total") - F.col("inter"))
-        exact = exact.select("a", "b", F.coalesce(d, F.lit(1 - p / q)).alias("low"), F.coalesce(d, F.lit(1.0)).alias("high"), F.coalesce(F.expr(f"{q} * inter >= {p} * (total - inter)"), F.lit(False)).alias("linked"))
-        return stored(exact.distinct().unionByName(far))
-
-    checked = verify(pairs)
-    edges = checked.where("linked").select("a", "b")
-    named = components(edges)
-
-    def labels(df: DataFrame, key: str, name: str) -> DataFrame:
-        return df.join(named.select(F.col("node").alias(key), F.col("component").alias("c_")), key, "left").withColumn(name, F.coalesce("c_", key)).drop("c_")
-
-    # What the stars left apart. Members with bounds of their distance from the hub; null: not compared.
-    distance = checked.select(F.col("a").alias("hub"), F.col("b").alias("k"), "low", "high")
-    members_of = common.join(distance, ["hub", "k"], "left").select("t", "hub", "k", "n", "most", "end", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
-    around = stored(members_of)
-    within = 1 - p / q + 1e-9
-    for star in range(stars + 1):
-        now = labels(labels(around, "hub", "hub_c"), "k", "c")
-        apart = stored(now.where("c <> hub_c"))
-        if apart.isEmpty():
-            break
-        open_ = apart.select("t").distinct()
-        rest = now.join(open_, "t", "left_semi")
-        y = apart if star == stars else rest
-        y = y.select("t", F.col("k").alias("a"), F.col("n").alias("na"), F.col("most").alias("ma"), F.col("end").alias("ea"), F.col("low").alias("la"), F.col("high").alias("ha"), F.col("c").alias("ca"))
-        if star < stars:  # a few other hubs of the bucket, met by all members of other components
-            pick = F.min(F.struct(F.xxhash64("k", F.lit(star)), "k", "n", "most", "end", "low", "high", "c")).alias("h")
-            hubs = rest.groupBy("t", F.pmod(F.xxhash64(F.lit(star), "k"), F.lit(few))).agg(pick)
-            z = hubs.select("t", F.col("h.k").alias("b"), F.col("h.n").alias("nb"), F.col("h.most").alias("mb"), F.col("h.end").alias("eb"), F.col("h.low").alias("lb"), F.col("h.high").alias("hb"), F.col("h.c").alias("cb"))
-        else:
-            z = rest.select("t", F.col("k").alias("b"), F.col("n").alias("nb"), F.col("most").alias("mb"), F.col("end").alias("eb"), F.col("low").alias("lb"), F.col("high").alias("hb"), F.col("c").alias("cb"))
-        once = "true"
-        if star == stars:  # a pair that meets in several buckets is made in the first of them
-            y = y.join(y.groupBy("a").agg(F.collect_set("t").alias("ta")), "a")
-            z = z.join(z.groupBy("b").agg(F.collect_set("t").alias("tb")), "b")
-            once = "t = array_min(array_intersect(ta, tb))"
-        met = y.join(z, "t").where(f"a <> b and ca <> cb and {fits} and {enough} and la - hb <= {within} and lb - ha <= {within} and {once}")
-        more_pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        known = checked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        more_pairs = stored(more_pairs.join(known, ["a", "b"], "left_anti"))
-        if more_pairs.isEmpty():
-            continue
-        more = verify(more_pairs)
-        checked = checked.unionByName(more)
-        if not (new := more.where("linked")).isEmpty():
-            edges = stored(edges.unionByName(new.select("a", "b")))
-            named = components(edges)
+    content = stored(docs.mapInArrow(contents, "k long, tokens binary"))
+    named = _linked(first_pairs, groups, content, light, p, q, meet)
 
     of_class = members.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
-    of_component = labels(of_class, "k", "c")
+    of_component = _labelled(of_class, named, "k", "c")
     smallest = of_component.groupBy("c").agg(F.min("first").alias("component_id"))
     by_class = of_component.join(smallest, "c").select("k", "component_id")
     return members.join(by_class, "k", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _labelled(df: DataFrame, named: DataFrame, key: str, name: str) -> DataFrame:
+    return df.join(named.select(F.col("node").alias(key), F.col("component").alias("c_")), key, "left").withColumn(name, F.coalesce("c_", key)).drop("c_")
+
+
+def _stars(groups: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) of hubs with the members of groups whose sizes allow a link."""
+    return groups.where(f"{q} * least(hub_n, n) >= {p} * greatest(hub_n, n)").select(F.col("hub").alias("a"), F.col("k").alias("b"))
+
+
+def _near(pairs: DataFrame, light: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs (a, b) whose parity bitmaps allow a link: linked sets of m and n members have (m + n) (q - p) / (q + p) members apart at most."""
+    apart = F.aggregate(F.zip_with("p1", "p2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    side = lambda c, s: light.select(F.col("k").alias(c), F.col("n").alias("n" + s), F.col("parity").alias("p" + s)).hint("merge")
+    return pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where((q + p) * apart <= (q - p) * (F.col("n1") + F.col("n2"))).select("a", "b")
+
+
+def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataFrame, p: int, q: int, meet: int) -> DataFrame:
+    """(node, component) of classes: links among the pairs `todo` (a, b), and between components among the members of groups (g, hub, hub_n, k, n)."""
+    linked = lambda x, y: (i := len(np.intersect1d(x, y, assume_unique=True))) * q >= p * (len(x) + len(y) - i)
+    differ = lambda x, y: np.setxor1d(x, y, assume_unique=True).view(np.int64)
+    checked = edges = named = None
+    while True:
+        new = todo.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).dropDuplicates(["x", "y"])
+        if checked is not None:
+            new = stored(new.join(checked, ["x", "y"], "left_anti"))
+        judged = stored(_together((new if checked is None else _near(new, light, p, q)).select("a", "b"), content, linked, pa.bool_(), "linked", 4))
+        pairs, found = new.select("x", "y"), judged.where("linked").select("a", "b")
+        checked, edges = (pairs, found) if checked is None else (checked.unionByName(pairs), edges.unionByName(found))
+        if named is None or not found.isEmpty():
+            named = components(edges)
+
+        # Groups with members in another component than their hub's.
+        of_hub = _labelled(groups.select("g", "hub").distinct(), named, "hub", "hub_c")
+        now = stored(_labelled(groups, named, "k", "c").join(of_hub.select("g", "hub_c"), "g").select(F.col("hub").alias("a"), F.col("k").alias("b"), "g", "n", "hub_n", "c", (F.col("c") != F.col("hub_c")).alias("apart")))
+        if now.where("apart").isEmpty():
+            return named
+        now = now.join(now.where("apart").select("g").distinct(), "g", "left_semi").select(now.columns)
+        left, right = _openings(stored(_together(now, content, differ, pa.list_(pa.int64()), "d", SALTS)), p, q)
+
+        # Elements that few hold give pairs, the others groups around new hubs.
+        held = stored(left.groupBy("g", "e").agg(F.count(F.lit(1)).alias("l"), F.min(F.struct("odd", "k", "n")).alias("h")).join(right.groupBy("g", "e").agg(F.count(F.lit(1)).alias("r")), ["g", "e"]))
+        rare, common = held.where(f"l * r <= {meet}").select("g", "e"), held.where(f"l * r > {meet}")
+        side = lambda df, s: df.select("g", "e", *[F.col(c).alias(c + s) for c in ("k", "n", "c", "d_n", "shared")])
+        met = side(left.join(rare, ["g", "e"], "left_semi"), "1").join(side(right, "2"), ["g", "e"])
+        may = f"k1 <> k2 and c1 <> c2 and {q} * least(n1, n2) >= {p} * greatest(n1, n2) and {q + p} * (d_n1 + d_n2 - 2 * least(shared1, shared2)) <= {q - p} * (n1 + n2)"
+        todo = met.where(may).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
+        around = common.select("g", "e", F.col("h.k").alias("hub"), F.col("h.n").alias("hub_n"))
+        both = left.select("g", "e", "k", "n").unionByName(right.select("g", "e", "k", "n")).join(around, ["g", "e"]).where("k <> hub")
+        # A group around a new hub is smaller than the one it comes from by that hub at least, so this ends.
+        groups = stored(both.select(F.xxhash64("g", "hub").alias("g"), "hub", "hub_n", "k", "n").distinct())
+        todo = todo.unionByName(_stars(groups, p, q))
+        meet *= 16
+
+
+def _openings(apart: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
+    """Prefixes (g, e, k, n, c, d_n, shared, odd) of differences d from the group's hub: of members in another component than the hub's, and of all.
+
+    Linked sets of m and n members have (m + n) (q - p) / (q + p) members apart at most, and the same number of elements
+    of their differences, whose sizes say so how many these share. A member in another component isn't linked with the
+    hub, which bounds the size of its difference from below. Only elements that another member holds too can be shared,
+    and one of both is in another component than the hub.
+    """
+    rows = apart.select("g", F.col("b").alias("k"), "n", "hub_n", "c", "apart", F.size("d").cast("long").alias("d_n"), F.explode("d").alias("e"))
+    f = rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"), F.max("apart").alias("any")).where("f > 1 and any").select("g", "e", "f")
+    kept = rows.join(f, ["g", "e"]).groupBy("g", "k", "n", "hub_n", "c", "apart", "d_n").agg(F.sort_array(F.collect_set(F.struct("f", "e"))).alias("es"))
+    any_partner: Column = F.expr(f"greatest(1, d_n - ((n + n * {q} div {p}) * {q - p}) div {q + p})")
+    apart_partner: Column = F.expr(f"cast(ceil((({q + p}) * d_n + ({q - p}) * (hub_n - n)) / {2 * (q + p)}) as bigint)")
+    kept = stored(kept.select("g", "k", "n", "c", "apart", "d_n", "es", F.size("es").cast("long").alias("shared"), any_partner.alias("need"), F.greatest(any_partner, apart_partner).alias("need_apart")))
+
+    def opening(df: DataFrame, need: str) -> DataFrame:
+        length = F.col("shared") - F.col(need) + 1
+        df = df.where(length > 0).select("*", F.explode(F.slice("es", F.lit(1), length.cast("int"))).alias("x"))
+        return df.select("g", F.col("x.e").alias("e"), "k", "n", "c", "d_n", "shared", ((F.col("d_n") - F.col("shared")) / F.col("n")).alias("odd"))
+
+    return opening(kept.where("apart"), "need"), opening(kept, "need_apart")

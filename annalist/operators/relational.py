@@ -69,12 +69,17 @@ def played_alongside(df: DataFrame, base: str, actor: str, ts: str, minutes: int
 
 
 def before_after(events: DataFrame, facts: DataFrame, on: str, date: str, ts: str, days: int) -> DataFrame:
-    """Add before and after: the entity's facts in the days before an event and from it on."""
+    """Add before and after: the entity's facts in the days before an event and from it on. Facts meet events by entity and buckets of `days` days, so an event looks at three of them."""
+    bucket = lambda c: F.floor(F.unix_micros(c) / (days * 86_400_000_000))
     keyed = events.withColumn("e_", F.col(date).cast("timestamp"))
     span = F.expr(f"INTERVAL {days} DAYS")
-    f = facts.select(F.col(on).alias("f_"), F.col(ts).cast("timestamp").alias("t_"))
-    met = keyed.join(f, (F.col(on) == F.col("f_")) & (F.col("t_") >= F.col("e_") - span) & (F.col("t_") < F.col("e_") + span), "left")
-    return met.groupBy(*events.columns).agg(F.count_if(F.col("t_") < F.col("e_")).alias("before"), F.count_if(F.col("t_") >= F.col("e_")).alias("after"))
+    around = keyed.select(on, "e_").distinct().select("*", F.explode(F.sequence(bucket(F.col("e_")) - 1, bucket(F.col("e_")) + 1)).alias("b_"))
+    f = facts.select(F.col(on).alias("f_"), F.col(ts).cast("timestamp").alias("t_")).groupBy("f_", "t_").agg(F.count(F.lit(1)).alias("n_")).withColumn("b2_", bucket(F.col("t_")))
+    met = around.join(f, (F.col(on) == F.col("f_")) & (F.col("b_") == F.col("b2_")) & (F.col("t_") >= F.col("e_") - span) & (F.col("t_") < F.col("e_") + span))
+    early = F.col("t_") < F.col("e_")
+    counts = met.groupBy(F.col(on).alias("on_"), F.col("e_").alias("at_")).agg(F.sum(F.when(early, F.col("n_"))).alias("before"), F.sum(F.when(~early, F.col("n_"))).alias("after"))
+    out = keyed.join(counts, (F.col(on) == F.col("on_")) & (F.col("e_") == F.col("at_")), "left")
+    return out.select(*events.columns, F.coalesce("before", F.lit(0)).alias("before"), F.coalesce("after", F.lit(0)).alias("after"))
 
 
 def diff_with_previous(lines: DataFrame, entity: str, event: str, item: str, order: str) -> DataFrame:
@@ -111,13 +116,18 @@ def overlap(df: DataFrame, entity: str, key: str, least: int = 1) -> DataFrame:
     return met.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
-def contained_in(sets: DataFrame, group: str, member: str, small: str) -> DataFrame:
-    """(small, big): groups all of whose members another group has; small: a column that marks candidates."""
-    d = sets.select(group, member, small).distinct()
-    size = d.where(small).groupBy(F.col(group).alias("s_")).agg(F.count(F.lit(1)).alias("n_"))
-    met = d.where(small).select(F.col(group).alias("s_"), member).join(d.select(F.col(group).alias("b_"), member), member).where("s_ <> b_")
-    hit = met.groupBy("s_", "b_").agg(F.count(F.lit(1)).alias("c_")).join(size, "s_").where("c_ = n_")
-    return hit.select(F.col("s_").alias("small"), F.col("b_").alias("big"))
+def contained_in(sets: DataFrame, group: str, member: str) -> DataFrame:
+    """(small, big): groups all of whose members another group has, equal ones both ways.
+
+    A group meets only the holders of its rarest member, and of these only those that have as many members or more; then the
+    members themselves are compared.
+    """
+    d = sets.select(F.col(group).alias("g_"), F.col(member).alias("m_")).where("g_ is not null and m_ is not null").distinct()
+    held = d.groupBy("m_").agg(F.count(F.lit(1)).alias("c_"))
+    all_ = d.join(held, "m_").groupBy("g_").agg(F.min_by("m_", F.struct("c_", "m_")).alias("m_"), F.collect_set("m_").alias("all_"))
+    big = d.join(all_.select("g_", F.col("all_").alias("of_")), "g_").select(F.col("g_").alias("b_"), "m_", "of_")
+    met = all_.join(big, "m_").where("g_ <> b_ and size(all_) <= size(of_)").where(F.size(F.array_except("all_", "of_")) == 0)
+    return met.select(F.col("g_").alias("small"), F.col("b_").alias("big"))
 
 
 # --- aggregates ------------------------------------------------------------------------------
@@ -173,10 +183,12 @@ def discovered(df: DataFrame, key: str, ts: str, start: str, end: str) -> DataFr
     return df.groupBy(key).agg(F.min(ts).alias("first"), F.count(F.lit(1)).alias("plays")).where((F.col("first") >= F.lit(start).cast(t)) & (F.col("first") < F.lit(end).cast(t)))
 
 
-def familiarity(df: DataFrame, keys: Sequence[str], ts: str, tie: str) -> DataFrame:
-    """Histogram of how many times a thing had been met: first, 2-10, 11-49, 50+."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(ts, tie))
-    return df.select(F.when(n == 1, "first").when(n <= 10, "2-10").when(n <= 49, "11-49").otherwise("50+").alias("bucket")).groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))
+def familiarity(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Histogram of how many times a thing had been met: first, 2-10, 11-49, 50+. It follows from how often each was met, so no thing's rows are put in order."""
+    n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("c_"))
+    part = lambda name, lo, hi: F.struct(F.lit(name).alias("bucket"), F.greatest(F.least(F.col("c_"), F.lit(hi)) - lo, F.lit(0)).cast("long").alias("n"))
+    sums = n.select(F.inline(F.array(part("first", 0, 1), part("2-10", 1, 10), part("11-49", 10, 49), part("50+", 49, 2**62))))
+    return sums.groupBy("bucket").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 def scaled_total(df: DataFrame, by: str, value: Column, known_least: float = 0.98) -> DataFrame:
@@ -223,3 +235,89 @@ def split_runs(df: DataFrame, group: str, order: str, key: str) -> DataFrame:
 def sample_by_hash(df: DataFrame, key: str, seed: str, n: int) -> DataFrame:
     """The same n rows each time."""
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(seed))), key).limit(n)
+
+
+# --- small filters and joins -----------------------------------------------------------------
+
+def flag_values(df: DataFrame, col: str, values: Sequence[str], name: str = "flagged") -> DataFrame:
+    """Add whether a text, trimmed and in lower case, is one of the values; null: false."""
+    return df.withColumn(name, F.coalesce(F.trim(F.lower(col)).isin(*[v.lower() for v in values]), F.lit(False)))
+
+
+def min_length(df: DataFrame, cols: Sequence[str], n: int) -> DataFrame:
+    """Rows all of whose texts have n characters or more; null: too short."""
+    keep = F.lit(True)
+    for c in cols:
+        keep = keep & (F.length(c) >= n)
+    return df.where(keep)
+
+
+def exclude_values(df: DataFrame, col: str, values: Sequence, other: str | None = None) -> DataFrame:
+    """Rows whose value is none of the listed ones, nor that of the column `other`. Null is no listed value."""
+    out = df.where(~F.coalesce(F.col(col).isin(*values), F.lit(False)))
+    return out.where(~F.col(col).eqNullSafe(F.col(other))) if other else out
+
+
+def where_exists(df: DataFrame, other: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """Rows that another table has a row for."""
+    return df.join(other.select(*([on] if isinstance(on, str) else on)), on, "left_semi")
+
+
+def where_missing(df: DataFrame, other: DataFrame, on: Sequence[str] | str) -> DataFrame:
+    """Rows that another table has no row for; null keys have none."""
+    return df.join(other.select(*([on] if isinstance(on, str) else on)), on, "left_anti")
+
+
+def valid_id(df: DataFrame, col: str, pattern: str = "[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12}", name: str = "valid") -> DataFrame:
+    """Add whether an external id, in lower case, has the shape (of a UUID); null: false."""
+    return df.withColumn(name, F.coalesce(F.lower(F.trim(col)).rlike(f"^({pattern})$"), F.lit(False)))
+
+
+def expand_scope(df: DataFrame, parts: DataFrame, col: str, whole: str, part: str) -> DataFrame:
+    """Add scope: a row for the thing itself and one for each of its parts, one level deep."""
+    both = df.select(F.col(col).alias("w_"), F.col(col).alias("scope")).union(parts.select(whole, part)).distinct()
+    return df.join(both, df[col] == F.col("w_")).drop("w_")
+
+
+def credited(df: DataFrame, bridge: DataFrame, item: str, primary: str, actor: str) -> DataFrame:
+    """(item, actor): the primary actor of an item and all that a bridge credits, each once."""
+    return df.select(item, F.col(primary).alias(actor)).union(bridge.select(item, actor)).where(F.col(actor).isNotNull()).distinct()
+
+
+def star(fact: DataFrame, dims: Sequence[tuple[DataFrame, str, str]], how: str = "inner") -> DataFrame:
+    """Facts with their dimensions: (dimension, fact's column, dimension's key). A dimension is broadcast only where Spark knows it to be small."""
+    for dim, mine, key in dims:
+        fact = fact.join(dim, fact[mine] == dim[key], how)
+    return fact
+
+
+def weight(df: DataFrame, factors: dict[str, float], name: str = "weight") -> DataFrame:
+    """Add the sum of columns times factors; null counts as nothing."""
+    total = F.lit(0)
+    for c, k in factors.items():
+        total = total + F.coalesce(F.col(c), F.lit(0)) * k
+    return df.withColumn(name, total)
+
+
+def rollup_tags(item_tags: DataFrame, credits: DataFrame, item: str, actor: str, tag: str, fallback: DataFrame) -> DataFrame:
+    """(actor, tag, items): tags of an actor's items with how many carry each; for actors without any, the fallback's (actor, tag), with 0."""
+    own = credits.select(item, actor).distinct().join(item_tags.select(item, tag).distinct(), item).groupBy(actor, tag).agg(F.countDistinct(item).alias("items"))
+    rest = fallback.select(actor, tag).distinct().join(own.select(actor).distinct(), actor, "left_anti").withColumn("items", F.lit(0).cast("long"))
+    return own.unionByName(rest)
+
+
+def sort_key(columns: Sequence[tuple[str, bool, object]]) -> list[Column]:
+    """Sort columns of (name, descending, stand-in for null), to be flipped as one."""
+    return [(F.coalesce(F.col(c), F.lit(x)).desc() if down else F.coalesce(F.col(c), F.lit(x)).asc()) for c, down, x in columns]
+
+
+def order_tiers(df: DataFrame, tier: str, confidence: str, tiers: Sequence[str] = ("high", "medium", "low")) -> DataFrame:
+    """Add place: the tier's, unknown ones last; rows are meant to be sorted by it, then by confidence, highest first."""
+    place = F.coalesce(*[F.when(F.col(tier) == t, i) for i, t in enumerate(tiers)], F.lit(len(tiers)))
+    return df.withColumn("place", place).orderBy("place", F.desc(confidence))
+
+
+def best_list(lists: DataFrame, group: str, original: str, lines: str, year: str) -> DataFrame:
+    """One list a group: an original issue before others, then the one with most lines, then the earliest, then the smallest id."""
+    order = F.struct((~F.coalesce(F.col(original), F.lit(False))).alias("o"), (-F.col(lines)).alias("l"), F.coalesce(year, F.lit(9999)).alias("y"), F.col("list").alias("i"))
+    return lists.groupBy(group).agg(F.min_by("list", order).alias("list"))

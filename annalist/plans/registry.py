@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annalist.functions import text, times
+from annalist.operators import entities as N
 from annalist.operators import relational as R
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,9 +50,10 @@ def f5_facet_filter(t):
     return R.facet_filter(t("customer"), {"c_mktsegment": ["BUILDING", "MACHINERY"], "c_nationkey": [1, 2, 3, 4, 5]}).select("c_custkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_orderpriority = '1-URGENT')")
 def f8_where_missing(t):
-    return t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"), "left_anti").select("c_custkey", "c_name")
+    urgent = t("orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
+    return R.where_missing(t("customer"), urgent, "c_custkey").select("c_custkey", "c_name")
 
 
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 50")
@@ -163,7 +165,7 @@ def ag12_facet_counts(t):
 
 @query("SELECT CASE WHEN n = 1 THEN 'first' WHEN n <= 10 THEN '2-10' WHEN n <= 49 THEN '11-49' ELSE '50+' END AS bucket, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) GROUP BY 1")
 def ag14_familiarity(t):
-    return R.familiarity(t("events"), ["user_id", "event_type"], "ts", "event_id")
+    return R.familiarity(t("events"), ["user_id", "event_type"])
 
 
 @query(f"""WITH c AS (SELECT user_id, count(*) FILTER (ts >= TIMESTAMP '{START}') AS now, count(*) FILTER (ts < TIMESTAMP '{START}') AS before FROM events WHERE ts >= TIMESTAMP '{PREVIOUS}' AND ts < TIMESTAMP '{END}' GROUP BY 1),
@@ -216,11 +218,10 @@ def u3_overlap(t):
     return R.overlap(t("lineitem"), "l_suppkey", "l_partkey", 2).withColumn("jaccard", F.round("jaccard", 8))
 
 
-@query("""WITH d AS (SELECT DISTINCT l_orderkey AS g, l_suppkey % 25 AS m FROM lineitem), s AS (SELECT g, count(*) AS n FROM d WHERE g % 10 = 0 GROUP BY 1)
-SELECT x.g AS small, y.g AS big FROM d x JOIN d y ON x.m = y.m AND x.g <> y.g AND x.g % 10 = 0 JOIN s ON s.g = x.g GROUP BY x.g, y.g, s.n HAVING count(*) = s.n""")
+@query("""WITH d AS (SELECT DISTINCT l_orderkey AS g, l_partkey AS m FROM lineitem), s AS (SELECT g, count(*) AS n FROM d GROUP BY 1)
+SELECT x.g AS small, y.g AS big FROM d x JOIN d y ON x.m = y.m AND x.g <> y.g JOIN s ON s.g = x.g GROUP BY x.g, y.g, s.n HAVING count(*) = s.n""")
 def u5_contained_in(t):
-    d = t("lineitem").select("l_orderkey", (F.col("l_suppkey") % 25).alias("m"), (F.col("l_orderkey") % 10 == 0).alias("small"))
-    return R.contained_in(d, "l_orderkey", "m", "small")
+    return R.contained_in(t("lineitem"), "l_orderkey", "l_partkey")
 
 
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS folded, regexp_replace(lower(p_name), '[^a-z0-9]+', '', 'g') AS compact FROM part")
@@ -228,11 +229,10 @@ def s1_fold(t):
     return t("part").select("p_partkey", text.fold(F.col("p_name")).alias("folded"), text.compact(F.col("p_name")).alias("compact"))
 
 
-@query("SELECT a.p_partkey AS a, b.p_partkey AS b, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 8) AS similarity FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey < b.p_partkey WHERE 1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)) >= 0.75")
+@query("""WITH t AS (SELECT p_brand, p_name, min(p_partkey) AS id FROM part GROUP BY ALL)
+SELECT a.id AS a, b.id AS b, a.p_brand AS block, round(1 - levenshtein(a.p_name, b.p_name) / greatest(length(a.p_name), length(b.p_name)), 4) AS similarity FROM t a JOIN t b ON a.p_brand = b.p_brand AND a.id < b.id WHERE 4 * levenshtein(a.p_name, b.p_name) <= greatest(length(a.p_name), length(b.p_name))""")
 def s13_similarity(t):
-    p = t("part").select("p_partkey", "p_name", "p_brand")
-    s = text.similarity(F.col("x.p_name"), F.col("y.p_name"))
-    return p.alias("x").join(p.alias("y"), F.expr("x.p_brand = y.p_brand and x.p_partkey < y.p_partkey")).select(F.col("x.p_partkey").alias("a"), F.col("y.p_partkey").alias("b"), s.alias("similarity")).where("similarity >= 0.75").withColumn("similarity", F.round("similarity", 8))
+    return N.near_pairs(t("part"), "p_partkey", "p_name", 75, "p_brand")
 
 
 @query("SELECT event_id, strftime(ts, '%Y-%m-%d %H') AS hour_key, strftime(ts, '%Y-%m') AS month_key, hour(ts)::INTEGER AS hour, (isodow(ts) - 1)::INTEGER AS weekday, floor(date_diff('day', DATE '2024-01-10', ts::DATE) / 7)::BIGINT AS week FROM events")

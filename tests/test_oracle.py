@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+import annalist.plans.basics
 import annalist.plans.curation
 import annalist.plans.entities
 import annalist.plans.titles  # noqa: F401 (all three add their queries)
