@@ -10,7 +10,7 @@ A shingle that few classes share gives all their pairs. One that many share give
 the largest share of costly shingles, and every member is compared with the hub. For members that this leaves in another
 component, the group is joined again on what sets them apart from the hub: two sets have as many members apart as their
 differences from the hub have, so linked ones share part of these, and the same prefixes serve, now in the order of how
-many of the group hold an element. Elements that very many hold give smaller groups around new hubs, until none is left. So
+many of the group hold an element. Members far from the hub are joined on their sets. Elements that very many hold give smaller groups around new hubs, until none is left. So
 no link between two components is lost, and no group's pairs are all made.
 """
 
@@ -68,14 +68,15 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("a", "l")
 
 
-def _together(pairs: DataFrame, content: DataFrame, work, kind: pa.DataType, out: str, salts: int) -> DataFrame:
-    """pairs (a, b, ...) with a column `out` of what `work` says of both sets. A set a is sent once to each of `salts` tasks at most, ahead of the sets it meets."""
+def _together(pairs: DataFrame, content: DataFrame, work, out: str, salts: int) -> DataFrame:
+    """pairs (a, b, ...) with the columns `out` that `work` tells of both sets, flags or lists of longs. A set a is sent once to each of `salts` tasks at most, ahead of the sets it meets."""
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")
     sets = content.select("k", "tokens")
     others = pairs.select("*", salt).join(sets.withColumnRenamed("k", "b").hint("merge"), "b")
     own = pairs.select("a", salt).distinct().join(sets.withColumnRenamed("k", "a").hint("merge"), "a")
     dealt = own.unionByName(others, allowMissingColumns=True).select(*pairs.columns, "tokens", "salt").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
-    columns = pairs.columns
+    columns, fields = pairs.columns, [x.split() for x in out.split(", ")]
+    kinds = {"boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
 
     def run(batches):
         mine = None
@@ -89,9 +90,10 @@ def _together(pairs: DataFrame, content: DataFrame, work, kind: pa.DataType, out
                     at.append(i)
                     got.append(work(mine, tokens))
             kept = batch.take(pa.array(at, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*kept.columns[: len(columns)], pa.array(got, kind)], [*columns, out])
+            more = [pa.array([g[i] for g in got], kinds[kind]) for i, (_, kind) in enumerate(fields)]
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(columns)], *more], [*columns, *(name for name, _ in fields)])
 
-    return dealt.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in [*pairs.dtypes, (out, "boolean" if kind == pa.bool_() else "array<long>")]))
+    return dealt.mapInArrow(run, ", ".join([*(f"{c} {t}" for c, t in pairs.dtypes), out]))
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, least: Fraction = Fraction(3, 4), lower: bool = True, most_match: int = 4, sample: int = 8, bits: int = 1 << 24, few: int = FEW, meet: int = MEET) -> DataFrame:
@@ -262,14 +264,20 @@ def _near(pairs: DataFrame, light: DataFrame, p: int, q: int) -> DataFrame:
 
 def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataFrame, p: int, q: int, meet: int) -> DataFrame:
     """(node, component) of classes: links among the pairs `todo` (a, b), and between components among the members of groups (g, hub, hub_n, k, n)."""
-    linked = lambda x, y: (i := len(np.intersect1d(x, y, assume_unique=True))) * q >= p * (len(x) + len(y) - i)
-    differ = lambda x, y: np.setxor1d(x, y, assume_unique=True).view(np.int64)
+    linked = lambda x, y: ((i := len(np.intersect1d(x, y, assume_unique=True))) * q >= p * (len(x) + len(y) - i),)
+
+    def centred(hub: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What sets x apart from the hub if that is little, and x itself if it is much; both between. A set with n members and over n apart from the hub has no link with one that has under half as many apart as members."""
+        d = np.setxor1d(hub, x, assume_unique=True)
+        none = np.empty(0, np.int64)
+        return d.view(np.int64) if 2 * p * len(d) <= (3 * q - 2 * p) * len(x) else none, x.view(np.int64) if 2 * len(d) > len(x) else none
+
     checked = edges = named = None
     while True:
         new = todo.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).dropDuplicates(["x", "y"])
         if checked is not None:
             new = stored(new.join(checked, ["x", "y"], "left_anti"))
-        judged = stored(_together((new if checked is None else _near(new, light, p, q)).select("a", "b"), content, linked, pa.bool_(), "linked", 4))
+        judged = stored(_together((new if checked is None else _near(new, light, p, q)).select("a", "b"), content, linked, "linked boolean", 4))
         pairs, found = new.select("x", "y"), judged.where("linked").select("a", "b")
         checked, edges = (pairs, found) if checked is None else (checked.unionByName(pairs), edges.unionByName(found))
         if named is None or not found.isEmpty():
@@ -281,7 +289,10 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
         if now.where("apart").isEmpty():
             return named
         now = now.join(now.where("apart").select("g").distinct(), "g", "left_semi").select(now.columns)
-        left, right = _openings(stored(_together(now, content, differ, pa.list_(pa.int64()), "d", SALTS)), p, q)
+        both = stored(_together(now, content, centred, "d array<long>, own array<long>", SALTS)).select(F.col("b").alias("k"), "*")
+        near_hub = both.where("size(d) > 0").select("g", "k", "n", "hub_n", "c", "apart", "d")
+        far = both.where("size(own) > 0").select(F.xxhash64("g").alias("g"), "k", "n", F.lit(0).alias("hub_n"), "c", F.lit(True).alias("apart"), F.col("own").alias("d"))
+        left, right = _openings(near_hub.unionByName(far), p, q)
 
         # Elements that few hold give pairs, the others groups around new hubs.
         held = stored(left.groupBy("g", "e").agg(F.count(F.lit(1)).alias("l"), F.min(F.struct("odd", "k", "n")).alias("h")).join(right.groupBy("g", "e").agg(F.count(F.lit(1)).alias("r")), ["g", "e"]))
@@ -306,12 +317,13 @@ def _openings(apart: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
     hub, which bounds the size of its difference from below. Only elements that another member holds too can be shared,
     and one of both is in another component than the hub.
     """
-    rows = apart.select("g", F.col("b").alias("k"), "n", "hub_n", "c", "apart", F.size("d").cast("long").alias("d_n"), F.explode("d").alias("e"))
+    rows = apart.select("g", "k", "n", "hub_n", "c", "apart", F.size("d").cast("long").alias("d_n"), F.explode("d").alias("e"))
     f = rows.groupBy("g", "e").agg(F.count(F.lit(1)).alias("f"), F.max("apart").alias("any")).where("f > 1 and any").select("g", "e", "f")
     kept = rows.join(f, ["g", "e"]).groupBy("g", "k", "n", "hub_n", "c", "apart", "d_n").agg(F.sort_array(F.collect_set(F.struct("f", "e"))).alias("es"))
     any_partner: Column = F.expr(f"greatest(1, d_n - ((n + n * {q} div {p}) * {q - p}) div {q + p})")
     apart_partner: Column = F.expr(f"cast(ceil((({q + p}) * d_n + ({q - p}) * (hub_n - n)) / {2 * (q + p)}) as bigint)")
-    kept = stored(kept.select("g", "k", "n", "c", "apart", "d_n", "es", F.size("es").cast("long").alias("shared"), any_partner.alias("need"), F.greatest(any_partner, apart_partner).alias("need_apart")))
+    whole: Column = F.when(F.col("hub_n") == 0, F.expr(f"(n * {p} + {q - 1}) div {q}")).otherwise(1)
+    kept = stored(kept.select("g", "k", "n", "c", "apart", "d_n", "es", F.size("es").cast("long").alias("shared"), F.greatest(any_partner, whole).alias("need"), F.greatest(any_partner, apart_partner, whole).alias("need_apart")))
 
     def opening(df: DataFrame, need: str) -> DataFrame:
         length = F.col("shared") - F.col(need) + 1

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df without its lineage, checkpointed in the session's shared folder; in one of our own only where the session names none."""
+    """df without its lineage, checkpointed in the session's shared folder; in a temporary one only in a local session that names none."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return df.checkpoint()
 
 
@@ -73,23 +76,31 @@ def backfill_unambiguous(df: DataFrame, key: str, value: str) -> DataFrame:
 
 # --- merges ----------------------------------------------------------------------------------
 
-def follow(links: DataFrame, a: str, b: str, hops: int = 64) -> DataFrame:
-    """Links with each chain followed to its end, up to `hops` links. The reach doubles each round; a cycle ends with the rounds."""
-    now = links.select(a, b)
-    for _ in range(max(1, hops - 1).bit_length()):
+def follow(links: DataFrame, a: str, b: str) -> DataFrame:
+    """Links with each chain followed to its end, however long; b is null where the chain runs into a cycle and so has none.
+
+    The reach doubles each round. Links that still move after as many rounds as it takes to reach through all of them
+    stand before a cycle or on one.
+    """
+    now = cut(links.select(a, b))
+    for _ in range(now.count().bit_length() + 1):
         far = now.select(F.col(a).alias(b), F.col(b).alias("far_"))
         now = cut(now.join(far, b, "left").select(a, F.coalesce("far_", b).alias(b), F.col("far_").isNotNull().alias("moved_")))
         if now.where("moved_").isEmpty():
-            break
-        now = now.drop("moved_")
-    return now.select(a, b)
-
-
-def validate_merges(merges: DataFrame, dim: DataFrame, a: str, b: str, key: str, owner: str) -> DataFrame:
-    """Add reason: self, unknown, owner (the two belong to different ones) or null for a merge that may be made."""
-    side = lambda c, name: dim.select(F.col(key).alias(c), F.col(owner).alias(name), F.lit(True).alias(f"{name}_is"))
-    met = merges.join(side(a, "oa_"), a, "left").join(side(b, "ob_"), b, "left")
-    reason = F.when(F.col(a) == F.col(b), "self").when(F.col("oa__is").isNull() | F.col("ob__is").isNull(), "unknown").when(~F.col("oa_").eqNullSafe(F.col("ob_")), "owner")
+            return now.select(a, b)
+        last, now = now, now.drop("moved_")
+    return last.select(a, F.when(~F.col("moved_"), F.col(b)).alias(b))
+
+
+def validate_merges(merges: DataFrame, dim: DataFrame, a: str, b: str, key: str, owner: str, ext: str | None = None) -> DataFrame:
+    """Add reason: self, unknown, owner (the two belong to different ones), ids (they carry different external ids), twice (merged into several) or null for a merge that may be made."""
+    side = lambda c, n: dim.select(F.col(key).alias(c), F.col(owner).alias(f"o{n}_"), (F.col(ext) if ext else F.lit(None)).cast("string").alias(f"x{n}_"), F.lit(True).alias(f"in{n}_"))
+    targets = merges.groupBy(F.col(a).alias("t_")).agg((F.min(b) < F.max(b)).alias("twice_"))
+    met = merges.join(side(a, "a"), a, "left").join(side(b, "b"), b, "left").join(targets, F.col(a) == F.col("t_"), "left")
+    reason = (
+        F.when(F.col(a) == F.col(b), "self").when(F.col("ina_").isNull() | F.col("inb_").isNull(), "unknown").when(~F.col("oa_").eqNullSafe(F.col("ob_")), "owner")
+        .when(F.col("xa_") != F.col("xb_"), "ids").when(F.col("twice_"), "twice")
+    )
     return met.select(*merges.columns, reason.alias("reason"))
 
 
@@ -109,14 +120,28 @@ def journal(before: DataFrame, after: DataFrame, key: str, fields: Sequence[str]
     return met.select(key, F.inline(rows)).withColumn("batch", F.lit(batch))
 
 
-def undo(current: DataFrame, journal_: DataFrame, key: str, field: str, batch: str) -> DataFrame:
-    """current with a batch's changes of a field reversed, and refused: true where the value was changed again since and so stays."""
-    j = journal_.where((F.col("batch") == batch) & (F.col("field") == field)).select(key, "old", "new", F.lit(True).alias("in_"))
-    met = current.join(j, key, "left")
-    same = F.col(field).cast("string").eqNullSafe(F.col("new"))
-    kind = current.schema[field].dataType
-    value = F.when(F.col("in_") & same, F.col("old").cast(kind)).otherwise(F.col(field))
-    return met.select(*[value.alias(c) if c == field else F.col(c) for c in current.columns], F.coalesce(F.col("in_") & ~same, F.lit(False)).alias("refused"))
+def undo(current: DataFrame, journal_: DataFrame, key: str, fields: Sequence[str], batch: str) -> DataFrame:
+    """(key, fields, refused): current with a batch reversed exactly as the journal says: changed fields go back, rows that went come back, rows that came go.
+
+    refused: the row was changed again since and stays as it is. A row that went and is there again is left as it is.
+    """
+    kinds = {c: current.schema[c].dataType.simpleString() for c in fields}
+    j = journal_.where(F.col("batch") == batch)
+    change = lambda c: F.max(F.when(F.col("field") == c, F.struct("old", "new"))).alias(f"{c}_j")
+    one_sided = F.col("field").isNull()
+    by_key = j.groupBy(key).agg(*[change(c) for c in fields], F.max(F.when(one_sided, F.struct("old", "new"))).alias("row_j"))
+    met = current.select(key, *fields, F.lit(True).alias("in_")).join(by_key, key, "full")
+    now = F.to_json(F.struct(*[F.col(c).cast("string").alias(c) for c in fields]))
+    came, went = F.col("row_j").isNotNull() & F.col("row_j.old").isNull(), F.col("row_j.old").isNotNull()
+    moved = F.lit(False)
+    for c in fields:
+        moved = moved | F.coalesce(F.col(f"{c}_j").isNotNull() & ~F.col(c).cast("string").eqNullSafe(F.col(f"{c}_j.new")), F.lit(False))
+    here = F.col("in_").isNotNull()
+    refused = here & (moved | went | (came & (now != F.col("row_j.new"))))
+    met = met.withColumn("refused", F.coalesce(refused, F.lit(False))).where(~(came & (~here | ~F.col("refused"))) & (here | went))
+    old = F.from_json("row_j.old", ", ".join(f"{c} string" for c in fields))
+    value = lambda c: F.when(~here, old[c].cast(kinds[c])).when(~F.col("refused") & F.col(f"{c}_j").isNotNull(), F.col(f"{c}_j.old").cast(kinds[c])).otherwise(F.col(c)).alias(c)
+    return met.select(key, *[value(c) for c in fields], "refused")
 
 
 # --- tags ------------------------------------------------------------------------------------
@@ -138,11 +163,13 @@ def apply_source(current: DataFrame, incoming: DataFrame, entity: str, tag: str,
 
 
 def apply_rules(tags: DataFrame, rules: DataFrame, entity: str, tag: str, hops: int = 8) -> DataFrame:
-    """Tags by the rules (tag, target): a target replaces the tag, along chains; a null target hides it."""
-    merges = follow(rules.where(F.col("target").isNotNull()), tag, "target", hops)
+    """Tags by the rules (tag, target): a target replaces the tag, along chains of `hops` links at most, so that a cycle ends there; a null target hides it."""
+    merges = rules.where(F.col("target").isNotNull()).groupBy(F.col(tag).alias("from_")).agg(F.min("target").alias("to_"))
+    now = tags.select(entity, F.col(tag).alias("end_"))
+    for _ in range(hops):
+        now = now.join(merges, F.col("end_") == F.col("from_"), "left").select(entity, F.coalesce("to_", "end_").alias("end_"))
     hidden = rules.where(F.col("target").isNull()).select(F.col(tag).alias("end_"))
-    met = tags.join(merges, tag, "left").select(entity, F.coalesce("target", tag).alias("end_"))
-    return met.join(hidden, "end_", "left_anti").select(entity, F.col("end_").alias(tag)).distinct()
+    return now.join(hidden, "end_", "left_anti").select(entity, F.col("end_").alias(tag)).distinct()
 
 
 def ordered_tags(votes: DataFrame, entity: str, tag: str, n: str) -> DataFrame:

@@ -68,10 +68,10 @@ def u2_union_all(t):
     return count(t("lineitem"), "line", "l_suppkey").unionByName(count(t("part"), "part", "p_size"))
 
 
-@query("SELECT DISTINCT l_partkey FROM lineitem WHERE l_returnflag = 'A' AND l_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_returnflag = 'R')")
+@query("SELECT DISTINCT l_orderkey FROM lineitem WHERE l_returnflag = 'A' AND l_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')")
 def u4_minus(t):
     lines = t("lineitem")
-    return lines.where("l_returnflag = 'A'").select("l_partkey").distinct().join(lines.where("l_returnflag = 'R'"), "l_partkey", "left_anti")
+    return lines.where("l_returnflag = 'A'").select("l_orderkey").distinct().join(lines.where("l_returnflag = 'R'"), "l_orderkey", "left_anti")
 
 
 # --- merges ----------------------------------------------------------------------------------
@@ -98,10 +98,10 @@ def m3_validate_merges(t):
     return C.validate_merges(merges, t("part"), "absorbed", "canonical", "p_partkey", "p_brand")
 
 
-@query("""SELECT DISTINCT l_partkey % 100 AS entity, l_linestatus AS alias FROM lineitem WHERE l_partkey % 5 = 0 EXCEPT SELECT l_partkey % 100, l_linestatus FROM lineitem WHERE l_returnflag = 'N'""")
+@query("""SELECT DISTINCT l_partkey AS entity, l_linestatus AS alias FROM lineitem WHERE l_partkey % 5 = 0 EXCEPT SELECT l_partkey, l_linestatus FROM lineitem WHERE l_returnflag = 'N'""")
 def m4_alias_rows(t):
     """Every spelling that moved rows come with and that is not an alias yet."""
-    lines = t("lineitem").select((F.col("l_partkey") % 100).alias("entity"), F.col("l_linestatus").alias("alias"), "l_returnflag", "l_partkey")
+    lines = t("lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_linestatus").alias("alias"), "l_returnflag", "l_partkey")
     return lines.where("l_partkey % 5 = 0").select("entity", "alias").distinct().join(lines.where("l_returnflag = 'N'").select("entity", "alias").distinct(), ["entity", "alias"], "left_anti")
 
 
@@ -116,13 +116,17 @@ def m5_journal(t):
     return C.journal(o, _edited(o), "o_orderkey", ["o_orderstatus", "o_custkey"], "b1")
 
 
-@query("""SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE o_custkey END AS o_custkey, o_orderkey % 7 = 0 AND o_orderkey % 5 = 0 AND o_custkey <> 1 AS refused FROM orders""")
+@query("""WITH c AS (SELECT o_orderkey, o_orderstatus, o_custkey, o_orderkey % 7 = 0 AND o_orderkey % 11 <> 0 AS again, o_orderkey % 5 = 0 AND o_custkey <> 1 AS moved FROM orders WHERE o_orderkey > 0)
+SELECT o_orderkey, CASE WHEN again AND moved AND o_orderkey % 3 = 0 THEN 'F' ELSE o_orderstatus END AS o_orderstatus, CASE WHEN again THEN -2 ELSE o_custkey END AS o_custkey, again AND moved AS refused FROM c
+UNION ALL SELECT -o_orderkey, 'N', 0, true FROM c WHERE o_orderkey % 91 = 0""")
 def m6_undo(t):
-    """Customers moved by a batch go back, except those moved again since."""
-    o = t("orders").select("o_orderkey", "o_orderstatus", "o_custkey")
-    after = _edited(o)
-    now = after.withColumn("o_custkey", F.when(F.col("o_orderkey") % 7 == 0, 2).otherwise(F.col("o_custkey")))
-    return C.undo(now, C.journal(o, after, "o_orderkey", ["o_orderstatus", "o_custkey"], "b1"), "o_orderkey", "o_custkey", "b1").select("o_orderkey", "o_custkey", "refused")
+    """A batch changed statuses and customers, dropped every eleventh order and added some; since then some customers moved on and some added orders changed. All that was left alone goes back."""
+    o = t("orders").where("o_orderkey > 0").select("o_orderkey", "o_orderstatus", "o_custkey")  # its negative is another key
+    added = o.where("o_orderkey % 13 = 0").selectExpr("-o_orderkey as o_orderkey", "'A' as o_orderstatus", "o_custkey")
+    after = _edited(o).where("o_orderkey % 11 <> 0").unionByName(added)
+    now = after.withColumn("o_custkey", F.expr("case when o_orderkey > 0 and o_orderkey % 7 = 0 then -2 when o_orderkey < 0 and o_orderkey % 7 = 0 then 0 else o_custkey end"))
+    now = now.withColumn("o_orderstatus", F.expr("case when o_orderkey < 0 and o_orderkey % 7 = 0 then 'N' else o_orderstatus end"))
+    return C.undo(now, C.journal(o, after, "o_orderkey", ["o_orderstatus", "o_custkey"], "b1"), "o_orderkey", ["o_orderstatus", "o_custkey"], "b1")
 
 
 # --- tags, editions --------------------------------------------------------------------------

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import annalist.plans.basics
+import annalist.plans.changes
 import annalist.plans.curation
 import annalist.plans.entities
 import annalist.plans.titles  # noqa: F401 (all three add their queries)
@@ -22,7 +23,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, duck, name):
     got = QUERIES[name](spark, DATA)
     rel = duck.sql(ORACLE_SQL[name])

@@ -58,9 +58,9 @@ def test_sources(spark, tmp_path):
 
 
 def test_merge_chains_and_gate(spark):
-    links = spark.createDataFrame([(i, i - 1) for i in range(1, 41)] + [(100, 101), (101, 100)], "a long, b long")
+    links = spark.createDataFrame([(i, i - 1) for i in range(1, 201)] + [(300, 301), (301, 300), (302, 300)], "a long, b long")
     got = {r.a: r.b for r in C.follow(links, "a", "b").collect()}
-    assert all(got[i] == 0 for i in range(1, 41)) and {got[100], got[101]} <= {100, 101}
+    assert all(got[i] == 0 for i in range(1, 201)) and got[300] is got[301] is got[302] is None
     before, after = (spark.createDataFrame(x, "check string, n long") for x in ([("a", 1), ("b", 2)], [("a", 1), ("b", 3), ("c", 1)]))
     assert sorted(map(tuple, C.worsened(before, after).collect())) == [("b", 2, 3), ("c", 0, 1)]
 
