@@ -9,7 +9,9 @@ import annalist.plans.basics
 import annalist.plans.changes
 import annalist.plans.curation
 import annalist.plans.entities
-import annalist.plans.titles  # noqa: F401 (all three add their queries)
+import annalist.plans.pages
+import annalist.plans.resolving
+import annalist.plans.titles  # noqa: F401 (all of them add their queries)
 from annalist.plans.registry import ORACLE_SQL, QUERIES
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
