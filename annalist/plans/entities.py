@@ -332,7 +332,7 @@ def a12_explode_json(t):
     return tables.explode_json(e, "list", "bigint", "v")
 
 
-@query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1")
+@query("SELECT user_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events WHERE user_id IS NOT NULL) WHERE r = 1")
 def x6_first_seen(t):
     e = t("events").where("user_id is not null").select("user_id", "ts", "event_id")
     return streams.first_seen(e, "user_id", "ts").withColumn("ts", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))

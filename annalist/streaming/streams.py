@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import MapType, StructType
 
 
 def stream_plays(spark: SparkSession, path: str, schema: StructType, files: int = 100) -> DataFrame:
@@ -48,10 +48,11 @@ def sessions(df: DataFrame, key: str, ts: str, gap: str = "30 minutes", delay: s
 
 
 def first_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
-    """The first row of each key: by time in a table, as they come in a stream, which remembers every key."""
-    if df.isStreaming:
-        return df.dropDuplicates([key])
-    return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), ts).alias("r_")).select(*[key if c == key else F.col(f"r_.{c}").alias(c) for c in df.columns])
+    """The first row of each key by time, of one time the smallest by its other columns. A stream remembers every key and is to be written in update mode: a key comes again if an earlier row of it arrives late."""
+    rest = [c for c in df.columns if c not in (key, ts)]
+    order = F.struct(ts, *[c for c in rest if not isinstance(df.schema[c].dataType, MapType)])
+    first = F.min_by(F.struct(ts, *rest), order).alias("r_")
+    return df.groupBy(key).agg(first).select(*[key if c == key else F.col(f"r_.{c}").alias(c) for c in df.columns])
 
 
 def run_summary(batch: DataFrame, batch_id: int, key: str) -> DataFrame:

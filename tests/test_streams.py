@@ -68,7 +68,22 @@ def test_merge_chains_and_gate(spark):
 def test_first_seen_and_summary(spark, folder, tmp_path):
     table = spark.read.parquet(folder)
     plays = X.stream_plays(spark, folder, table.schema, files=1)
-    assert len(run(X.first_seen(plays, "user_id", "ts").select("user_id"), "append", "first", tmp_path)) == table.select("user_id").distinct().count()
+    want = {r.user_id: r.ts for r in table.where("user_id is not null").groupBy("user_id").agg(F.min("ts").alias("ts")).collect()}
+    got: dict = {}
+    for user, ts in run(X.first_seen(plays.where("user_id is not null").select("user_id", "ts"), "user_id", "ts"), "update", "first", tmp_path):
+        got[user] = min(ts, got.get(user, ts))
+    assert got == want
+    tied = spark.createDataFrame([(1, "2024-01-01", 9), (1, "2024-01-01", 3), (1, "2024-01-02", 1)], "k long, t string, x long")
+    assert [tuple(r) for r in X.first_seen(tied, "k", "t").collect()] == [(1, "2024-01-01", 3)]
+
+
+def test_dedupe_stream(spark, folder, tmp_path):
+    """Repeated rows of a stream come once, as in a table."""
+    table = spark.read.parquet(folder)
+    plays = X.stream_plays(spark, folder, table.schema, files=1)
+    twice = plays.union(plays)
+    got = run(X.dedupe(twice, ["event_id"], "ts", "60 days").select("event_id"), "append", "twice", tmp_path)
+    assert sorted(r[0] for r in got) == sorted(r.event_id for r in X.dedupe(table.union(table), ["event_id"], "ts", "1 day").select("event_id").collect())
     assert X.run_summary(table, 7, "user_id").collect()[0][:2] == (7, table.count())
 
 
