@@ -89,7 +89,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     stretch (a point for each equal word, two off for each other) among those of least_words words or more, or of the
     whole item if that is shorter, with `identity` of their words equal. No such stretch is missed. Words are compared in lower case, without ASCII punctuation.
     Null or empty texts and items, and items under five words: no row. Null doc_id or item_id: left out. Repeated rows:
-    as one. A very long text: hashed in pieces; only the surroundings of hits leave the task. Empty tables: no rows.
+    as one. Ties: of equally good stretches the one that starts first. Other columns, whatever their names, are not read. A very long text: hashed in pieces; only the surroundings of hits leave the task. Empty tables: no rows.
     bits: size of the bitmap of items' seeds by which documents' seeds are sifted before the join.
     """
     docs = texts(docs, id_col, text_col).where("doc_id is not null and text is not null")

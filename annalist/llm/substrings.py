@@ -1,9 +1,12 @@
-"""Removal of repeated word runs by prefix-partitioned suffix trees.
-
-A suffix is one word position of one document; only its first `n_words` words matter, so two suffixes meet in an
-internal node of depth n_words or more exactly when those words agree. Suffixes go to groups by a prefix of variable
-length: the shortest one that is not too common. A group's tree is its sorted suffixes; runs of equal ones are the deep
-internal nodes. Suffixes whose longest prefix is still too common are reduced by Spark's own partial aggregation.
+"""Removal of repeated word runs over prefix-partitioned groups of suffixes.
+
+A suffix is one word position of one document. Suffixes go to groups by a prefix of variable length: the shortest one
+that is not too common, so that a group holds about as many as fit in memory. Two suffixes meet in an internal node of
+depth n_words or more of their group's suffix tree exactly when their first n_words words agree. Only these nodes are
+wanted, so in place of the tree a group holds a hash of each suffix's first n_words words and sorts by it: runs of equal
+hashes are the nodes, and what lies below them is never compared. No maximal repeats longer than that come out as such;
+neighbouring windows join to ranges instead. Shipping the words of every suffix, as the whole tree needs, would take over
+eight times the input. Suffixes whose longest prefix is still too common are reduced by Spark's own partial aggregation.
 """
 
 from __future__ import annotations
@@ -185,7 +188,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     Windows are judged on the input texts. One row per input row: doc_id, n_words, n_removed, kept_text (the kept words,
     joined by a space). Null or empty text: no words. Null doc_id: kept whole, and no document is smaller for its sake.
-    Texts under n_words words: kept whole. Repeated rows: of the same id, so neither removes words of the other. Rows
+    Texts under n_words words: kept whole. Repeated rows: of the same id, so neither removes words of the other. Ties: of windows equal across documents that
+    of the smallest id stays, whatever its place. Other columns, whatever their names, are not read. Rows
     that share an id but not a text: word positions repeated in one of the texts go from all. A very long text is hashed in
     pieces; its suffixes are dealt out like any. An empty table: no rows.
     bits: size of the bitmap of documents with repeats, which only decides how many others are dealt out with them.
