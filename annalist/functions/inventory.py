@@ -143,3 +143,18 @@ def clean_text(c: Column, boilerplate: tuple[str, ...] = (), shared: str | None
     parts = F.filter(F.transform(F.split(c, r"\n"), lambda p: F.trim(F.regexp_replace(p, r"[ \t]+", " "))), lambda p: p != "")
     text = F.nullif(F.array_join(parts, "\n\n"), F.lit(""))
     return F.when(~text.rlike(shared), text) if shared else text
+
+
+def format_text(formats: Column) -> Column:
+    """The export's shorthand of array<struct<name, qty, descriptions>>: "2xLP, Album, RE + CD". Descriptions that are media stand for the name; known ones are shortened, others left."""
+    short = F.create_map(*[F.lit(x) for of in FORMATS.values() for code, label in of.items() if code != "Cry" for x in (label, code)])
+
+    def one(f: Column) -> Column:
+        words = F.coalesce(f["descriptions"], F.array().cast("array<string>"))
+        media = F.filter(words, lambda x: x.rlike(MEDIA))
+        name = F.coalesce(F.get(media, F.lit(0)), f["name"])
+        count = F.when(f["qty"] > 1, F.concat(f["qty"].cast("string"), F.lit("x"), name)).otherwise(name)
+        rest = F.transform(F.filter(words, lambda x: ~x.rlike(MEDIA)), lambda x: F.coalesce(F.try_element_at(short, x), x))
+        return F.array_join(F.concat(F.array(count), rest), ", ")
+
+    return F.array_join(F.transform(formats, one), " + ")

@@ -222,11 +222,14 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     rare = rare.join(more.select(F.col("k").alias("a"), F.col("more").alias("ca")), "a", "left").join(more.select(F.col("k").alias("b"), F.col("more").alias("cb")), "b", "left")
     todo = stored(rare.where(F.col("c") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))) >= F.least(match("na", "la"), match("nb", "lb"))).select("a", "b"))
 
-    sides = lambda pairs, *more: pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(groups.join(groups.groupBy("g").count().where(" and ".join(["count > 0", *more])), "g").select("k")).union(groups.select("hub")).distinct()
-    light = stored(members.join(sides(todo).hint("merge"), "k", "left_semi").select("k", "n", "parity").dropDuplicates(["k"]))
+    def in_any(pairs: DataFrame, groups: DataFrame) -> DataFrame:
+        return pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(groups.select("k")).union(groups.select("hub")).distinct().hint("merge")
+
+    light = stored(members.join(in_any(todo, groups), "k", "left_semi").select("k", "n", "parity").dropDuplicates(["k"]))
     # Sets are fetched of classes in pairs that may be linked, and of the members of groups of three or more.
     first_pairs = stored(_near(todo.unionByName(_stars(groups, p, q)).distinct(), light, p, q))
-    firsts = members.where("k is not null").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(sides(first_pairs, "count > 1").hint("merge"), "k", "left_semi")
+    several = groups.join(groups.groupBy("g").agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "g", "left_semi")
+    firsts = members.where("k is not null").groupBy("k").agg(F.min(F.coalesce("doc_id", F.lit(-1))).alias("d")).join(in_any(first_pairs, several), "k", "left_semi")
     needed = spark.sparkContext.broadcast(bitmap(firsts, "d", bits))
 
     def contents(batches):

@@ -175,3 +175,29 @@ def variant_merges(journal: DataFrame, items: DataFrame) -> DataFrame:
     met = journal.join(items.select(F.col("item").alias("canonical"), F.col("title").alias("now_")), "canonical")
     out = met.select("absorbed", "canonical", F.array_except(tags("absorbed_title"), tags("now_")).alias("tags"))
     return out.where(F.size("tags") > 0)
+
+
+def review_tags(current: DataFrame, decisions: DataFrame, hidden: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Tags (entity, tag) after decisions (entity, tag, decision), the hidden ones, and the journal (entity, tag, action). keep: stays, or comes in; drop: goes; reject: goes and is hidden, so that no source brings it back. Of several decisions on one tag the last in this order counts."""
+    d = decisions.groupBy("entity", "tag").agg(F.max(F.struct(F.array_position(F.array(*[F.lit(x) for x in ("keep", "drop", "reject")]), F.col("decision")).alias("o"), "decision")).alias("d_")).select("entity", "tag", F.col("d_.decision").alias("decision"))
+    gone = d.where("decision <> 'keep'").select("entity", "tag")
+    after = current.select("entity", "tag").unionByName(d.where("decision = 'keep'").select("entity", "tag")).distinct().join(gone, ["entity", "tag"], "left_anti")
+    hid = hidden.select("entity", "tag").unionByName(d.where("decision = 'reject'").select("entity", "tag")).distinct()
+    was = current.select("entity", "tag").distinct().withColumn("was_", F.lit(True))
+    journal = after.withColumn("is_", F.lit(True)).join(was, ["entity", "tag"], "full").where("was_ is null or is_ is null")
+    return after, hid, journal.select("entity", "tag", F.when(F.col("is_"), "added").otherwise("removed").alias("action"))
+
+
+def version_groups(parents: DataFrame, key: str, owner: str, title: str, order: Sequence[Column]) -> DataFrame:
+    """(owner, k, n, primary, members): parents of one owner whose titles agree but for their suffixes, two or more; the one that stands for them has no suffix if any has none, then comes first in the order."""
+    t = parents.withColumn("s_", split_title(F.col(title))).withColumn("k", fold(F.col("s_.base")))
+    first = F.struct((F.size("s_.tags") > 0).alias("o0"), *[o.alias(f"o{i}") for i, o in enumerate(order, 1)])
+    return t.where("k <> ''").groupBy(owner, "k").agg(F.count(F.lit(1)).alias("n"), F.min_by(key, first).alias("primary"), F.array_sort(F.collect_list(key)).alias("members")).where("n > 1")
+
+
+def list_queue(matches: DataFrame, lines: DataFrame, items: DataFrame, parent: str) -> DataFrame:
+    """(parent, lines, matched, empty, extra): how many lines of a parent's list are matched by an item, how many have none, and how many items stand on no line. matches (parent, line, item)."""
+    n = lambda df, name: df.groupBy(parent).agg(F.count(F.lit(1)).alias(name))
+    met = n(lines, "lines").join(matches.groupBy(parent).agg(F.countDistinct("line").alias("matched"), F.countDistinct("item").alias("used_")), parent, "full").join(n(items, "items_"), parent, "full")
+    z = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return met.select(parent, z("lines").alias("lines"), z("matched").alias("matched"), (z("lines") - z("matched")).alias("empty"), F.greatest(z("items_") - z("used_"), F.lit(0)).alias("extra"))

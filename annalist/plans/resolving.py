@@ -184,3 +184,40 @@ def e24_decided_changes(t):
     kinds = F.array(*[F.lit(x) for x in ("accept", "merge", "mine", "theirs", "reject")])
     d = t("lineitem").where("l_orderkey % 3 = 0").select(F.col("l_orderkey").alias("k"), F.get(kinds, (F.col("l_partkey") % 5).cast("int")).alias("decision"), F.col("l_suppkey").cast("string").alias("target"), F.col("l_shipdate").alias("at"))
     return S.apply_decisions(t("orders").select(F.col("o_orderkey").alias("k")), d, "k")[1]
+
+
+_TAGS = "SELECT DISTINCT p_size AS entity, p_type AS tag FROM part"
+_TOLD = "SELECT s_suppkey % 50 + 1 AS entity, ['ECONOMY', 'SMALL', 'new tag'][1 + s_suppkey % 3] AS tag, ['keep', 'drop', 'reject'][1 + s_suppkey // 3 % 3] AS decision FROM supplier"
+
+
+def _told(t):
+    pick = lambda words, i: F.get(F.array(*[F.lit(x) for x in words]), i.cast("int"))
+    k = F.col("s_suppkey")
+    return t("supplier").select((k % 50 + 1).alias("entity"), pick(("ECONOMY", "SMALL", "new tag"), k % 3).alias("tag"), pick(("keep", "drop", "reject"), F.floor(k / 3) % 3).alias("decision"))
+
+
+_LAST = f"t AS ({_TAGS}), d AS (SELECT entity, tag, max(CASE decision WHEN 'keep' THEN 1 WHEN 'drop' THEN 2 ELSE 3 END) AS d FROM ({_TOLD}) GROUP BY 1, 2)"
+
+
+@query(f"WITH {_LAST} SELECT * FROM (SELECT * FROM t UNION SELECT entity, tag FROM d WHERE d = 1) EXCEPT SELECT entity, tag FROM d WHERE d > 1")
+def gn7_review_tags(t):
+    return S.review_tags(t("part").selectExpr("cast(p_size as bigint) entity", "p_type tag"), _told(t), _told(t).select("entity", "tag").limit(0))[0]
+
+
+@query(f"WITH {_LAST} SELECT entity, tag, 'removed' AS action FROM t JOIN d USING (entity, tag) WHERE d > 1 UNION ALL SELECT entity, tag, 'added' FROM d WHERE d = 1 AND NOT EXISTS (SELECT 1 FROM t WHERE t.entity = d.entity AND t.tag = d.tag)")
+def gn7_review_journal(t):
+    return S.review_tags(t("part").selectExpr("cast(p_size as bigint) entity", "p_type tag"), _told(t), _told(t).select("entity", "tag").limit(0))[2]
+
+
+@query("SELECT p_size, lower(p_name) AS k, count(*) AS n, arg_min(p_partkey, (p_partkey % 3 = 0, p_partkey)) AS \"primary\", string_agg(p_partkey, ',' ORDER BY p_partkey) AS members FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+def d4_version_groups(t):
+    p = t("part").withColumn("title", F.expr("p_name || case when p_partkey % 3 = 0 then ' (Deluxe Edition) - Live' else '' end"))
+    return S.version_groups(p, "p_partkey", "p_size", "title", [F.col("p_partkey")]).withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS k, l_linenumber AS line, l_partkey AS item FROM lineitem WHERE l_returnflag = 'R')
+SELECT o_orderkey AS k, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS lines, (SELECT count(DISTINCT line) FROM m WHERE k = o_orderkey) AS matched, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) - (SELECT count(DISTINCT line) FROM m WHERE k = o_orderkey) AS empty,
+(SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey = o_orderkey) - (SELECT count(DISTINCT item) FROM m WHERE k = o_orderkey) AS extra FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)""")
+def d13_list_queue(t):
+    lines = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("item"), "l_returnflag")
+    return S.list_queue(lines.where("l_returnflag = 'R'"), lines, lines.select("k", "item").distinct(), "k")

@@ -241,3 +241,12 @@ def s28_type_conflicts(t):
 SELECT page_id, md5(nullif(array_to_string(p, chr(10) || chr(10)), '')) AS text FROM a""")
 def s38_clean_text(t):
     return t("pages").select("page_id", F.md5(V.clean_text(F.col("html"))).alias("text"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN (1 + p_partkey % 3)::VARCHAR || 'x' ELSE '' END || 'LP, Album' || CASE WHEN p_partkey % 2 = 0 THEN ', RE, ' || p_type ELSE ', Gat' END || CASE WHEN p_partkey % 5 = 0 THEN ' + CD' ELSE '' END AS text FROM part""")
+def s21_format_text(t):
+    one = lambda name, qty, words: F.struct(F.lit(name).alias("name"), qty.cast("long").alias("qty"), words.cast("array<string>").alias("descriptions"))
+    k = F.col("p_partkey")
+    record = one("Vinyl", 1 + k % 3, F.concat(F.array(F.lit("LP"), F.lit("Album")), F.when(k % 2 == 0, F.array(F.lit("Reissue"), F.col("p_type"))).otherwise(F.array(F.lit("Gatefold")))))
+    formats = F.when(k % 5 == 0, F.array(record, one("CD", F.lit(1), F.array()))).otherwise(F.array(record))
+    return t("part").select("p_partkey", V.format_text(formats).alias("text"))
