@@ -100,6 +100,6 @@ def test_quality(docs, none):
 
 
 def test_licences(spark, none):
-    got = [(r.doc_id, r.licence, r.n_units) for r in licences.scan(spark.createDataFrame([(1, "Text.\nReleased under the MIT Licence.\nReleased under the MIT License."), (2, None), (3, "")], "doc_id long, text string")).collect()]
+    got = [(r.doc_id, r.licence, r.n_windows) for r in licences.scan(spark.createDataFrame([(1, "Text.\nReleased under the MIT Licence.\nReleased under the MIT License."), (2, None), (3, "")], "doc_id long, text string")).collect()]
     assert got == [(1, "MIT", 1)]
     assert licences.scan(none).count() == 0
