@@ -194,3 +194,22 @@ def evidence_todo(actors: DataFrame, caches: Mapping[str, DataFrame], key: str)
         one = R.where_missing(actors.select(key).distinct(), cache, key).select(F.lit(step).alias("step"), key)
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def best_child_in(facts: DataFrame, parent: str, child: str, ts: str, start: str, end: str) -> DataFrame:
+    """(parent, child, n, ever): the child most played in a period, or of all time for parents without plays in it; n is of whichever counted."""
+    now = R.best_child(times.in_period(facts, ts, start, end), parent, child).withColumn("ever", F.lit(False))
+    ever = R.best_child(facts, parent, child).join(now.select(parent), parent, "left_anti").withColumn("ever", F.lit(True))
+    return now.unionByName(ever)
+
+
+def rank_bands(plays: DataFrame, key: str, ts: str, bands: Sequence[int] = (1, 3, 10)) -> DataFrame:
+    """(key, year, n, band): an entity's plays of every year from its first to the last of all, and the band its rank in that year falls in; 0 plays and no band where there are none."""
+    n = plays.groupBy(key, F.year(ts).alias("year")).agg(rows().alias("n"))
+    counts = n.groupBy("year", "n").agg(rows().alias("ties_"))
+    above = F.coalesce(F.sum("ties_").over(Window.partitionBy("year").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = n.join(counts.select("year", "n", (above + 1).alias("rank_")), ["year", "n"])
+    last = n.agg(F.max("year").alias("last_"))
+    spine = n.groupBy(key).agg(F.min("year").alias("first_")).crossJoin(F.broadcast(last)).select(key, F.explode(F.sequence("first_", "last_")).alias("year"))  # one row
+    band = F.coalesce(*[F.when(F.col("rank_") <= b, b) for b in bands])
+    return spine.join(ranked, [key, "year"], "left").select(key, "year", F.coalesce("n", F.lit(0)).alias("n"), band.alias("band"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from annalist.functions import times
+from annalist.operators import relational as R
 from annalist.operators import summaries as P
 from annalist.plans.registry import END, PREVIOUS, START, query
 from annalist.plans.titles import _CONDITION, FORMAT
@@ -132,3 +134,21 @@ SELECT p_partkey, m OR (kind IS NULL AND coalesce(pressed >= year + 2, false)) A
 def p8_inventory_records(t):
     copies = t("part").select("p_partkey", F.expr(FORMAT).alias("f"), F.expr(_CONDITION).alias("c"), *[F.expr(v).alias(k) for k, v in _RECORD.items()])
     return P.inventory_records(copies, "p_partkey", "f", "c", "kind", "pressed", "album").select("p_partkey", "reissue", "year", "decade")
+
+
+@query(f"""WITH p AS (SELECT event_type, count(*) AS n FROM events WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}' GROUP BY 1) SELECT event_type, n, round(n / (SELECT sum(n) FROM p), 9) AS share FROM p ORDER BY n DESC, event_type LIMIT 3""")
+def ag1_top_in_period(t):
+    out = R.most_played(times.in_period(t("events"), "ts", START, END), "event_type", 3)
+    return out.select("event_type", F.col(out.columns[1]).alias("n"), F.round("share", 9).alias("share"))
+
+
+@query(f"""WITH e AS (SELECT * FROM events WHERE user_id IS NOT NULL), n AS (SELECT user_id, event_type, count(*) AS n FROM e WHERE ts >= TIMESTAMP '{START}' AND ts < TIMESTAMP '{END}' GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1), a AS (SELECT user_id, event_type, count(*) AS n FROM e GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY count(*) DESC, event_type) = 1)
+SELECT user_id, event_type AS child, n, false AS ever FROM n UNION ALL SELECT user_id, event_type, n, true FROM a WHERE user_id NOT IN (SELECT user_id FROM n)""")
+def ag2_best_with_fallback(t):
+    return P.best_child_in(t("events").where("user_id is not null"), "user_id", "event_type", "ts", START, END)
+
+
+@query("""WITH n AS (SELECT o_custkey % 100 AS k, year(o_orderdate)::INTEGER AS year, count(*) AS n FROM orders GROUP BY 1, 2), r AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY n DESC) AS rank FROM n), s AS (SELECT k, unnest(generate_series(min(year), (SELECT max(year) FROM n)))::INTEGER AS year FROM n GROUP BY 1)
+SELECT s.k, s.year, coalesce(n, 0) AS n, CASE WHEN rank <= 1 THEN 1 WHEN rank <= 3 THEN 3 WHEN rank <= 10 THEN 10 END AS band FROM s LEFT JOIN r ON r.k = s.k AND r.year = s.year""")
+def w11_rank_bands(t):
+    return P.rank_bands(t("orders").select((F.col("o_custkey") % 100).alias("k"), "o_orderdate"), "k", "o_orderdate")
