@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.inventory import tag_name
 from annalist.functions.text import fold
-from annalist.functions.titles import split_title
+from annalist.functions.titles import no_item_kind, split_title
 from annalist.operators.entities import numbered
 
 
@@ -201,3 +201,59 @@ def list_queue(matches: DataFrame, lines: DataFrame, items: DataFrame, parent: s
     met = n(lines, "lines").join(matches.groupBy(parent).agg(F.countDistinct("line").alias("matched"), F.countDistinct("item").alias("used_")), parent, "full").join(n(items, "items_"), parent, "full")
     z = lambda c: F.coalesce(F.col(c), F.lit(0))
     return met.select(parent, z("lines").alias("lines"), z("matched").alias("matched"), (z("lines") - z("matched")).alias("empty"), F.greatest(z("items_") - z("used_"), F.lit(0)).alias("extra"))
+
+
+def evidence_for(bronze: DataFrame, ids: DataFrame, path: str, keep: Sequence[str]) -> DataFrame:
+    """Untouched source rows (json, ...) that carry one of the ids (id) at a JSON path: the id and the columns to keep."""
+    found = bronze.select(F.get_json_object("json", path).alias("id"), *keep)
+    return found.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def groups_of_item(listed: DataFrame, items: DataFrame) -> DataFrame:
+    """(item, grp, date, nth): groups whose lists (grp, title, kind, date) hold an item's folded title, each by its earliest date; studio groups first, then by date, then by name."""
+    one = listed.withColumn("k_", fold(F.col("title"))).groupBy("k_", "grp").agg(F.min("date").alias("date"), F.min((F.col("kind") != "studio").cast("int")).alias("o_"))
+    met = items.select("item", fold(F.col("title")).alias("k_")).where("k_ <> ''").join(one, "k_")
+    return met.select("item", "grp", "date", F.row_number().over(Window.partitionBy("item").orderBy("o_", F.col("date").asc_nulls_last(), "grp")).alias("nth"))
+
+
+def item_id_report(items: DataFrame, known: DataFrame) -> DataFrame:
+    """(item, status, target) of items (item, ext) by what a look-up says of their id (ext, kind, target): confirmed (an item's own id), convert (a slot's, to its target), duplicate (several items would get one target), invalid (nothing known) or pending (not looked up)."""
+    k = known.groupBy("ext").agg(F.max(F.struct("kind", "target")).alias("k_"), F.lit(True).alias("in_"))
+    met = items.select("item", "ext").join(k, "ext", "left").withColumn("target", F.when(F.col("k_.kind") == "item", F.col("ext")).otherwise(F.col("k_.target")))
+    same = met.where("target is not null").groupBy("target").agg(F.count(F.lit(1)).alias("n_"))
+    met = met.join(same, "target", "left")
+    status = F.when(F.col("in_").isNull(), "pending").when(F.col("target").isNull(), "invalid").when(F.col("n_") > 1, "duplicate").when(F.col("k_.kind") == "item", "confirmed").otherwise("convert")
+    return met.select("item", status.alias("status"), "target")
+
+
+def suggest_links(copies: DataFrame, editions: DataFrame) -> DataFrame:
+    """(copy, edition, relation) of copies (copy, code, year) and editions (edition, code, year, part_of) with one code: same (the years agree or one is unknown), set (the edition is a part of a set) or differs."""
+    met = copies.where("code is not null").alias("c").join(editions.alias("e"), F.col("c.code") == F.col("e.code"))
+    relation = F.when(F.col("e.part_of").isNotNull(), "set").when(F.coalesce(F.col("c.year") == F.col("e.year"), F.lit(True)), "same").otherwise("differs")
+    return met.select("copy", "edition", relation.alias("relation"))
+
+
+def verify_flags(entities: DataFrame, flags: dict[str, Column], key: str) -> DataFrame:
+    """(key, flags): the names of the checks an entity fails, in the order given; entities that fail none are left out."""
+    failed = F.array_compact(F.array(*[F.when(F.coalesce(bad, F.lit(False)), F.lit(name)) for name, bad in flags.items()]))
+    return entities.select(key, failed.alias("flags")).where(F.size("flags") > 0)
+
+
+def checklist(copies: DataFrame, checks: dict[str, tuple[Column, Column]], key: str) -> DataFrame:
+    """(key, items array<struct<check, status>>, score): the state of each check (applies, passes) of a copy: ok, bad or none, and the percent of those that apply which are ok."""
+    state = lambda applies, passes: F.when(~F.coalesce(applies, F.lit(False)), "none").when(F.coalesce(passes, F.lit(False)), "ok").otherwise("bad")
+    items = F.array(*[F.struct(F.lit(name).alias("check"), state(*c).alias("status")) for name, c in checks.items()])
+    n = lambda s: F.size(F.filter("items", lambda x: x["status"] == s))
+    return copies.select(key, items.alias("items")).withColumn("score", F.round(100 * n("ok") / F.nullif(n("ok") + n("bad"), F.lit(0)), 1))
+
+
+def line_status(lines: DataFrame, placed: DataFrame, titled: DataFrame, listed: DataFrame, looked: DataFrame) -> DataFrame:
+    """Add status and match to event lines (line, actor, title, item). ok: the item stands on a parent (placed: item); match: another item of the actor's title does (titled: actor, title, item, the smallest); listed: the title is on a list of the actor (listed: actor, title); a kind of line that is no item; looked up: a look-up knows the title (looked: actor, title); unchecked."""
+    key = title_key("actor", "title")
+    there = lambda df, n: df.select(key.alias(f"{n}k_")).distinct().withColumn(n, F.lit(True))
+    ok = placed.select(F.col("item").alias("pi_")).distinct().withColumn("placed_", F.lit(True))
+    other = titled.join(placed.select("item").distinct(), "item", "left_semi").groupBy(key.alias("tk_")).agg(F.min("item").alias("match"))
+    met = lines.withColumn("key_", key).join(ok, F.col("item") == F.col("pi_"), "left").join(other, F.col("key_") == F.col("tk_"), "left")
+    met = met.join(there(listed, "l_"), F.col("key_") == F.col("l_k_"), "left").join(there(looked, "c_"), F.col("key_") == F.col("c_k_"), "left")
+    status = F.when(F.col("placed_"), "ok").when(F.col("match").isNotNull(), "match").when(F.col("l_"), "listed").otherwise(F.coalesce(no_item_kind(F.col("title")), F.when(F.col("c_"), "looked up"), F.lit("unchecked")))
+    return met.select(*lines.columns, status.alias("status"), F.when(status == "match", F.col("match")).alias("match"))

@@ -221,3 +221,66 @@ SELECT o_orderkey AS k, (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orde
 def d13_list_queue(t):
     lines = t("lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("item"), "l_returnflag")
     return S.list_queue(lines.where("l_returnflag = 'R'"), lines, lines.select("k", "item").distinct(), "k")
+
+
+@query("SELECT 'x' || (props->>'$.k') AS id, event_id FROM events WHERE (props->>'$.k')::BIGINT % 3 = 0")
+def e19_evidence_for(t):
+    bronze = t("events").select(F.to_json(F.struct(F.struct(F.concat(F.lit("x"), F.get_json_object("props", "$.k")).alias("id")).alias("thing"))).alias("json"), "event_id")
+    ids = t("events").select(F.get_json_object("props", "$.k").cast("long").alias("k")).where("k % 3 = 0").select(F.concat(F.lit("x"), F.col("k").cast("string")).alias("id"))
+    return S.evidence_for(bronze, ids, "$.thing.id", ["event_id"])
+
+
+@query("""WITH l AS (SELECT p_brand AS grp, lower(p_name) AS k, min(p_size) AS d, min(CASE WHEN p_type = 'SMALL' THEN 0 ELSE 1 END) AS o FROM part GROUP BY 1, 2), i AS (SELECT min(p_partkey) AS item, lower(p_name) AS k FROM part GROUP BY 2)
+SELECT item, grp, d AS date, row_number() OVER (PARTITION BY item ORDER BY o, d, grp) AS nth FROM i JOIN l USING (k)""")
+def e21_groups_of_item(t):
+    p = t("part")
+    listed = p.select(F.col("p_brand").alias("grp"), F.upper("p_name").alias("title"), F.when(F.col("p_type") == "SMALL", "studio").otherwise("other").alias("kind"), F.col("p_size").alias("date"))
+    return S.groups_of_item(listed, p.groupBy(F.col("p_name").alias("title")).agg(F.min("p_partkey").alias("item")))
+
+
+@query("""WITH i AS (SELECT p_partkey AS item, 'i' || p_partkey % 150 AS ext FROM part), k AS (SELECT 'i' || s_suppkey AS ext, CASE WHEN s_suppkey % 3 = 0 THEN 'item' WHEN s_suppkey % 3 = 1 THEN 'slot' ELSE 'none' END AS kind, CASE WHEN s_suppkey % 3 = 1 THEN 't' || s_suppkey END AS target FROM supplier), m AS (SELECT item, k.ext IS NOT NULL AS seen, kind, CASE WHEN kind = 'item' THEN i.ext ELSE target END AS target FROM i LEFT JOIN k ON k.ext = i.ext)
+SELECT item, CASE WHEN NOT seen THEN 'pending' WHEN target IS NULL THEN 'invalid' WHEN count(*) OVER (PARTITION BY target) > 1 THEN 'duplicate' WHEN kind = 'item' THEN 'confirmed' ELSE 'convert' END AS status, target FROM m""")
+def e13_item_id_report(t):
+    items = t("part").selectExpr("p_partkey item", "'i' || p_partkey % 150 ext")
+    known = t("supplier").selectExpr("'i' || s_suppkey ext", "case s_suppkey % 3 when 0 then 'item' when 1 then 'slot' else 'none' end kind", "case when s_suppkey % 3 = 1 then 't' || s_suppkey end target")
+    return S.item_id_report(items, known)
+
+
+@query("""SELECT c_custkey AS copy, s_suppkey AS edition, CASE WHEN s_suppkey % 7 = 0 THEN 'set' WHEN c_custkey % 4 = 0 OR c_custkey % 3 = s_suppkey % 3 THEN 'same' ELSE 'differs' END AS relation FROM customer JOIN supplier ON c_nationkey * 10 + c_custkey % 10 = s_nationkey * 10 + s_suppkey % 10""")
+def e18_suggest_links(t):
+    copies = t("customer").selectExpr("c_custkey copy", "c_nationkey * 10 + c_custkey % 10 code", "case when c_custkey % 4 > 0 then c_custkey % 3 end year")
+    editions = t("supplier").selectExpr("s_suppkey edition", "s_nationkey * 10 + s_suppkey % 10 code", "s_suppkey % 3 year", "case when s_suppkey % 7 = 0 then 'a set' end part_of")
+    return S.suggest_links(copies, editions)
+
+
+@query("""SELECT * FROM (SELECT c_custkey, array_to_string(list_filter([CASE WHEN n IS NULL THEN 'not found' END, CASE WHEN c_acctbal < 0 THEN 'low' END, CASE WHEN n >= 2 AND urgent = 0 THEN 'none of several' END], lambda x: x IS NOT NULL), ',') AS flags
+FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n, count(*) FILTER (o_orderpriority = '1-URGENT') AS urgent FROM orders GROUP BY 1) ON o_custkey = c_custkey) WHERE flags <> ''""")
+def q4_verify_actors(t):
+    """Customers as actors, their orders as the titles looked up, urgent ones as those found."""
+    n = t("orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("urgent"))
+    flags = {"not found": F.col("n").isNull(), "low": F.col("c_acctbal") < 0, "none of several": (F.col("n") >= 2) & (F.col("urgent") == 0)}
+    return S.verify_flags(t("customer").join(n, "c_custkey", "left"), flags, "c_custkey").select("c_custkey", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""SELECT * FROM (SELECT l_orderkey, l_linenumber, array_to_string(list_filter([CASE WHEN p_size > 45 THEN 'year' END, CASE WHEN p_brand IN ('Brand#1', 'Brand#2') AND p_type <> 'SMALL' THEN 'type' END, CASE WHEN p_name LIKE 'red%' THEN 'title' END], lambda x: x IS NOT NULL), ',') AS flags FROM lineitem JOIN part ON p_partkey = l_partkey) WHERE flags <> ''""")
+def q5_verify_parents(t):
+    flags = {"year": F.col("p_size") > 45, "type": F.col("p_brand").isin("Brand#1", "Brand#2") & (F.col("p_type") != "SMALL"), "title": F.col("p_name").startswith("red")}
+    met = t("lineitem").join(t("part"), F.col("p_partkey") == F.col("l_partkey")).withColumn("row", F.struct("l_orderkey", "l_linenumber"))
+    return S.verify_flags(met, flags, "row").select("row.l_orderkey", "row.l_linenumber", F.array_join("flags", ",").alias("flags"))
+
+
+@query("""WITH c AS (SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN 'none' WHEN p_size > 20 THEN 'ok' ELSE 'bad' END AS year, CASE WHEN p_name LIKE '%ring%' THEN 'ok' ELSE 'bad' END AS title, CASE WHEN p_brand = 'Brand#3' THEN 'none' WHEN p_retailprice > 1000 THEN 'ok' ELSE 'bad' END AS cover FROM part)
+SELECT p_partkey, year || ',' || title || ',' || cover AS items, round(100 * ((year = 'ok')::INTEGER + (title = 'ok')::INTEGER + (cover = 'ok')::INTEGER) / ((year <> 'none')::INTEGER + 1 + (cover <> 'none')::INTEGER), 1) AS score FROM c""")
+def q6_inventory_checklist(t):
+    checks = {"year": (F.col("p_size") % 2 != 0, F.col("p_size") > 20), "title": (F.lit(True), F.col("p_name").contains("ring")), "cover": (F.col("p_brand") != "Brand#3", F.col("p_retailprice") > 1000)}
+    return S.checklist(t("part"), checks, "p_partkey").select("p_partkey", F.array_join(F.transform("items", lambda x: x["status"]), ",").alias("items"), "score")
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS line, p_size AS actor, CASE WHEN p_partkey % 6 = 0 THEN 'Guitar Solo' ELSE p_name END AS title, p_partkey AS item FROM part), pl AS (SELECT p_partkey AS item FROM part WHERE p_partkey % 4 = 0), t AS (SELECT {_KEY} AS k, min(item) AS m FROM (SELECT p_size AS actor, p_name AS title, p_partkey AS item FROM part WHERE p_partkey % 8 = 0) GROUP BY 1),
+l AS (SELECT DISTINCT {_KEY} AS k FROM (SELECT p_size AS actor, p_name AS title FROM part WHERE p_partkey % 9 = 0)), c AS (SELECT DISTINCT {_KEY} AS k FROM (SELECT p_size AS actor, p_name AS title FROM part WHERE p_partkey % 5 = 0))
+SELECT line, CASE WHEN item IN (SELECT item FROM pl) THEN 'ok' WHEN m IS NOT NULL THEN 'match' WHEN l.k IS NOT NULL THEN 'listed' WHEN title = 'Guitar Solo' THEN 'solo' WHEN c.k IS NOT NULL THEN 'looked up' ELSE 'unchecked' END AS status, CASE WHEN item NOT IN (SELECT item FROM pl) THEN m END AS match
+FROM (SELECT *, {_KEY} AS k FROM s) s LEFT JOIN t ON t.k = s.k LEFT JOIN l ON l.k = s.k LEFT JOIN c ON c.k = s.k""")
+def e17_line_status(t):
+    p = t("part").select(F.col("p_partkey").alias("item"), F.col("p_size").alias("actor"), F.col("p_name").alias("title"))
+    lines = p.select(F.col("item").alias("line"), "actor", F.when(F.col("item") % 6 == 0, "Guitar Solo").otherwise(F.col("title")).alias("title"), "item")
+    return S.line_status(lines, p.where("item % 4 = 0"), p.where("item % 8 = 0"), p.where("item % 9 = 0"), p.where("item % 5 = 0")).select("line", "status", "match")
