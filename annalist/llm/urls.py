@@ -90,13 +90,14 @@ def purities(branches: DataFrame, weight: float = 4.0, prior: float = 0.5, z: fl
     """(host, template, purity) of branches (host, template, bad, of).
 
     A branch joins its family if its share of bad labels and that of all the family are no further apart than z standard
-    errors; the purity of those that joined comes from their labels together, that of any other from its own.
+    errors; the purity of those that joined comes from their labels together, that of any other from its own. One without
+    labels joins nothing: its purity is the prior.
     """
     near = lambda p, q, n, m: F.abs(p - q) <= z * F.sqrt(q * (1 - q) * (1 / n + 1 / m)) + 1e-9
     rows = branches.withColumn("family", _family(F.col("template")))
     whole = rows.groupBy("host", "family").agg(F.sum("bad").alias("all_bad"), F.sum("of").alias("all_of"))
     rows = rows.join(whole, ["host", "family"])
-    joins = (F.col("of") == 0) | near(F.col("bad") / F.greatest("of", F.lit(1)), F.col("all_bad") / F.greatest("all_of", F.lit(1)), F.greatest("of", F.lit(1)), F.greatest("all_of", F.lit(1)))
+    joins = (F.col("of") > 0) & near(F.col("bad") / F.greatest("of", F.lit(1)), F.col("all_bad") / F.greatest("all_of", F.lit(1)), F.greatest("of", F.lit(1)), F.greatest("all_of", F.lit(1)))
     rows = rows.withColumn("joins", joins)
     pooled = rows.where("joins").groupBy("host", "family").agg(F.sum("bad").alias("p_bad"), F.sum("of").alias("p_of"))
     smooth = lambda bad, of: (F.col(bad) + weight * prior) / (F.col(of) + weight)
