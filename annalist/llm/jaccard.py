@@ -68,7 +68,7 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("a", "l")
 
 
-def _together(pairs: DataFrame, content: DataFrame, work, out: str, salts: int) -> DataFrame:
+def _together(pairs: DataFrame, content: DataFrame, work, out: str, salts: int = SALTS) -> DataFrame:
     """pairs (a, b, ...) with the columns `out` that `work` tells of both sets, flags or lists of longs. A set a is sent once to each of `salts` tasks at most, ahead of the sets it meets."""
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")
     sets = content.select("k", "tokens")
@@ -277,10 +277,11 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
 
     checked = edges = named = None
     while True:
-        new = todo.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).dropDuplicates(["x", "y"])
+        new = todo.withColumn("x", F.least("a", "b")).withColumn("y", F.greatest("a", "b")).groupBy("x", "y").agg(F.min(F.struct("a", "b")).alias("p")).select("x", "y", "p.a", "p.b")
         if checked is not None:
-            new = stored(new.join(checked, ["x", "y"], "left_anti"))
-        judged = stored(_together((new if checked is None else _near(new, light, p, q)).select("a", "b"), content, linked, "linked boolean", 4))
+            new = new.join(checked, ["x", "y"], "left_anti")
+        new = stored(new)
+        judged = stored(_together((new if checked is None else _near(new, light, p, q)).select("a", "b"), content, linked, "linked boolean"))
         pairs, found = new.select("x", "y"), judged.where("linked").select("a", "b")
         checked, edges = (pairs, found) if checked is None else (checked.unionByName(pairs), edges.unionByName(found))
         if named is None or not found.isEmpty():
@@ -292,7 +293,7 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
         if now.where("apart").isEmpty():
             return named
         now = now.join(now.where("apart").select("g").distinct(), "g", "left_semi").select(now.columns)
-        both = stored(_together(now, content, centred, "d array<long>, own array<long>", SALTS)).select(F.col("b").alias("k"), "*")
+        both = stored(_together(now, content, centred, "d array<long>, own array<long>")).select(F.col("b").alias("k"), "*")
         near_hub = both.where("size(d) > 0").select("g", "k", "n", "hub_n", "c", "apart", "d")
         far = both.where("size(own) > 0").select(F.xxhash64("g").alias("g"), "k", "n", F.lit(0).alias("hub_n"), "c", F.lit(True).alias("apart"), F.col("own").alias("d"))
         left, right = _openings(near_hub.unionByName(far), p, q)
