@@ -301,9 +301,10 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
         # Elements that few hold give pairs, the others groups around new hubs.
         held = stored(left.groupBy("g", "e").agg(F.count(F.lit(1)).alias("l"), F.min(F.struct("odd", "k", "n")).alias("h")).join(right.groupBy("g", "e").agg(F.count(F.lit(1)).alias("r")), ["g", "e"]))
         rare, common = held.where(f"l * r <= {meet}").select("g", "e"), held.where(f"l * r > {meet}")
-        side = lambda df, s: df.select("g", "e", *[F.col(c).alias(c + s) for c in ("k", "n", "c", "d_n", "shared")])
+        side = lambda df, s: df.select("g", "e", *[F.col(c).alias(c + s) for c in ("k", "n", "c", "d_n", "rest")])
+        # At the first element that two share, what is left of either's elements bounds what they share; at later ones the pair need not come again.
         met = side(left.join(rare, ["g", "e"], "left_semi"), "1").join(side(right, "2"), ["g", "e"])
-        may = f"k1 <> k2 and c1 <> c2 and {q} * least(n1, n2) >= {p} * greatest(n1, n2) and {q + p} * (d_n1 + d_n2 - 2 * least(shared1, shared2)) <= {q - p} * (n1 + n2)"
+        may = f"k1 <> k2 and c1 <> c2 and {q} * least(n1, n2) >= {p} * greatest(n1, n2) and {q + p} * (d_n1 + d_n2 - 2 * least(rest1, rest2)) <= {q - p} * (n1 + n2)"
         todo = met.where(may).select(F.least("k1", "k2").alias("a"), F.greatest("k1", "k2").alias("b")).distinct()
         around = common.select("g", "e", F.col("h.k").alias("hub"), F.col("h.n").alias("hub_n"))
         both = left.select("g", "e", "k", "n").unionByName(right.select("g", "e", "k", "n")).join(around, ["g", "e"]).where("k <> hub")
@@ -314,7 +315,7 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
 
 
 def _openings(apart: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
-    """Prefixes (g, e, k, n, c, d_n, shared, odd) of differences d from the group's hub: of members in another component than the hub's, and of all.
+    """Prefixes (g, e, k, n, c, d_n, rest, odd) of differences d from the group's hub: of members in another component than the hub's, and of all.
 
     Linked sets of m and n members have (m + n) (q - p) / (q + p) members apart at most, and the same number of elements
     of their differences, whose sizes say so how many these share. A member in another component isn't linked with the
@@ -331,7 +332,7 @@ def _openings(apart: DataFrame, p: int, q: int) -> tuple[DataFrame, DataFrame]:
 
     def opening(df: DataFrame, need: str) -> DataFrame:
         length = F.col("shared") - F.col(need) + 1
-        df = df.where(length > 0).select("*", F.explode(F.slice("es", F.lit(1), length.cast("int"))).alias("x"))
-        return df.select("g", F.col("x.e").alias("e"), "k", "n", "c", "d_n", "shared", ((F.col("d_n") - F.col("shared")) / F.col("n")).alias("odd"))
+        df = df.where(length > 0).select("*", F.posexplode(F.slice("es", F.lit(1), length.cast("int"))).alias("at", "x"))
+        return df.select("g", F.col("x.e").alias("e"), "k", "n", "c", "d_n", (F.col("shared") - F.col("at")).alias("rest"), ((F.col("d_n") - F.col("shared")) / F.col("n")).alias("odd"))
 
     return opening(kept.where("apart"), "need"), opening(kept, "need_apart")
