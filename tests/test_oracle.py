@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import annalist.plans.basics
+import annalist.plans.catalogue
 import annalist.plans.changes
 import annalist.plans.curation
 import annalist.plans.entities
