@@ -8,6 +8,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from annalist.operators.similar import look_alikes
+
 
 def cut(df: DataFrame) -> DataFrame:
     """df without its lineage, checkpointed in the session's shared folder; in a temporary one only in a local session that names none."""
@@ -52,6 +54,18 @@ def change_report(before: DataFrame, after: DataFrame, key: str, entity: str) ->
     return after.join(had, key, "left").groupBy(entity).agg(F.count("old_").alias("had"), F.count_if(F.col("old_").isNull()).alias("added"))
 
 
+def refresh_report(before: DataFrame, after: DataFrame, key: str, entity: str, name: str, top: int = 8, ratio: float = 87) -> DataFrame:
+    """(kind, label, n, other): what a refresh brought. total: rows before, under "was", and after, under "now"; added: the `top` entities by new rows (a row is new by its key), ties by entity; look_alike: names that no row had before, case aside, with the most similar of the names there were, by a Ratcliff-Obershelp ratio of `ratio` or more, as other, and that ratio, times a thousand, as n. Null keys and names are no news."""
+    tally = change_report(before, after.where(F.col(key).isNotNull()), key, entity).where("added > 0")
+    none = F.lit(None).cast("string").alias("other")
+    rows = lambda df, label: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit(label).alias("label"), "n", none)
+    added = tally.orderBy(F.desc("added"), entity).limit(top).select(F.lit("added").alias("kind"), F.col(entity).cast("string").alias("label"), F.col("added").alias("n"), none)
+    lower = lambda df: df.select(F.lower(name).alias("t")).where("t <> ''").distinct()
+    old = lower(before)
+    like = look_alikes(lower(after).join(old, "t", "left_anti"), old, ratio).groupBy("x").agg(F.max(F.struct("ratio", F.col("y").alias("y"))).alias("b"))
+    return rows(before, "was").unionByName(rows(after, "now")).unionByName(added).unionByName(like.select(F.lit("look_alike").alias("kind"), F.col("x").alias("label"), F.round(F.col("b.ratio") * 10).cast("long").alias("n"), F.col("b.y").alias("other")))
+
+
 def reconcile(current: DataFrame, incoming: DataFrame, key: str, fields: Mapping[str, Column | None]) -> DataFrame:
     """(key, status, field, mine, theirs): new and missing keys, and fields that differ. fields: name to the normal form values are compared in (of a column x), null to compare as they are. A field that the source leaves empty says nothing."""
     a = current.select(F.col(key), F.struct(*[F.col(c).cast("string").alias(c) for c in fields]).alias("a"))

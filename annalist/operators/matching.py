@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from annalist.functions.ratios import indel_ratio, sequence_ratio, token_set_ratio, token_sort_ratio
+from annalist.functions.text import name_key
 from annalist.operators.entities import near_pairs
+from annalist.operators.similar import near_between, word_set_pairs
 
 
 def pair_scores(pairs: DataFrame, a: str, b: str) -> DataFrame:
@@ -44,12 +46,11 @@ def fuzzy_pairs(df: DataFrame, key: str, text: str, ratio: int, block: str | Non
 
 
 def nearest(new: DataFrame, known: DataFrame, key: str, text: str, ratio: int, k: int = 8, block: str | None = None) -> DataFrame:
-    """(key, match, ratio, nth): for each new row its k best known rows of the same block, best ratio first, then smallest key. Of known rows with one text the smallest key stands for all."""
+    """(key, match, ratio, nth): for each new row its k best known rows of the same block, best ratio first, then smallest key. Of known rows with one text the smallest key stands for all. New rows are only compared with known ones."""
     block_ = F.coalesce(F.col(block).cast("string"), F.lit("")) if block else F.lit("")
     n = new.select(F.col(key).alias("new_"), F.col(text).alias("x"), block_.alias("block"))
     old = known.select(F.col(key).alias("k_"), F.col(text).alias("y"), block_.alias("block")).groupBy("block", "y").agg(F.min("k_").alias("match"))
-    both = n.select("block", F.col("x").alias("t_")).union(old.select("block", "y"))
-    near = near_texts(both, "t_", ratio, "block").union(n.select("block", "x", F.col("x").alias("y"), F.lit(100.0)).distinct())
+    near = near_between(n.select("block", F.col("x").alias("t")), old.select("block", F.col("y").alias("t")), ratio)
     met = n.join(near, ["block", "x"]).join(old, ["block", "y"])
     place = F.row_number().over(Window.partitionBy("new_").orderBy(F.desc("ratio"), "match"))
     return met.select(F.col("new_").alias(key), "match", "ratio", place.alias("nth")).where(F.col("nth") <= k)
@@ -72,13 +73,41 @@ def parent_pairs(parents: DataFrame, items: DataFrame, key: str, title: str, ite
     return list_overlap(items, key, item, pairs)
 
 
-def actor_pairs(actors: DataFrame, key: str, name: str, ext: str, ratio: int = 92, shortest: int = 8, dismissed: DataFrame | None = None) -> DataFrame:
-    """Duplicate actors: names near once their words are sorted, or equal; two that carry different external ids are no pair."""
-    t = actors.withColumn("sorted_", F.array_join(F.array_sort(F.split(F.col(name), " ")), " "))
-    pairs = fuzzy_pairs(t, key, "sorted_", ratio, None, dismissed, shortest)
-    side = lambda c, x: actors.select(F.col(key).alias(c), F.col(ext).alias(x))
-    met = pairs.join(side("a", "xa_"), "a").join(side("b", "xb_"), "b")
-    return met.where(F.col("xa_").isNull() | F.col("xb_").isNull() | (F.col("xa_") == F.col("xb_"))).select("a", "b", "ratio")
+def actor_pairs(actors: DataFrame, key: str, name: str, ext: str, ratio: float = 92, shortest: int = 8, dismissed: DataFrame | None = None, titles: DataFrame | None = None) -> DataFrame:
+    """(a, b, ratio, same_name, shared), a < b: duplicate actors. Names of `shortest` characters whose word-set ratio, case and signs aside, is `ratio` or more, and names with one normal form (100), whatever their length.
+
+    Two that carry different external ids are no pair, nor are dismissed ones (a, b). Of actors with one name the one with
+    the smallest key stands for all in pairs with others, and is in a pair with each. shared: how many titles (key, title)
+    both have; null without titles.
+    """
+    t = actors.select(F.col(key).alias("k_"), F.col(ext).cast("string").alias("x_"), F.length(name).alias("n_"), F.trim(F.lower(F.regexp_replace(name, r"[^\p{L}\p{N}]+", " "))).alias("t"), name_key(F.col(name)).alias("norm_"))
+    first = lambda c, of: of.groupBy(c).agg(F.min("k_").alias("f_"))
+    star = lambda c, of: of.join(first(c, of), c).where("k_ > f_").select(F.col("f_").alias("a"), F.col("k_").alias("b"), F.lit(100.0).alias("ratio"))
+    long = t.where((F.col("n_") >= shortest) & (F.col("t") != ""))
+    side = lambda x, c: first("t", long).select(F.col("t").alias(x), F.col("f_").alias(c))
+    near = word_set_pairs(long.select(F.lit("").alias("block"), "t"), ratio).join(side("x", "a_"), "x").join(side("y", "b_"), "y").select(F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), "ratio")
+    found = star("norm_", t.where("norm_ <> ''")).unionByName(star("t", long)).unionByName(near).groupBy("a", "b").agg(F.max("ratio").alias("ratio"))
+    of = lambda c: t.select(F.col("k_").alias(c), F.col("x_").alias(f"x{c}_"), F.col("norm_").alias(f"norm{c}_"))
+    met = found.join(of("a"), "a").join(of("b"), "b").where("xa_ is null or xb_ is null or xa_ = xb_")
+    if dismissed is not None:
+        met = met.join(dismissed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti")
+    out = met.select("a", "b", "ratio", F.coalesce(F.col("norma_") == F.col("normb_"), F.lit(False)).alias("same_name"))
+    if titles is None:
+        return out.withColumn("shared", F.lit(None).cast("long"))
+    d = titles.select("key", "title").where("title is not null").distinct()
+    both = out.select("a", "b").join(d.select(F.col("key").alias("a"), "title"), "a").join(d.select(F.col("key").alias("b"), "title"), ["b", "title"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
+    return out.join(both, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
+
+
+def similar_versions(parents: DataFrame, key: str, owner: str, title_key: str, sequel: str, dismissed: DataFrame | None = None, ratio: float = 92, shortest: int = 4) -> DataFrame:
+    """(owner, a, b, ratio), a < b: hints at parents of one owner whose titles, `shortest` characters or longer, have nearly the same words and the same sequel number, but are not the same. Two that are each in a group of one title already are none."""
+    p = parents.select(F.col(owner).alias("owner"), F.col(key).alias("k_"), F.col(title_key).alias("t"), F.coalesce(F.col(sequel).cast("string"), F.lit("")).alias("s_")).where(F.length("t") >= shortest)
+    grouped = p.groupBy("owner", "t").agg(F.count(F.lit(1)).alias("n_"))
+    p = p.join(grouped, ["owner", "t"]).withColumn("block", F.to_json(F.struct(F.col("owner").cast("string").alias("o"), "s_")))
+    side = lambda x, c: p.select("block", "owner", F.col("t").alias(x), F.col("k_").alias(c), F.col("n_").alias(f"n{c}"))
+    met = word_set_pairs(p.select("block", "t"), ratio).join(side("x", "a_"), ["block", "x"]).join(side("y", "b_").drop("owner"), ["block", "y"]).where("na_ = 1 or nb_ = 1")
+    out = met.select("owner", F.least("a_", "b_").alias("a"), F.greatest("a_", "b_").alias("b"), "ratio")
+    return out if dismissed is None else out.join(dismissed.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), ["a", "b"], "left_anti").select("owner", "a", "b", "ratio")
 
 
 def score_actors(candidates: DataFrame, entity: str) -> DataFrame:
@@ -120,7 +149,7 @@ def score_parents(candidates: DataFrame, entity: str) -> DataFrame:
 def fuzzy_search(queries: DataFrame, table: DataFrame, key: str, text: str, weight: str, ratio: int = 84, k: int = 10) -> DataFrame:
     """(query, key, band, nth) of a table of queries (query): rows whose text is the query (0), begins with it (1), is near it (2) or has all its words (3); heavier rows first within a band.
 
-    Rows meet queries by equal words, so that neither table is paired with the other.
+    Rows meet queries by their longest word and by rare bigrams, so that neither table is paired with the other, nor with itself.
     """
     q = queries.select("query").distinct().withColumn("words_", F.array_distinct(F.split("query", " ")))
     t = table.select(F.col(key).alias("k_"), F.col(text).alias("t_"), F.col(weight).alias("w_"))
@@ -128,7 +157,8 @@ def fuzzy_search(queries: DataFrame, table: DataFrame, key: str, text: str, weig
     held = t.select("*", F.explode(F.array_distinct(F.split("t_", " "))).alias("word_"))
     by_word = q.withColumn("word_", rarest).join(held, "word_").where(F.forall("words_", lambda w: F.array_contains(F.split("t_", " "), w)))
     by_word = by_word.select("query", "k_", "w_", F.when(F.col("t_") == F.col("query"), 0).when(F.startswith("t_", "query"), 1).otherwise(3).alias("band"))
-    near = near_texts(q.select(F.col("query").alias("t_")).union(t.select("t_")), "t_", ratio).join(q.select(F.col("query").alias("x"), "query"), "x").join(t.withColumnRenamed("t_", "y"), "y").select("query", "k_", "w_", F.lit(2).alias("band"))
+    one = F.lit("").alias("block")
+    near = near_between(q.select(one, F.col("query").alias("t")), t.select(one, F.col("t_").alias("t")), ratio).join(t.withColumnRenamed("t_", "y"), "y").select(F.col("x").alias("query"), "k_", "w_", F.lit(2).alias("band"))
     best = by_word.unionByName(near).groupBy("query", "k_", "w_").agg(F.min("band").alias("band"))
     place = F.row_number().over(Window.partitionBy("query").orderBy("band", F.desc("w_"), "k_"))
     return best.select("query", F.col("k_").alias(key), "band", place.alias("nth")).where(F.col("nth") <= k)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from annalist.operators import batches as B
+from annalist.operators import curation as C
+from annalist.operators import lists as L
 from annalist.operators import matching as M
+from annalist.operators import similar as N2
 from annalist.plans.registry import QUERIES, query
 
 
@@ -100,15 +103,51 @@ def s14_pair_scores(t):
 
 @unchecked
 def d5_parent_pairs(t):
+    """Parts of a brand with near names, and how many suppliers' names, as their lists, one has of the other's, near ones too."""
     parents = t("part").select(F.col("p_partkey").alias("key"), F.lower("p_name").alias("title"), F.col("p_brand").alias("owner"))
-    items = t("lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").alias("item"))
-    return M.parent_pairs(parents, items, "key", "title", "item", "owner", 90)
+    lists = t("lineitem").select(F.col("l_partkey").alias("parent"), "l_suppkey").distinct().join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lower("s_name").alias("title")), "l_suppkey").select("parent", "title")
+    return L.list_overlap(lists, M.fuzzy_pairs(parents, "key", "title", 90, "owner"), 97)
 
 
 @unchecked
 def d6_actor_pairs(t):
-    actors = t("part").select(F.col("p_partkey").alias("key"), F.lower("p_name").alias("name"), F.expr("case when p_partkey % 3 = 0 then p_size end").alias("ext"))
-    return M.actor_pairs(actors, "key", "name", "ext")
+    """Parts whose names have nearly the same words, and how many suppliers both have."""
+    actors = t("part").select(F.col("p_partkey").alias("key"), F.expr("p_name || case p_partkey % 4 when 0 then ' and the ' || p_type when 1 then '' else ' ' || p_brand end").alias("name"), F.expr("case when p_partkey % 3 = 0 then p_size end").alias("ext"))
+    titles = t("lineitem").select(F.col("l_partkey").alias("key"), F.col("l_suppkey").cast("string").alias("title"))
+    return M.actor_pairs(actors, "key", "name", "ext", titles=titles)
+
+
+@unchecked
+def j12_word_sets(t):
+    """Names with nearly the same words, among all of them."""
+    return N2.word_set_pairs(t("part").select(F.lit("").alias("block"), F.expr("lower(p_name || ' ' || p_type || case when p_partkey % 2 = 0 then ' ' || p_brand else '' end)").alias("t")))
+
+
+@unchecked
+def d4_similar_versions(t):
+    """Hints at parts of one size whose names, with a type or a brand besides, have nearly the same words."""
+    p = t("part").select("p_partkey", "p_size", F.expr("lower(p_name || case p_partkey % 3 when 0 then '' when 1 then ' ' || p_type else ' the ' || p_brand end)").alias("k"), F.expr("p_partkey % 2").alias("sequel"))
+    return M.similar_versions(p, "p_partkey", "p_size", "k", "sequel")
+
+
+@unchecked
+def d12_match_track_lists(t):
+    """Lines of each order against items that carry their names with a blank less, a word more, a letter more or another's id; the first line of every fifth order is linked by hand."""
+    p = t("part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("k"), "p_type")
+    rows = t("lineitem").where("l_linenumber is not null").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("l_partkey")).join(p, "l_partkey")
+    lines = rows.select(F.col("l_orderkey").alias("parent"), F.col("l_linenumber").cast("long").alias("line"), F.initcap("k").alias("title"), F.col("k").alias("key"), F.expr("case when l_partkey % 3 = 0 then 'i' || l_linenumber end").alias("id"))
+    key = F.expr("case (l_partkey + l_linenumber) % 5 when 0 then k when 1 then replace(k, ' ', '') when 2 then k || ' ' || lower(p_type) when 3 then substr(k, 1, 4) || substr(k, 4) else lower(p_type) end")
+    items = rows.select(F.col("l_orderkey").alias("parent"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("item"), key.alias("key"), F.expr("case when l_partkey % 7 = 0 then 'i' || (l_linenumber + 1) end").alias("id"))
+    links = lines.where("parent % 5 = 0 and line = 1").select("parent", "title", (F.col("parent") * 10 + 2).alias("item"))
+    return L.match_lists(lines, items, links)
+
+
+@unchecked
+def a15_look_alikes(t):
+    """Names of customers and suppliers that came with the newer half of the parts' names, and older ones that look like them."""
+    n = lambda c: t("part").where(c).select(F.expr("lower(p_name || ' ' || p_type)").alias("name"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity"))
+    old, new = n("p_partkey % 2 = 0"), t("part").select(F.expr("case when p_partkey % 2 = 0 then lower(p_name || ' ' || p_type) else lower(substr(p_name, 1, 3) || substr(p_name, 3) || ' ' || p_type) end").alias("name"), F.col("p_partkey").alias("id"), F.col("p_brand").alias("entity"))
+    return C.refresh_report(old, new, "id", "entity", "name")
 
 
 @unchecked
@@ -118,24 +157,34 @@ def d7_nearest(t):
     return M.nearest(p.where("key % 2 = 1"), p.where("key % 2 = 0"), "key", "title", 84, 8, "p_brand")
 
 
+def _lists(t):
+    """The suppliers' names that stand on each part's list."""
+    return t("lineitem").select(F.col("l_partkey").alias("parent"), "l_suppkey").distinct().join(t("supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.lower("s_name").alias("title")), "l_suppkey").select("parent", "title")
+
+
 @unchecked
 def e14_score_actors(t):
-    """Parts of one brand and size as candidates for one another's names."""
+    """Parts of one brand and size as candidates for one another's names, scored by their own lists; every third has no list to look up."""
     p = t("part").select("p_partkey", F.lower("p_name").alias("n"), "p_brand", "p_size")
     met = p.alias("a").join(p.alias("b"), ["p_brand", "p_size"]).select(F.col("a.p_partkey").alias("entity"), F.col("b.p_partkey").alias("candidate"), F.col("a.n").alias("local"), F.col("b.n").alias("name"), (100 - F.abs(F.col("a.p_partkey") - F.col("b.p_partkey")) % 60).alias("search"))
-    return M.score_actors(met.withColumns({"titles": F.expr("case when entity % 3 > 0 then 5 end"), "matched": F.expr("case when candidate % 4 > 0 then candidate % 5 end")}), "entity")
+    listed = L.list_overlap(_lists(t).where("parent % 3 > 0"), met.select(F.col("entity").alias("a"), F.col("candidate").alias("b")), 97)
+    met = met.join(listed.select(F.col("a").alias("entity"), F.col("b").alias("candidate"), F.expr("case when n_a > 0 then n_a end").alias("titles"), F.expr("case when n_b > 0 then shared end").alias("matched")), ["entity", "candidate"])
+    return M.score_actors(met, "entity")
 
 
 @unchecked
 def e15_score_parents(t):
+    """Parts of one brand and size as candidates for one another, scored by the share of a part's list that the candidate's has, near titles too."""
     p = t("part").select("p_partkey", F.lower("p_name").alias("n"), "p_brand", "p_size")
     met = p.alias("a").join(p.alias("b"), ["p_brand", "p_size"]).select(F.col("a.p_partkey").alias("entity"), F.col("b.p_partkey").alias("candidate"), F.col("a.n").alias("local"), F.col("b.n").alias("title"))
-    return M.score_parents(met.withColumns({"played": F.expr("10 + entity % 3"), "matched": F.expr("case when candidate % 4 > 0 then candidate % 11 end"), "conflict": F.expr("candidate % 6 = 0")}), "entity")
+    listed = L.list_overlap(_lists(t), met.select(F.col("entity").alias("a"), F.col("candidate").alias("b")), 97)
+    met = met.join(listed.select(F.col("a").alias("entity"), F.col("b").alias("candidate"), F.col("n_a").alias("played"), F.expr("case when n_b > 0 then shared end").alias("matched")), ["entity", "candidate"])
+    return M.score_parents(met.withColumn("conflict", F.expr("candidate % 6 = 0")), "entity")
 
 
 @unchecked
 def f11_fuzzy_search(t):
-    """Every supplier's and every tenth part's name, looked up among the parts."""
+    """Every part's name, and its first word, looked up among the parts."""
     p = t("part").select("p_partkey", F.lower("p_name").alias("title"), F.col("p_size").cast("long").alias("weight"))
     queries = t("part").select(F.lower(F.split("p_name", " ")[0]).alias("query")).union(p.select("title"))
     return M.fuzzy_search(queries, p, "p_partkey", "title", "weight")

@@ -81,7 +81,13 @@ def test_scores(spark):
 
 def test_overlap_actors_search(spark):
     actors = spark.createDataFrame([(1, "the red band", "x"), (2, "red band the", None), (3, "the red bant", "y"), (4, "other one", None)], "key long, name string, ext string")
-    assert {(r.a, r.b) for r in M.actor_pairs(actors, "key", "name", "ext", 90).collect()} == {(1, 2)}
+    found = {(r.a, r.b): (round(r.ratio), r.same_name) for r in M.actor_pairs(actors, "key", "name", "ext", 90).collect()}
+    assert found == {(1, 2): (100, True), (2, 3): (92, False)}  # 1 and 3 have ids that differ
+    titles = spark.createDataFrame([(1, "a"), (1, "b"), (2, "b"), (2, "b"), (3, None)], "key long, title string")
+    gone = spark.createDataFrame([(3, 2)], "a long, b long")
+    assert [(r.a, r.b, r.shared) for r in M.actor_pairs(actors, "key", "name", "ext", 90, dismissed=gone, titles=titles).collect()] == [(1, 2, 1)]
+    versions = spark.createDataFrame([(1, 1, "ride the lightning", None), (2, 1, "the lightning ride live", None), (3, 1, "ride the lightning", None), (4, 1, "lightning the ride", "2"), (5, 2, "ride the lightning", None), (6, 1, "one", None)], "k long, o long, t string, s string")
+    assert {(r.a, r.b) for r in M.similar_versions(versions, "k", "o", "t", "s").collect()} == {(1, 2), (2, 3)}
     items = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a"), (2, "b"), (2, "c"), (3, "z")], "p long, i string")
     pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 9)], "a long, b long")
     assert {(r.a, r.b): r.overlap for r in M.list_overlap(items, "p", "i", pairs).collect()} == {(1, 2): 100.0, (1, 3): 0.0, (1, 9): None}
@@ -89,3 +95,16 @@ def test_overlap_actors_search(spark):
     q = spark.createDataFrame([("ring",), ("red ring",)], "query string")
     got = {(r.query, r.nth): (r.k, r.band) for r in M.fuzzy_search(q, table, "k", "t", "w").collect()}
     assert [got["ring", i][0] for i in (1, 2, 3, 4)] == [2, 4, 1, 5] and [got["red ring", i] for i in (1, 2, 3)] == [(1, 0), (3, 2), (5, 3)]
+
+
+def test_refresh_report(spark):
+    from annalist.operators.curation import refresh_report
+
+    rows = lambda v: spark.createDataFrame(v, "id long, e string, name string")
+    before = rows([(1, "a", "Motorhead"), (2, "b", "Slayer"), (3, "b", "Kyuss")])
+    after = rows([(1, "a", "Motorhead"), (2, "b", "SLAYER"), (3, "b", "Kyuss"), (4, "a", "Motorheadd"), (5, "c", "Tool"), (6, "c", "Kyus"), (None, "z", None)])
+    got = {(r.kind, r.label): (r.n, r.other) for r in refresh_report(before, after, "id", "e", "name", top=2).collect()}
+    assert got[("total", "was")] == (3, None) and got[("total", "now")] == (7, None)
+    assert {k[1]: v[0] for k, v in got.items() if k[0] == "added"} == {"c": 2, "a": 1}
+    best = lambda x, v: max((difflib.SequenceMatcher(None, x, y).ratio(), y) for y in v)
+    assert {k[1]: v for k, v in got.items() if k[0] == "look_alike"} == {x: (round(1000 * best(x, ["motorhead", "slayer", "kyuss"])[0]), y) for x, y in (("motorheadd", "motorhead"), ("kyus", "kyuss"))}
