@@ -60,15 +60,18 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     keyed = docs.select(F.coalesce("doc_id", F.lit(-(2**62))).alias("doc_id"), "text")
     spans = stored(candidates(keyed))
     weak = spans.where(~F.col("kind").isin(*BASE))
-    bin_ = F.floor(F.col("start") / scope)
-    binned = spans.select("doc_id", "h", F.explode(F.sequence(bin_ - 1, F.floor(F.col("end") / scope) + 1)).alias("bin"), F.col("kind").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
+    # A candidate is in every bin that it or its scope reaches, a part in those that it covers; so near ones share a bin.
+    bins = lambda a, b: F.explode(F.sequence(F.floor(a / scope), F.floor(b / scope))).alias("bin")
+    reach = weak.select("*", bins(F.col("start") - scope, F.col("end") + scope))
+    binned = spans.select("doc_id", "h", bins(F.col("start"), F.col("end")), F.col("kind").alias("k"), F.col("start").alias("s"), F.col("end").alias("e"))
     near = (F.col("s") - F.col("end") <= scope) & (F.col("start") - F.col("e") <= scope)
     suits = F.lit(False)
     for kind, with_ in COMPLEMENTS.items():
         suits = suits | ((F.col("kind") == kind) & F.col("k").isin(*with_))
     apart = (F.col("e") <= F.col("start")) | (F.col("s") >= F.col("end"))
-    linked = _semi(weak.withColumn("bin", bin_), binned, near & suits & apart)
-    free = _anti(linked, binned.where(F.col("k").isin(*BASE)), ~apart).drop("bin")
+    linked = _semi(reach, binned, near & suits & apart).drop("bin").distinct()
+    over = _semi(reach, binned.where(F.col("k").isin(*BASE)), ~apart).drop("bin").distinct()
+    free = linked.join(over, weak.columns, "left_anti").select(weak.columns)
     order = {k: i for i, k in enumerate(KINDS)}
     number = F.coalesce(*[F.when(F.col("kind") == k, i) for k, i in order.items()])
     all_ = spans.where(F.col("kind").isin(*BASE)).unionByName(free).groupBy("doc_id", "h").agg(F.sort_array(F.collect_list(F.struct("start", number.alias("o"), "kind", "end"))).alias("found"))
@@ -78,17 +81,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope:
     return out.select("doc_id", F.coalesce(shaped, F.array().cast("array<struct<kind:string,start:bigint,end:bigint>>")).alias("spans"))
 
 
-def _on(left: DataFrame, right: DataFrame, condition: Column, how: str) -> DataFrame:
-    r = right.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), F.col("bin").alias("b_"), "k", "s", "e")
-    return left.join(r, (F.col("doc_id") == F.col("d_")) & (F.col("h") == F.col("h_")) & (F.col("bin") == F.col("b_")) & condition, how)
-
-
 def _semi(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    return _on(left, right, condition, "left_semi")
-
-
-def _anti(left: DataFrame, right: DataFrame, condition: Column) -> DataFrame:
-    return _on(left, right, condition, "left_anti")
+    r = right.select(F.col("doc_id").alias("d_"), F.col("h").alias("h_"), F.col("bin").alias("b_"), "k", "s", "e")
+    return left.join(r, (F.col("doc_id") == F.col("d_")) & (F.col("h") == F.col("h_")) & (F.col("bin") == F.col("b_")) & condition, "left_semi")
 
 
 def digests(scanned: DataFrame, kinds: tuple[str, ...] = BASE) -> DataFrame:
