@@ -18,8 +18,6 @@ from pyspark.sql import functions as F
 
 from .common import bitmap, gram_hashes, in_bitmap, mix, pieces, stored, texts, word_hashes
 
-#: Items under this many words are no evidence.
-LEAST = 5
 _PUNCTUATION = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 
 
@@ -82,13 +80,13 @@ def _best(same: np.ndarray, need: int, least: Fraction) -> tuple[int, int] | Non
     return -start, end
 
 
-def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 12, identity: float = 0.8, bits: int = 1 << 24) -> DataFrame:
+def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", least_words: int = 12, identity: float = 0.8, bits: int = 1 << 24, shortest: int = 5) -> DataFrame:
     """Passages of items within documents, with single words replaced or not.
 
     One row per document and item with an overlap: doc_id, item_id, doc_start, item_start, n_words, n_same: the best
     stretch (a point for each equal word, two off for each other) among those of least_words words or more, or of the
     whole item if that is shorter, with `identity` of their words equal. No such stretch is missed. Words are compared in lower case, without ASCII punctuation.
-    Null or empty texts and items, and items under five words: no row. Null doc_id or item_id: left out. Repeated rows:
+    Null or empty texts and items, and items under `shortest` words (1: none), which say little of where a text is from: no row. Null doc_id or item_id: left out. Repeated rows:
     as one. Ties: of equally good stretches the one that starts first. Other columns, whatever their names, are not read. A very long text: hashed in pieces; only the surroundings of hits leave the task. Empty tables: no rows.
     bits: size of the bitmap of items' seeds by which documents' seeds are sifted before the join.
     """
@@ -103,8 +101,8 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
             got = _words(data)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([w.tobytes() for w in got], pa.binary()), pa.array([len(w) for w in got], pa.int32())], ["item_id", "words", "n"])
 
-    known = stored(items.mapInArrow(item_words, "item_id long, words binary, n int").where(f"n >= {LEAST}"))
-    # At most least_words - LEAST lengths.
+    known = stored(items.mapInArrow(item_words, "item_id long, words binary, n int").where(f"n >= {max(1, shortest)}"))
+    # At most least_words lengths.
     short = tuple(sorted(r["n"] for r in known.where(f"n < {least_words}").select("n").distinct().collect()))
     longest = known.agg(F.max("n").alias("n")).first()["n"] or 0
     pairs = runs if longest >= least_words else None
@@ -147,7 +145,7 @@ def overlaps(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
                 d, t = np.frombuffer(mine, np.uint64), np.frombuffer(theirs, np.uint64)
                 a = max(0, -shift)
                 n = min(len(t), len(d) - shift) - a
-                if n < LEAST:
+                if n < shortest:
                     continue
                 same = t[a : a + n] == d[a + shift : a + shift + n]
                 if stretch := _best(same, min(least_words, len(t)), least):
