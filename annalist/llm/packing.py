@@ -24,6 +24,10 @@ _SELF = {*range(33, 127), *range(161, 173), *range(174, 256)}
 _BYTES = {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in _SELF)}
 
 
+#: Longer words, in bytes, are rarely met again and not remembered; so a worker holds known_words of this length at most.
+KEPT_WORD = 64
+
+
 class _Words(dict):
     """Words' ids as bytes, worked out when first asked for."""
 
@@ -33,7 +37,9 @@ class _Words(dict):
     def part(self, part: str) -> bytes:
         if (got := self.parts.get(part)) is None:
             mapped = part if part.isascii() and part.isalpha() else part.encode().decode("latin-1").translate(_BYTES)
-            got = self.parts[part] = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+            got = array("I", [t.id for t in self.tokenize(mapped)]).tobytes()
+            if len(part) <= KEPT_WORD:
+                self.parts[part] = got
         return got
 
     def __missing__(self, word: bytes) -> bytes:
@@ -44,7 +50,8 @@ class _Words(dict):
             got = self.part(low)
         else:
             got = b"".join([self.part(p) for p in self.cut.findall(low)])
-        self[word] = got
+        if len(word) <= KEPT_WORD:
+            self[word] = got
         return got
 
 
@@ -63,11 +70,14 @@ def _encoder(path: str, known_words: int):
     tok, known = _tokenizers[path]
 
     def encode(items: list[bytes | None]) -> list[np.ndarray]:
-        for held in (known, known.parts):
-            if len(held) > known_words:
-                held.clear()
         # ASCII letters may be lowered first, unless a special token's characters could come of it.
-        return [np.frombuffer(b"".join([known[w] for w in (t if b"<|" in t else t.lower()).split()]) if t else b"", np.uint32) for t in items]
+        out = []
+        for t in items:
+            for held in (known, known.parts):
+                if len(held) > known_words:
+                    held.clear()
+            out.append(np.frombuffer(b"".join([known[w] for w in (t if b"<|" in t else t.lower()).split()]) if t else b"", np.uint32))
+        return out
 
     return encode
 
