@@ -33,6 +33,11 @@ def stored(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def released(spark: SparkSession) -> None:
+    """Have Spark delete the shuffle files of jobs whose results are stored: it does so once the driver's JVM has collected the plans that nobody holds any more."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     """The two columns every operator reads, as doc_id long and text string; other columns, whatever their names, are left out."""
     return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"), *[docs[c] for c in more])
@@ -83,17 +88,23 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and start of each word of some bytes: a polynomial hash by one running sum over the bytes."""
+def _sums(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Unmixed hash, start and end of each word of at most 2 * CHUNK bytes: a polynomial hash by one running sum over the bytes."""
     a = np.frombuffer(data, np.uint8)
     if not len(a):
-        return NONE, np.empty(0, np.int64)
-    up, down = _powers(max(CHUNK * 2, 1 << len(a).bit_length()))
+        return NONE, np.empty(0, np.int64), np.empty(0, np.int64)
+    up, down = _powers(CHUNK * 2 + 2)
     edge = np.flatnonzero(np.diff(_SPACE[a], prepend=True, append=True))
     start, end = edge[::2], edge[1::2]
     total = np.zeros(len(a) + 1, np.uint64)
     np.cumsum(_LOOK[a] * up[: len(a)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start]), start
+    return (total[end] - total[start]) * down[start], start, end
+
+
+def _hashed(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and start of each word of at most 2 * CHUNK bytes."""
+    h, start, _ = _sums(data)
+    return mix(h), start
 
 
 def _parts(data: bytes):
@@ -108,8 +119,31 @@ def _parts(data: bytes):
     yield data[at:]
 
 
+def _long(data: bytes, lower: bool) -> np.ndarray:
+    """The words' hashes of a text of any length, CHUNK bytes at a time; a word that is cut goes on with what it has so far."""
+    out, held, size = [], 0, 0
+    for at in range(0, len(data), CHUNK):
+        part = data[at : at + CHUNK]
+        h, start, end = _sums(part.lower() if lower else part)
+        if size and (not len(start) or start[0] > 0):  # the word that was cut ended with the piece
+            out.append(np.array([held], np.uint64))
+            held = size = 0
+        if size:
+            h[0] = np.uint64((held + int(h[0]) * pow(_BASE, size, 2**64)) % 2**64)
+        if len(end) and end[-1] == len(part):
+            whole = len(end) == 1 and start[0] == 0
+            held, size = int(h[-1]), len(part) + size if whole else len(part) - int(start[-1])
+            h = h[:-1]
+        else:
+            held = size = 0
+        out.append(h)
+    if size:
+        out.append(np.array([held], np.uint64))
+    return mix(np.concatenate(out))
+
+
 def word_hashes(data: list[bytes | None], lower: bool = False) -> list[np.ndarray]:
-    """For each text its words' 64-bit hashes, in order. Null: none. Texts are hashed about CHUNK bytes at a time, so memory follows the longest text at most."""
+    """For each text its words' 64-bit hashes, in order. Null: none. Texts are hashed CHUNK bytes at a time, within words too, so beside the texts and their words' hashes memory is bounded."""
     out: list[np.ndarray] = [NONE] * len(data)
     group: list[int] = []
     size = 0
@@ -123,7 +157,7 @@ def word_hashes(data: list[bytes | None], lower: bool = False) -> list[np.ndarra
 
     for i, t in enumerate(data):
         if t and len(t) > CHUNK:
-            out[i] = np.concatenate([_hashed(p.lower() if lower else p)[0] for p in _parts(t)])
+            out[i] = _long(t, lower)
         elif t:
             if group and size + len(t) > CHUNK:
                 flush()

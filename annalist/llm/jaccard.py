@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bitmap, in_bitmap, longs, mix, pieces, shingle_set, stored, texts, word_hashes
+from .common import bitmap, in_bitmap, longs, mix, pieces, released, shingle_set, stored, texts, word_hashes
 
 #: Classes sharing a shingle of which all pairs are made.
 FEW = 8
@@ -209,6 +209,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     salt = F.shiftright("odd", 16)
     dealt = docs.mapInArrow(heads, "t long, k long, sizes long, odd long").repartition("t", salt).sortWithinPartitions("t", salt, "k")
     near = stored(dealt.mapInArrow(buckets, "t long, a long, b long, na int, nb int, la int, lb int, odd int"))
+    del dealt, costly_rows
+    released(spark)
 
     common = near.where("t is not null").select("t", F.col("a").alias("k"), F.col("na").alias("n"), "odd").distinct()
     hubs = common.groupBy("t").agg(F.min(F.struct("odd", "k", "n")).alias("h"), F.count(F.lit(1)).alias("c")).where("c > 1").select("t", F.col("h.k").alias("hub"), F.col("h.n").alias("hub_n"))
@@ -240,6 +242,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             yield pa.RecordBatch.from_arrays([pa.array([_class_key(t) for t in keep], pa.int64()), pa.array([t.tobytes() for t in keep], pa.binary())], ["k", "tokens"])
 
     content = stored(docs.mapInArrow(contents, "k long, tokens binary"))
+    del rare, more, common, hubs, in_common, several, firsts
+    released(spark)
     named = _linked(first_pairs, groups, content, light, p, q, meet)
 
     of_class = members.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
