@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 from pyspark.sql.types import MapType, StructType
 
 
@@ -55,6 +56,84 @@ def first_seen(df: DataFrame, key: str, ts: str) -> DataFrame:
     return df.groupBy(key).agg(first).select(*[key if c == key else F.col(f"r_.{c}").alias(c) for c in df.columns])
 
 
+#: Value states with timers need this store; set it in the session before such a stream starts.
+STATE_STORE = ("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _Newcomers(StatefulProcessor):
+    """Remembers of each key when it was last met; a timer forgets it once that is `keep` milliseconds back."""
+
+    def __init__(self, ts: str, keep: int):
+        self.ts, self.keep = ts, keep
+
+    def init(self, handle) -> None:
+        self.handle, self.last = handle, handle.getValueState("last", "ts long")
+
+    def handleInputRows(self, key, rows, timerValues):
+        rows = pd.concat(list(rows)).sort_values(self.ts, kind="stable")
+        when = rows[self.ts].astype("datetime64[us]").astype("int64")
+        known = self.last.get()[0] if self.last.exists() else None
+        # The timer may be due and not yet have run, so the time itself says whether the key is new.
+        before = when.cummax().shift(1)
+        if known is not None:
+            before = before.fillna(known).clip(lower=known)
+        yield rows[(before.isna() | (when - before > self.keep * 1000)).to_numpy()]
+        newest = max(int(when.max()), known or 0)
+        if newest != known:
+            for t in self.handle.listTimers():
+                self.handle.deleteTimer(t)
+            self.handle.registerTimer(newest // 1000 + self.keep)
+            self.last.update((newest,))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        self.last.clear()
+        yield pd.DataFrame()
+
+    def close(self) -> None:
+        pass
+
+
+def newcomers(stream: DataFrame, key: str, ts: str, delay: str, keep_days: float) -> DataFrame:
+    """In a stream, the rows whose key has not been met for `keep_days` before them, as soon as their batch is read.
+
+    A key's state is one number and a timer, which frees it; so the state holds the keys of the last `keep_days` only.
+    Rows older than the watermark don't come here: split_late() hands them to a folder of their own. Null keys are a key.
+    """
+    df = stream.withWatermark(ts, delay)
+    return df.groupBy(key).transformWithStateInPandas(_Newcomers(ts, int(keep_days * 86_400_000)), outputStructType=stream.schema, outputMode="Append", timeMode="EventTime")
+
+
+def split_late(stream: DataFrame, ts: str, delay_seconds: int, folder: str, checkpoint: str) -> StreamingQuery:
+    """Everything that is there, batch by batch, into folder/rows and, if older by more than the delay than the newest row of earlier batches, into folder/late, with the watermark it missed; then stop.
+
+    folder/marks holds each batch's newest time. All three are written under the batch's number, so a batch that is run
+    again after a failure leaves what it would have left at first. Rows without a time are not late.
+    """
+
+    def one(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        marks = spark.read.schema("batch long, newest timestamp").option("ignoreMissingFiles", True)
+        done = [spark.createDataFrame([], "batch long, newest timestamp")] + ([marks.parquet(f"{folder}/marks")] if number else [])
+        newest = done[-1].where(F.col("batch") < number).agg(F.max("newest").alias("m")).first()["m"]
+        mark = F.lit(newest) - F.make_dt_interval(secs=F.lit(delay_seconds)) if newest else F.lit(None).cast("timestamp")
+        late = F.coalesce(F.col(ts).cast("timestamp") < mark, F.lit(False))
+        batch.where(~late).write.mode("overwrite").parquet(f"{folder}/rows/batch={number}")
+        batch.where(late).withColumn("missed", mark).write.mode("overwrite").parquet(f"{folder}/late/batch={number}")
+        batch.agg(F.lit(number).cast("long").alias("batch"), F.max(F.col(ts).cast("timestamp")).alias("newest")).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/of={number}")
+
+    return stream.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def settle_late(spark: SparkSession, folder: str, key: str, ts: str, seen: DataFrame) -> DataFrame:
+    """First rows (as first_seen()) once the late rows of split_late() are settled: keys that have a late row are worked out anew from all their rows, the others stay as they are."""
+    schema = seen.schema
+    late = spark.read.schema(schema).parquet(f"{folder}/late").select(*seen.columns)
+    keys = late.select(F.col(key).alias("k_")).distinct()
+    of = lambda df, how: df.join(keys, F.col(key).eqNullSafe(F.col("k_")), how).select(*seen.columns)
+    again = of(spark.read.schema(schema).parquet(f"{folder}/rows"), "left_semi").unionByName(late)
+    return of(seen, "left_anti").unionByName(first_seen(again, key, ts).select(*seen.columns))
+
+
 def run_summary(batch: DataFrame, batch_id: int, key: str) -> DataFrame:
     """(batch, n, keys, nameless): one row on a micro-batch; call it from foreachBatch and append the row."""
     return batch.agg(F.lit(batch_id).alias("batch"), F.count(F.lit(1)).alias("n"), F.countDistinct(key).alias("keys"), F.count_if(F.col(key).isNull()).alias("nameless"))
