@@ -204,13 +204,15 @@ def fill_lengths(lines: DataFrame, items: DataFrame, parent: str, key: str, leng
 
 # --- tags ------------------------------------------------------------------------------------
 
-def similar_by_tags(tags: DataFrame, entity: str, tag: str, owner: str, of: DataFrame, k: int) -> DataFrame:
-    """(entity, other, score, nth): for each entity of `of`, the k of other owners that share most tag weight, rare tags weighing more. Ties by the smaller one."""
+def similar_by_tags(tags: DataFrame, entity: str, tag: str, owner: str, of: DataFrame, k: int, used: DataFrame | None = None) -> DataFrame:
+    """(entity, other, score, nth): for each entity of `of`, the k of other owners that share most tag weight, rare tags weighing more; only those in used (entity), if given. Ties by the smaller one."""
     t = tags.select(entity, tag, owner).distinct()
     n = t.select(entity).distinct().agg(F.count(F.lit(1)).alias("n_"))
     weight = t.groupBy(tag).agg(F.count(F.lit(1)).alias("f_")).crossJoin(F.broadcast(n)).select(tag, F.log(1 + F.col("n_") / F.col("f_")).alias("w_"))
     mine = t.join(of.select(entity).distinct(), entity, "left_semi").join(weight, tag)
     other = t.select(F.col(entity).alias("other"), tag, F.col(owner).alias("owner_"))
+    if used is not None:
+        other = other.join(used.select(F.col(entity).alias("other")).distinct(), "other", "left_semi")
     g = mine.join(other, tag).where(~F.col(owner).eqNullSafe(F.col("owner_"))).groupBy(entity, "other").agg(F.round(F.sum("w_"), 6).alias("score"))
     return g.withColumn("nth", F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("score"), "other"))).where(F.col("nth") <= k)
 

@@ -32,11 +32,12 @@ def facet_filter(df: DataFrame, selected: Mapping[str, Sequence], all_of: Sequen
 
 
 def facet_counts(df: DataFrame, facets: Sequence[str], selected: Mapping[str, Sequence]) -> DataFrame:
-    """(facet, value, n): for each facet, rows that pass all the other facets; a selected value stays, with 0 if need be."""
+    """(facet, value, n): for each facet, rows that pass all the other facets; a selected value stays, with 0 if need be. A row counts for each value of an array column, once."""
     out = None
     for f in facets:
         rest = facet_filter(df, {k: v for k, v in selected.items() if k != f})
-        part = rest.groupBy(F.col(f).cast("string").alias("value")).agg(F.count(F.lit(1)).alias("n"))
+        value = F.explode(F.array_distinct(f)) if df.schema[f].dataType.typeName() == "array" else F.col(f)
+        part = rest.select(value.alias("value")).select(F.col("value").cast("string")).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
         if selected.get(f):
             part = part.unionByName(df.sparkSession.createDataFrame([(str(v), 0) for v in selected[f]], "value string, n long")).groupBy("value").agg(F.sum("n").alias("n"))
         part = part.select(F.lit(f).alias("facet"), "value", "n")
@@ -119,15 +120,16 @@ def overlap(df: DataFrame, entity: str, key: str, least: int = 1) -> DataFrame:
 def contained_in(sets: DataFrame, group: str, member: str) -> DataFrame:
     """(small, big): groups all of whose members another group has, equal ones both ways.
 
-    A group meets only the holders of its rarest member, and of these only those that have as many members or more; then the
-    members themselves are compared.
+    A group meets only the holders of its rarest member, and of these only those that have as many members or more; then
+    the members that both have are counted, by joins on group and member, so no set is carried whole.
     """
     d = sets.select(F.col(group).alias("g_"), F.col(member).alias("m_")).where("g_ is not null and m_ is not null").distinct()
     held = d.groupBy("m_").agg(F.count(F.lit(1)).alias("c_"))
-    all_ = d.join(held, "m_").groupBy("g_").agg(F.min_by("m_", F.struct("c_", "m_")).alias("m_"), F.collect_set("m_").alias("all_"))
-    big = d.join(all_.select("g_", F.col("all_").alias("of_")), "g_").select(F.col("g_").alias("b_"), "m_", "of_")
-    met = all_.join(big, "m_").where("g_ <> b_ and size(all_) <= size(of_)").where(F.size(F.array_except("all_", "of_")) == 0)
-    return met.select(F.col("g_").alias("small"), F.col("b_").alias("big"))
+    rarest = d.join(held, "m_").groupBy("g_").agg(F.min_by("m_", F.struct("c_", "m_")).alias("m_"), F.count(F.lit(1)).alias("n_"))
+    size = rarest.select(F.col("g_").alias("b_"), F.col("n_").alias("of_"))
+    pairs = rarest.join(d.select(F.col("g_").alias("b_"), "m_"), "m_").where("g_ <> b_").join(size, "b_").where("n_ <= of_").select("g_", "b_", "n_")
+    met = pairs.where("n_ > 1").join(d, "g_").join(d.select(F.col("g_").alias("b_"), "m_"), ["b_", "m_"]).groupBy("g_", "b_", "n_").agg(F.count(F.lit(1)).alias("k_")).where("k_ = n_")
+    return pairs.where("n_ = 1").select("g_", "b_").unionByName(met.select("g_", "b_")).select(F.col("g_").alias("small"), F.col("b_").alias("big"))
 
 
 # --- aggregates ------------------------------------------------------------------------------

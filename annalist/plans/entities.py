@@ -202,12 +202,12 @@ def m16_fill_lengths(t):
 # --- tags ------------------------------------------------------------------------------------
 
 @query("""WITH t AS (SELECT DISTINCT p_brand AS entity, p_name AS tag, length(p_brand) + p_size % 1 AS owner FROM part), n AS (SELECT count(DISTINCT entity) AS n FROM t), w AS (SELECT tag, ln(1 + any_value(n) / count(*)) AS w FROM t, n GROUP BY 1),
-s AS (SELECT a.entity, b.entity AS other, round(sum(w), 6) AS score FROM t a JOIN w USING (tag) JOIN t b USING (tag) WHERE a.owner <> b.owner AND a.entity IN ('Brand#1', 'Brand#5', 'Brand#12') GROUP BY 1, 2)
+s AS (SELECT a.entity, b.entity AS other, round(sum(w), 6) AS score FROM t a JOIN w USING (tag) JOIN t b USING (tag) WHERE a.owner <> b.owner AND b.entity IN (SELECT p_brand FROM part WHERE p_size > 45) GROUP BY 1, 2)
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity ORDER BY score DESC, other) AS nth FROM s) WHERE nth <= 5""")
 def gn11_similar_by_tags(t):
-    """Brands like three given ones, by shared part names; the owner of a brand is the length of its name."""
+    """For every brand, brands like it by shared part names; the owner of a brand is the length of its name, and used are those with a part over size 45."""
     tags = t("part").select(F.col("p_brand").alias("entity"), F.col("p_name").alias("tag"), F.length("p_brand").alias("owner"))
-    return N.similar_by_tags(tags, "entity", "tag", "owner", tags.where(F.col("entity").isin("Brand#1", "Brand#5", "Brand#12")), 5)
+    return N.similar_by_tags(tags, "entity", "tag", "owner", tags, 5, t("part").where("p_size > 45").select(F.col("p_brand").alias("entity")))
 
 
 @query("SELECT p_type AS tag, count(DISTINCT p_brand) AS entities, count(DISTINCT p_size) AS sources, count(DISTINCT CASE WHEN p_brand IN (SELECT p_brand FROM part WHERE p_retailprice > 915) THEN p_brand END) AS owned FROM part GROUP BY 1")

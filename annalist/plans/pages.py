@@ -48,6 +48,17 @@ def p6_parent_pages(t):
     return out.select("l_suppkey", "n", "first", "last", "children", "rank", "best", "best_n", F.round("share", 9).alias("share"))
 
 
+@query("""WITH f AS (SELECT l_suppkey AS parent, l_partkey % 10 AS item, l_shipdate AS ts, CASE WHEN l_suppkey % 2 = 0 THEN l_orderkey % 5 ELSE l_orderkey % 50 END AS sh FROM lineitem),
+s AS (SELECT parent, sh, min(ts) AS w FROM f GROUP BY ALL), k AS (SELECT parent, count(*) AS shows FROM s GROUP BY ALL),
+c AS (SELECT f.parent, item, 'show' AS kind, s.w, f.sh::VARCHAR AS name, count(*) AS n FROM f JOIN s ON s.parent = f.parent AND s.sh = f.sh JOIN k ON k.parent = f.parent WHERE shows <= 24 GROUP BY ALL
+UNION ALL SELECT f.parent, item, 'year', make_timestamp(year(ts), 1, 1, 0, 0, 0), year(ts)::VARCHAR, count(*) FROM f JOIN k ON k.parent = f.parent WHERE shows > 24 GROUP BY ALL)
+SELECT parent, item, kind, string_agg(name || '=' || n, ',' ORDER BY w, name) AS cells FROM c GROUP BY ALL""")
+def p6_parent_matrix(t):
+    """How often each kind of part stood on each supplier's orders: by order if there are few, else by year."""
+    f = t("lineitem").select(F.col("l_suppkey").alias("parent"), (F.col("l_partkey") % 10).alias("item"), F.col("l_shipdate").alias("ts"), F.expr("case when l_suppkey % 2 = 0 then l_orderkey % 5 else l_orderkey % 50 end").alias("show"))
+    return P.matrix(f, "parent", "item", "show", "ts").withColumn("cells", F.array_join(F.transform("cells", lambda c: F.concat_ws("=", c["at"], c["n"].cast("string"))), ","))
+
+
 @query("""WITH p AS (SELECT user_id % 300 AS item, count(*) AS n, min(ts) AS first, max(ts) AS last FROM events WHERE user_id IS NOT NULL GROUP BY 1), h AS (SELECT user_id % 300 AS item, hour(ts) AS h FROM events WHERE user_id IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY user_id % 300 ORDER BY count(*) DESC, hour(ts)) = 1), m AS (SELECT p_partkey AS item, p_name AS key, coalesce(n, 0) AS n, first, last, h::INTEGER AS hour FROM part LEFT JOIN p ON p.item = p_partkey LEFT JOIN h ON h.item = p_partkey)
 SELECT *, count(*) OVER (PARTITION BY key) AS versions, sum(n) OVER (PARTITION BY key)::BIGINT AS all_plays FROM m""")
 def p7_item_pages(t):
@@ -152,3 +163,15 @@ def ag2_best_with_fallback(t):
 SELECT s.k, s.year, coalesce(n, 0) AS n, CASE WHEN rank <= 1 THEN 1 WHEN rank <= 3 THEN 3 WHEN rank <= 10 THEN 10 END AS band FROM s LEFT JOIN r ON r.k = s.k AND r.year = s.year""")
 def w11_rank_bands(t):
     return P.rank_bands(t("orders").select((F.col("o_custkey") % 100).alias("k"), "o_orderdate"), "k", "o_orderdate")
+
+
+@query("""SELECT w AS period, n, true AS users_near, true AS kinds_near FROM (SELECT (date_diff('day', DATE '2024-01-01', ts::DATE) // 7)::INTEGER AS w, count(*) AS n FROM events GROUP BY 1)""")
+def ag3_period_sketches(t):
+    """Distinct users and kinds of events by week from daily sketches, and whether they are within 3 % of the exact numbers."""
+    e = t("events")
+    week = F.floor(F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) / 7).cast("int")
+    periods = e.select(week.alias("period")).distinct().select("period", F.expr("date_add(date '2024-01-01', period * 7)").alias("start"), F.expr("date_add(date '2024-01-01', period * 7 + 7)").alias("end"))
+    got = P.period_counts(P.daily_sketches(e, "ts", ["user_id", "event_type"]), periods, ["user_id", "event_type"])
+    exact = e.groupBy(week.alias("period")).agg(F.countDistinct("user_id").alias("u"), F.countDistinct("event_type").alias("k"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b)
+    return got.join(exact, "period").select("period", "n", near("n_user_id", "u").alias("users_near"), near("n_event_type", "k").alias("kinds_near"))

@@ -163,6 +163,15 @@ def ag12_facet_counts(t):
     return R.facet_counts(t("customer"), ["c_mktsegment", "c_nationkey"], {"c_mktsegment": ["BUILDING"], "c_nationkey": [3, 4]})
 
 
+@query("""WITH p AS (SELECT p_brand, string_split(p_name, ' ') AS words FROM part)
+SELECT 'p_brand' AS facet, p_brand AS value, count(*) AS n FROM p WHERE list_contains(words, 'red') GROUP BY 2
+UNION ALL SELECT 'words', value, sum(n)::BIGINT FROM (SELECT value, count(*) AS n FROM (SELECT unnest(list_distinct(words)) AS value FROM p WHERE p_brand = 'Brand#3') GROUP BY 1 UNION ALL SELECT 'red', 0) GROUP BY 2""")
+def ag12_facet_counts_of_lists(t):
+    """Facets of a list column: each part counts for every word of its name."""
+    p = t("part").select("p_brand", F.split("p_name", " ").alias("words"))
+    return R.facet_counts(p, ["p_brand", "words"], {"words": ["red"], "p_brand": ["Brand#3"]}).where("n > 0 or facet = 'words'")
+
+
 @query("SELECT CASE WHEN n = 1 THEN 'first' WHEN n <= 10 THEN '2-10' WHEN n <= 49 THEN '11-49' ELSE '50+' END AS bucket, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events) GROUP BY 1")
 def ag14_familiarity(t):
     return R.familiarity(t("events"), ["user_id", "event_type"])
@@ -258,10 +267,11 @@ def s37_signatures(t):
 
 # --- duplicates and quality checks -----------------------------------------------------------
 
-@query("SELECT p_brand, p_name, count(*) AS n, min(p_partkey) AS first, string_agg(p_partkey::VARCHAR, ',' ORDER BY p_partkey) AS ids FROM part GROUP BY 1, 2 HAVING count(*) > 1")
+@query("""SELECT p_brand, p_name, p_partkey, min(p_partkey) OVER g AS first, count(*) OVER g AS n FROM part WINDOW g AS (PARTITION BY p_brand, p_name) QUALIFY count(*) OVER g > 1""")
 def d1_exact_groups(t):
-    ids = F.array_join(F.transform(F.array_sort(F.collect_list("p_partkey")), lambda x: x.cast("string")), ",")
-    return t("part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first"), ids.alias("ids")).where("n > 1")
+    """Members of groups of one title and owner, a row each, under the smallest of them."""
+    groups = t("part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
+    return t("part").select("p_brand", "p_name", "p_partkey").join(groups, ["p_brand", "p_name"])
 
 
 @query("""SELECT 'orders without customer' AS "check", count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lines without order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -50,6 +52,51 @@ def publish(tables: Mapping[str, DataFrame], allow: Mapping[str, Sequence[str]],
     return out
 
 
+MANIFEST = "version long, table string, rows long, bytes long, schema string"
+
+
+def publish_version(tables: Mapping[str, DataFrame], allow: Mapping[str, Sequence[str]], folder: str) -> DataFrame:
+    """Publish the allowed tables with their allowed columns as the next version in a folder; the version's rows of MANIFEST.
+
+    Every table goes to a folder of the version's own; its rows are counted while they are written. The manifest comes
+    last, as one file that appears at once, and published() takes what it says: a write that fails leaves the version
+    before it in force, and its own half-written tables unread. An allowed table that is not there is left out.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    version = max([v for v in _versions(spark, folder)] or [0]) + 1
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    rows = []
+    for name, columns in allow.items():
+        if name in tables:
+            df, to, seen = tables[name], f"{folder}/versions/{version}/{name}", Observation()
+            df = df.select(*[c for c in columns if c in df.columns])
+            df.observe(seen, F.count(F.lit(1)).alias("rows")).write.mode("overwrite").parquet(to)
+            path = hadoop.Path(to)
+            size = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getContentSummary(path).getLength()
+            rows.append((version, name, seen.get["rows"], size, df.schema.json()))
+    out = spark.createDataFrame(rows, MANIFEST)  # a row for each table
+    out.coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return out
+
+
+def _versions(spark: SparkSession, folder: str) -> list[int]:
+    try:
+        return [r["version"] for r in spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").select("version").distinct().collect()]
+    except AnalysisException:  # nothing is published yet
+        return []
+
+
+def published(spark: SparkSession, folder: str, version: int | None = None) -> tuple[DataFrame, dict[str, DataFrame]]:
+    """The manifest of a version, the newest if none is named, and its tables. ValueError if there is no such version."""
+    there = _versions(spark, folder)
+    version = version or max(there, default=0)
+    if version not in there:
+        raise ValueError(f"no version {version or ''} in {folder}")
+    manifest = spark.read.schema(MANIFEST).parquet(f"{folder}/manifest").where(F.col("version") == version)
+    tables = {r["table"]: spark.read.schema(StructType.fromJson(json.loads(r["schema"]))).parquet(f"{folder}/versions/{version}/{r['table']}") for r in manifest.collect()}  # a row for each table
+    return manifest, tables
+
+
 def parse_collection(raw: DataFrame, col: str = "json") -> DataFrame:
     """Owned items of a nested collection record as the flat rows that the CSV gives: credits and labels joined, fields told apart by name. Records that are no JSON give nothing."""
     named = "array<struct<name:string>>"
