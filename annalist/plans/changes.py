@@ -8,6 +8,7 @@ from annalist.operators import batches as B
 from annalist.operators import curation as C
 from annalist.operators import lists as L
 from annalist.operators import matching as M
+from annalist.operators import releases as RL
 from annalist.operators import similar as N2
 from annalist.plans.registry import QUERIES, query
 
@@ -188,3 +189,15 @@ def f11_fuzzy_search(t):
     p = t("part").select("p_partkey", F.lower("p_name").alias("title"), F.col("p_size").cast("long").alias("weight"))
     queries = t("part").select(F.lower(F.split("p_name", " ")[0]).alias("query")).union(p.select("title"))
     return M.fuzzy_search(queries, p, "p_partkey", "title", "weight")
+
+
+@unchecked
+def d11_contained_releases(t):
+    """Orders as releases of a twentieth of the customers each, parts' names as tracks, titled by their first line; every seventh order's list is known, and every third part was looked up."""
+    p = t("part").select(F.col("p_partkey").alias("l_partkey"), F.lower("p_name").alias("base"), (F.col("p_size") > 5).alias("plain"))
+    rows = t("lineitem").join(p, "l_partkey").join(t("orders").select(F.col("o_orderkey").alias("l_orderkey"), (F.col("o_custkey") % 200).alias("owner"), "o_totalprice", "o_orderdate", "o_orderstatus"), "l_orderkey")
+    rows = rows.select(F.col("l_orderkey").alias("parent"), "owner", F.col("l_partkey").alias("item"), F.concat_ws("|", "base", F.col("plain").cast("string")).alias("track"), "base", "plain", "l_linenumber", "o_totalprice", "o_orderdate", "o_orderstatus")
+    parents = rows.groupBy("parent", "owner").agg(F.min_by("base", F.struct("l_linenumber", "item")).alias("title_key"), F.expr("case when max(o_totalprice) > 200000 then 'x' end").alias("ext"), F.year(F.max("o_orderdate")).alias("year"), (F.max("o_orderstatus") == "P").alias("unsuitable"), F.expr("parent % 10 div 9").alias("owned"), F.expr("parent % 13 = 0").alias("is_album"), F.expr("parent % 17 = 0").alias("varied"), F.expr("parent % 19 = 0").alias("edition"))
+    filed = rows.where("item % 4 > 0").select("parent", "owner", "item", "track", "base", "plain").distinct()
+    plays = rows.groupBy("parent", "owner", "track", "base", "plain").agg(F.count(F.lit(1)).alias("n"))
+    return RL.contained_releases(parents, parents.select("parent", "owner"), filed, plays, rows.where("parent % 7 = 0").select("parent", "track").distinct(), rows.where("item % 3 = 0").select("owner", "track", "parent").distinct())[0]
