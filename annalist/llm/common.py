@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gc
 import hashlib
 import tempfile
 import uuid
@@ -34,7 +35,8 @@ def stored(df: DataFrame, path: str | None = None, **options: str) -> DataFrame:
 
 
 def released(spark: SparkSession) -> None:
-    """Have Spark delete the shuffle files of jobs whose results are stored: it does so once the driver's JVM has collected the plans that nobody holds any more."""
+    """Have Spark delete the shuffle files of jobs whose results are stored: it does so once the plans that nobody holds any more are collected, here and in the driver's JVM."""
+    gc.collect()
     spark.sparkContext._jvm.System.gc()
 
 
@@ -66,7 +68,8 @@ def in_bitmap(table: np.ndarray, bits: int, keys: np.ndarray) -> np.ndarray:
 
 # --- word hashes -----------------------------------------------------------------------------
 
-CHUNK = 1 << 20
+#: Bytes hashed at a time; what that takes in memory is some forty times as much.
+CHUNK = 1 << 18
 _BASE = 0x9E3779B97F4A7C15
 _LOOK = np.frombuffer(hashlib.shake_256(b"byte values").digest(2048), np.uint64) | np.uint64(1)
 _SPACE = np.zeros(256, bool)

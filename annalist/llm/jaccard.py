@@ -286,6 +286,7 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
             new = new.join(checked, ["x", "y"], "left_anti")
         new = stored(new)
         judged = stored(_together((new if checked is None else _near(new, light, p, q)).select("a", "b"), content, linked, "linked boolean"))
+        released(content.sparkSession)
         pairs, found = new.select("x", "y"), judged.where("linked").select("a", "b")
         checked, edges = (pairs, found) if checked is None else (checked.unionByName(pairs), edges.unionByName(found))
         if named is None or not found.isEmpty():
@@ -298,6 +299,7 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
             return named
         now = now.join(now.where("apart").select("g").distinct(), "g", "left_semi").select(now.columns)
         both = stored(_together(now, content, centred, "d array<long>, own array<long>")).select(F.col("b").alias("k"), "*")
+        released(content.sparkSession)
         near_hub = both.where("size(d) > 0").select("g", "k", "n", "hub_n", "c", "apart", "d")
         far = both.where("size(own) > 0").select(F.xxhash64("g").alias("g"), "k", "n", F.lit(0).alias("hub_n"), "c", F.lit(True).alias("apart"), F.col("own").alias("d"))
         left, right = _openings(near_hub.unionByName(far), p, q)
