@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from annalist.functions.ratios import indel_ratio, sequence_ratio, token_set_ratio, token_sort_ratio
 from annalist.functions.text import name_key
+from annalist.functions.titles import comparison_words, differing_words, no_item_kind, title_keys
 from annalist.operators.entities import near_pairs
 from annalist.operators.similar import near_between, word_set_pairs
 
@@ -99,6 +100,47 @@ def actor_pairs(actors: DataFrame, key: str, name: str, ext: str, ratio: float =
     return out.join(both, ["a", "b"], "left").withColumn("shared", F.coalesce("shared", F.lit(0)))
 
 
+def possible_pairs(items: DataFrame, key: str, owner: str, title: str, dismissed: DataFrame | None = None, spelling: float = 85) -> DataFrame:
+    """(owner, a, b, reason, score), a < b: titles of one owner that are likely one item, though their keys differ, and why; never those with different sequel numbers (a year as in '95 is none) or with words more.
+
+    reason, the first that holds: spacing (100: the same without blanks), article (97: but for a, an, the), suffix (95: but
+    for one or two numbers at either end, with keys of four characters), spelling (the ratio of the words that differ, once
+    those shared at both ends are set aside, is `spelling` or more, 85 at least, and they have three characters). Titles of
+    one key stand under the smallest item; those of under four characters, and lines that are no item, are left out, as are
+    dismissed pairs (a, b). Titles meet on what the reasons leave of them, and on rare bigrams.
+    """
+    t = title_keys(items.where(F.col(title).isNotNull()), title)
+    t = t.withColumn("sequel", F.when(~F.trim("base").rlike("['’‘][0-9]{2}$"), F.col("sequel")))  # a year, not a sequel
+    t = t.withColumn("k_", F.coalesce(F.nullif("track_key", F.lit("")), "key")).where((F.col("k_") != "") & no_item_kind(F.col(title)).isNull())
+    t = t.groupBy(F.col(owner).alias("owner"), "k_").agg(F.min(key).alias("id"), F.min_by("sequel", key).alias("seq_")).withColumn("words", comparison_words(F.col("k_"))).withColumn("c_", F.array_join("words", "")).where("length(c_) >= 4")
+    t = t.withColumns({"seq_": F.coalesce("seq_", F.lit("")), "block": F.to_json(F.struct(F.col("owner").cast("string").alias("o"), F.coalesce("seq_", F.lit("")).alias("s")))})
+    article = lambda w: w.isin("a", "an", "the")
+    number = lambda w: w.rlike("^[0-9]{1,4}$")
+    bare = {"c_": F.col("c_"), "no_article": F.array_join(F.filter("words", lambda w: ~article(w)), " "), "no_number": F.array_join(F.filter("words", lambda w: ~number(w)), " ")}
+    keyed = t.select("block", "id", F.explode(F.array(*[F.concat(F.lit(f"{n} "), c) for n, c in bare.items()])).alias("x"))
+    met = keyed.join(keyed.withColumnRenamed("id", "id2"), ["block", "x"]).where("id < id2").select("block", "id", "id2")
+    texts = t.select("block", F.col("c_").alias("t"))
+    near = near_between(texts, texts, 80).where("x < y").select("block", "x", "y")
+    of = lambda x, i: t.select("block", F.col("c_").alias(x), F.col("id").alias(i))
+    near = near.join(of("x", "i1"), ["block", "x"]).join(of("y", "i2"), ["block", "y"]).select("block", F.least("i1", "i2").alias("id"), F.greatest("i1", "i2").alias("id2"))
+    both = met.unionByName(near).distinct()
+    if dismissed is not None:
+        both = both.join(dismissed.select(F.least("a", "b").alias("id"), F.greatest("a", "b").alias("id2")).distinct(), ["id", "id2"], "left_anti")
+    side = lambda n: t.select("block", "owner", F.col("id").alias("id" if n == 1 else "id2"), F.col("k_").alias(f"k{n}"), F.col("words").alias(f"w{n}"), F.col("c_").alias(f"c{n}"))
+    pairs = both.join(side(1), ["block", "id"]).join(side(2).drop("owner"), ["block", "id2"]).withColumn("d", differing_words(F.col("w1"), F.col("w2")))
+    extra = F.when(F.size("d.a") == 0, F.col("d.b")).when(F.size("d.b") == 0, F.col("d.a"))
+    left, right = F.array_join("d.a", " "), F.array_join("d.b", " ")
+    long = (F.length("k1") >= 4) & (F.length("k2") >= 4)
+    reason = (
+        F.when(F.col("c1") == F.col("c2"), "spacing").when(F.forall(extra, article), "article")
+        .when((F.size(extra) <= 2) & F.forall(extra, number) & long, "suffix").when(extra.isNull() & (F.least(F.length(left), F.length(right)) >= 3), "spelling")
+    )
+    judged = pairs.select("owner", F.col("id").alias("a"), F.col("id2").alias("b"), reason.alias("reason"), left.alias("x_"), right.alias("y_")).where("reason is not null")
+    sure = judged.where("reason <> 'spelling'").withColumn("score", F.when(F.col("reason") == "spacing", 100.0).when(F.col("reason") == "article", 97.0).otherwise(95.0))
+    spelt = judged.where("reason = 'spelling'").withColumn("score", F.round(indel_ratio("x_", "y_"), 1)).where(F.col("score") >= max(85, spelling))
+    return sure.unionByName(spelt).select("owner", "a", "b", "reason", "score")
+
+
 def similar_versions(parents: DataFrame, key: str, owner: str, title_key: str, sequel: str, dismissed: DataFrame | None = None, ratio: float = 92, shortest: int = 4) -> DataFrame:
     """(owner, a, b, ratio), a < b: hints at parents of one owner whose titles, `shortest` characters or longer, have nearly the same words and the same sequel number, but are not the same. Two that are each in a group of one title already are none."""
     p = parents.select(F.col(owner).alias("owner"), F.col(key).alias("k_"), F.col(title_key).alias("t"), F.coalesce(F.col(sequel).cast("string"), F.lit("")).alias("s_")).where(F.length("t") >= shortest)

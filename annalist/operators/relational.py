@@ -50,6 +50,13 @@ def page(df: DataFrame, order: Sequence[Column], number: int, size: int) -> Data
     return df.orderBy(*order).offset((number - 1) * size).limit(size)
 
 
+def paged(df: DataFrame, order: Sequence[Column], number: int, size: int) -> tuple[DataFrame, int, int]:
+    """(rows, number, total): a page, its number once it is brought into the range of pages there are, the first being there always, and how many rows there are in all."""
+    total = df.count()
+    number = max(1, min(number, -(-total // size)))
+    return page(df, order, number, size), number, total
+
+
 # --- joins -----------------------------------------------------------------------------------
 
 def with_activity(dim: DataFrame, facts: Mapping[str, DataFrame], key: str) -> DataFrame:
@@ -201,11 +208,23 @@ def scaled_total(df: DataFrame, by: str, value: Column, known_least: float = 0.9
 
 # --- windows ---------------------------------------------------------------------------------
 
-def position_role(lines: DataFrame, event: str, pos: str) -> DataFrame:
-    """Add role: opener, closer or middle, and of: the lines of the event."""
+def position_role(lines: DataFrame, event: str, pos: str, encore: Column | None = None) -> DataFrame:
+    """Add role (opener, closer or middle), of (the lines of the event), nth (the place among them, equal positions in one), and with an encore (a condition on a line) encore, true for lines of one unless all of the event's are."""
     w = Window.partitionBy(event)
     p = F.col(pos)
-    return lines.withColumns({"of": F.count(F.lit(1)).over(w), "role": F.when(p == F.min(pos).over(w), "opener").when(p == F.max(pos).over(w), "closer").otherwise("middle")})
+    out = lines.withColumns({"of": F.count(F.lit(1)).over(w), "nth": F.dense_rank().over(w.orderBy(pos)).cast("long"), "role": F.when(p == F.min(pos).over(w), "opener").when(p == F.max(pos).over(w), "closer").otherwise("middle")})
+    return out if encore is None else out.withColumn("encore", F.coalesce(encore, F.lit(False)) & ~F.every(F.coalesce(encore, F.lit(False))).over(w))
+
+
+def nights(sets: DataFrame, place: str, date: str, lineup: int = 3, alone: int = 5) -> DataFrame:
+    """(place, day, sets, kind, of, nth): each day at a place with its number of sets. Days in a row at one place are a festival if one of them has `lineup` sets or more, a single day if it has `alone`; nth and of then say which day of how many it is. Otherwise gigs, without them."""
+    days = sets.where(F.col(place).isNotNull() & F.col(date).isNotNull()).groupBy(place, F.col(date).cast("date").alias("day")).agg(F.count(F.lit(1)).alias("sets"))
+    w = Window.partitionBy(place).orderBy("day")
+    marked = days.withColumn("b_", F.when(F.datediff("day", F.lag("day").over(w)) == 1, 0).otherwise(1)).withColumn("run_", F.sum("b_").over(w))
+    run = Window.partitionBy(place, "run_")
+    n, most = F.count(F.lit(1)).over(run), F.max("sets").over(run)
+    marked = marked.withColumns({"n_": n, "big_": ((n > 1) & (most >= lineup)) | (most >= alone), "k_": F.row_number().over(run.orderBy("day")).cast("long")})
+    return marked.select(place, "day", "sets", F.when(F.col("big_"), "festival").otherwise("gig").alias("kind"), F.when(F.col("big_"), F.col("n_")).alias("of"), F.when(F.col("big_"), F.col("k_")).alias("nth"))
 
 
 def runs(events: DataFrame, place: str, date: str) -> DataFrame:

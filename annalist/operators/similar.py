@@ -32,9 +32,9 @@ def near_between(left: DataFrame, right: DataFrame, ratio: float) -> DataFrame:
     Texts of m and n characters with a ratio of r are (1 - r) (m + n) insertions and deletions apart at most, and each
     spoils two bigrams of a text at most. So of twice as many and one of a text's rarest bigrams the other has one. Only
     such pairs are compared, and only across the sides: rows of one side never meet each other. Null and empty texts meet
-    nothing. ratio: over 75; below that there may be no bigram in common.
+    nothing. ratio: 80 or more; below that there may be no bigram in common.
     """
-    assert 75 < ratio <= 100
+    assert 80 <= ratio <= 100
     r = ratio / 100
 
     def side(df: DataFrame) -> DataFrame:
@@ -66,10 +66,10 @@ def word_set_pairs(names: DataFrame, ratio: float = 92, candidates: bool = False
     Bigrams: else few characters differ between both whole names, whose words may stand in any order; bigrams within and
     around words do not depend on that order, so each name meets others on its rarest ones.
 
-    candidates: return what met, unjudged. Names that are equal but for order or repeats of their words have ratio 100.
+    ratio: 80 or more. candidates: return what met, unjudged. Names that are equal but for order or repeats of their words have ratio 100.
     Null and blank names: no words, in no pair. Names are compared as they are; fold them before.
     """
-    assert 75 < ratio <= 100
+    assert 80 <= ratio <= 100
     r = ratio / 100
     words = F.array_sort(F.array_distinct(F.filter(F.split("t", r"\s+"), lambda w: w != "")))
     t = names.select(F.coalesce(F.col("block").cast("string"), F.lit("")).alias("block"), "t").distinct().withColumn("w_", words).where("size(w_) > 0").withColumn("n_", F.length(F.array_join("w_", " ")))

@@ -131,6 +131,13 @@ def d4_similar_versions(t):
     return M.similar_versions(p, "p_partkey", "p_size", "k", "sequel")
 
 
+@unchecked
+def d2_possible_pairs(t):
+    """Parts of one size whose names are likely one: some run together, some with an article, a year or a letter more."""
+    title = F.expr("case p_partkey % 7 when 0 then replace(p_name, ' ', '') when 1 then 'The ' || p_name when 2 then p_name || ' \\'95' when 3 then p_name || 's' when 4 then p_name || ' Pt. 2' else p_name end")
+    return M.possible_pairs(t("part").select("p_partkey", "p_size", title.alias("title")), "p_partkey", "p_size", "title")
+
+
 @unchecked
 def d12_match_track_lists(t):
     """Lines of each order against items that carry their names with a blank less, a word more, a letter more or another's id; the first line of every fifth order is linked by hand."""

@@ -56,6 +56,13 @@ def f8_where_missing(t):
     return R.where_missing(t("customer"), urgent, "c_custkey").select("c_custkey", "c_name")
 
 
+@query("""SELECT c_custkey, (SELECT count(*) FROM customer) AS total, ((SELECT count(*) FROM customer) + 24) // 25 AS page FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET ((SELECT count(*) FROM customer) - 1) // 25 * 25""")
+def f10_last_page(t):
+    """A page beyond the last is the last; with its number and the total."""
+    rows, number, total = R.paged(t("customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], 10**6, 25)
+    return rows.select("c_custkey", F.lit(total).cast("long").alias("total"), F.lit(number).cast("long").alias("page"))
+
+
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 25 OFFSET 50")
 def f10_page(t):
     return R.page(t("customer"), [F.desc("c_acctbal"), F.asc("c_custkey")], 3, 25).select("c_custkey", "c_acctbal")
@@ -185,9 +192,18 @@ def w3_rank_moves(t):
     return R.rank_moves(t("events"), "user_id", "ts", PREVIOUS, START, END)
 
 
-@query("SELECT l_orderkey, l_linenumber, count(*) OVER w AS \"of\", CASE WHEN l_linenumber = min(l_linenumber) OVER w THEN 'opener' WHEN l_linenumber = max(l_linenumber) OVER w THEN 'closer' ELSE 'middle' END AS role FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)")
+@query("""SELECT l_orderkey, l_linenumber, count(*) OVER w AS "of", dense_rank() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber) AS nth, CASE WHEN l_linenumber = min(l_linenumber) OVER w THEN 'opener' WHEN l_linenumber = max(l_linenumber) OVER w THEN 'closer' ELSE 'middle' END AS role,
+l_returnflag = 'R' AND NOT bool_and(l_returnflag = 'R') OVER w AS encore FROM lineitem WINDOW w AS (PARTITION BY l_orderkey)""")
 def w5_position_role(t):
-    return R.position_role(t("lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", "l_linenumber", "of", "role")
+    return R.position_role(t("lineitem"), "l_orderkey", "l_linenumber", F.col("l_returnflag") == "R").select("l_orderkey", "l_linenumber", "of", "nth", "role", "encore")
+
+
+@query("""WITH d AS (SELECT o_custkey % 100 AS place, o_orderdate::DATE AS day, count(*) AS sets FROM orders GROUP BY 1, 2), m AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY place ORDER BY day) = 1 THEN 0 ELSE 1 END AS b FROM d),
+r AS (SELECT *, sum(b) OVER (PARTITION BY place ORDER BY day) AS run FROM m), x AS (SELECT *, count(*) OVER (PARTITION BY place, run) AS n, max(sets) OVER (PARTITION BY place, run) AS most, row_number() OVER (PARTITION BY place, run ORDER BY day) AS k FROM r)
+SELECT place, day, sets, CASE WHEN (n > 1 AND most >= 2) OR most >= 3 THEN 'festival' ELSE 'gig' END AS kind, CASE WHEN (n > 1 AND most >= 2) OR most >= 3 THEN n END AS "of", CASE WHEN (n > 1 AND most >= 2) OR most >= 3 THEN k END AS nth FROM x""")
+def w7_nights(t):
+    """Days at each of a hundred places: festivals, with day k of n, and gigs."""
+    return R.nights(t("orders").withColumn("place", F.col("o_custkey") % 100), "place", "o_orderdate", 2, 3)
 
 
 @query("""WITH d AS (SELECT o_custkey, o_orderdate::DATE AS day, count(*) AS n FROM orders GROUP BY 1, 2), m AS (SELECT *, CASE WHEN day - lag(day) OVER (PARTITION BY o_custkey ORDER BY day) = 1 THEN 0 ELSE 1 END AS b FROM d),

@@ -108,3 +108,15 @@ def test_refresh_report(spark):
     assert {k[1]: v[0] for k, v in got.items() if k[0] == "added"} == {"c": 2, "a": 1}
     best = lambda x, v: max((difflib.SequenceMatcher(None, x, y).ratio(), y) for y in v)
     assert {k[1]: v for k, v in got.items() if k[0] == "look_alike"} == {x: (round(1000 * best(x, ["motorhead", "slayer", "kyuss"])[0]), y) for x, y in (("motorheadd", "motorhead"), ("kyus", "kyuss"))}
+
+
+def test_possible_pairs(spark):
+    """One owner's titles, as values: why two are one, and what is not."""
+    titles = ["Gold Dust", "Golddust", "A Song for the Dead", "Song for the Dead", "Total Hate", "Total Hate '95", "Harvest", "Harvest Moon", "Vermilion", "Vermilion Pt. 2", "Parabol", "Parabola", "Comin' Home", "Coming Home", "War", "Wars", "Intro", "Intros", "Gold  dust"]
+    df = spark.createDataFrame([(i, i == 99, t) for i, t in enumerate(titles)] + [(50, True, "Parabolas"), (51, False, None)], "k long, o boolean, t string")
+    got = {(titles[r.a], titles[r.b]): (r.reason, r.score) for r in M.possible_pairs(df, "k", "o", "t").collect()}
+    assert got.pop(("Parabol", "Parabola"))[0] == "spelling" and got.pop(("Comin' Home", "Coming Home"))[0] == "spelling"
+    assert got == {("Gold Dust", "Golddust"): ("spacing", 100.0), ("A Song for the Dead", "Song for the Dead"): ("article", 97.0), ("Total Hate", "Total Hate '95"): ("suffix", 95.0)}
+    gone = spark.createDataFrame([(1, 0), (4, 5)], "a long, b long")
+    left = {(r.a, r.b) for r in M.possible_pairs(df, "k", "o", "t", gone).collect()}
+    assert (0, 1) not in left and (4, 5) not in left and (2, 3) in left
