@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from annalist.functions.ratios import indel_ratio, sequence_ratio, token_set_ratio, token_sort_ratio
 from annalist.functions.text import name_key
 from annalist.functions.titles import comparison_words, differing_words, no_item_kind, title_keys
+from annalist.operators.curation import cut
 from annalist.operators.entities import near_pairs
 from annalist.operators.similar import near_between, word_set_pairs
 
@@ -114,6 +115,7 @@ def possible_pairs(items: DataFrame, key: str, owner: str, title: str, dismissed
     t = t.withColumn("k_", F.coalesce(F.nullif("track_key", F.lit("")), "key")).where((F.col("k_") != "") & no_item_kind(F.col(title)).isNull())
     t = t.groupBy(F.col(owner).alias("owner"), "k_").agg(F.min(key).alias("id"), F.min_by("sequel", key).alias("seq_")).withColumn("words", comparison_words(F.col("k_"))).withColumn("c_", F.array_join("words", "")).where("length(c_) >= 4")
     t = t.withColumns({"seq_": F.coalesce("seq_", F.lit("")), "block": F.to_json(F.struct(F.col("owner").cast("string").alias("o"), F.coalesce("seq_", F.lit("")).alias("s")))})
+    t = cut(t.select("block", "owner", "id", "k_", "words", "c_"))  # titles are taken apart once
     article = lambda w: w.isin("a", "an", "the")
     number = lambda w: w.rlike("^[0-9]{1,4}$")
     bare = {"c_": F.col("c_"), "no_article": F.array_join(F.filter("words", lambda w: ~article(w)), " "), "no_number": F.array_join(F.filter("words", lambda w: ~number(w)), " ")}
