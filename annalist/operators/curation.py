@@ -106,6 +106,12 @@ def follow(links: DataFrame, a: str, b: str) -> DataFrame:
     return last.select(a, F.when(~F.col("moved_"), F.col(b)).alias(b))
 
 
+def alias_rows(moved: DataFrame, aliases: DataFrame, entity: str, spelling: str) -> DataFrame:
+    """(entity, alias): every spelling that moved rows came with, as it will be looked up (lower case, trimmed), that is no alias of the entity yet. Null and blank spellings: none."""
+    plain = lambda df, c: df.select(entity, F.lower(F.trim(c)).alias("alias")).where("alias <> ''").distinct()
+    return plain(moved, spelling).join(plain(aliases, "alias"), [entity, "alias"], "left_anti")
+
+
 def validate_merges(merges: DataFrame, dim: DataFrame, a: str, b: str, key: str, owner: str, ext: str | None = None) -> DataFrame:
     """Add reason: self, unknown, owner (the two belong to different ones), ids (they carry different external ids), twice (merged into several) or null for a merge that may be made."""
     side = lambda c, n: dim.select(F.col(key).alias(c), F.col(owner).alias(f"o{n}_"), (F.col(ext) if ext else F.lit(None)).cast("string").alias(f"x{n}_"), F.lit(True).alias(f"in{n}_"))

@@ -181,11 +181,11 @@ def fill_from_cache(df: DataFrame, cache: DataFrame, key: str, attr: str, manual
     return met.withColumn("status", status).select(*df.columns, "status", F.when(takes, F.col("v_")).otherwise(F.col(attr)).alias("filled"))
 
 
-def split_out(facts: DataFrame, parent: str, raw: str, texts: Mapping[str, int], of: int) -> DataFrame:
-    """Facts of one parent whose raw text is given, moved to the parents the texts map to, and moved: true for them."""
-    to = F.create_map(*[F.lit(x) for pair in texts.items() for x in (pair[0].lower(), pair[1])])
-    target = F.when(F.col(parent) == of, F.try_element_at(to, F.lower(raw)))
-    return facts.withColumns({parent: F.coalesce(target, F.col(parent)), "moved": target.isNotNull()})
+def split_out(facts: DataFrame, parent: str, raw: str, splits: DataFrame) -> DataFrame:
+    """Facts with splits (parent, raw, target) made: rows of a parent with that raw text, case aside, go to the target; moved: true for them. Of several targets of one text the smallest counts."""
+    to = splits.groupBy(F.col("parent").alias("p_"), F.lower("raw").alias("r_")).agg(F.min("target").alias("t_"))
+    met = facts.join(to, (F.col(parent) == F.col("p_")) & (F.lower(raw) == F.col("r_")), "left")
+    return met.select(*[F.coalesce("t_", c).alias(c) if c == parent else F.col(c) for c in facts.columns], F.col("t_").isNotNull().alias("moved"))
 
 
 def relink_lines(lines: DataFrame, events: DataFrame, event: str, actor: str, item: str, mapping: DataFrame) -> DataFrame:

@@ -243,6 +243,64 @@ def longest_gap(df: DataFrame, key: str, date: str) -> DataFrame:
     return g.groupBy(key).agg(F.max(F.struct("gap", (-F.unix_date("p")).alias("o"))).alias("m")).select(key, F.col("m.gap").alias("gap"), F.date_from_unix_date((-F.col("m.o")).cast("int")).alias("since"))
 
 
+def nth_occurrence(df: DataFrame, by: Sequence[str], order: Sequence[Column], wanted: Sequence[int] = ()) -> DataFrame:
+    """Add nth: how many rows of the same item there are up to this one; only the wanted ones, if any are named."""
+    out = df.withColumn("nth", F.row_number().over(Window.partitionBy(*by).orderBy(*order)).cast("long"))
+    return out.where(F.col("nth").isin(*wanted)) if wanted else out
+
+
+def group_listing(df: DataFrame, key: str, order: Sequence[Column], by: str = "size", unknown: str = "Unknown") -> DataFrame:
+    """Rows in groups, the largest first (by "size") or in the order of their key (by "key"), rows of no group last; group says which, and rows within one keep the order."""
+    size = df.groupBy(key).agg(F.count(F.lit(1)).alias("size_"))
+    first = [F.desc("size_")] if by == "size" else []
+    return df.join(size, key, "left").orderBy(F.col(key).isNull(), *first, key, *order).withColumn("group", F.coalesce(F.col(key).cast("string"), F.lit(unknown))).drop("size_")
+
+
+def exact_groups(df: DataFrame, by: Sequence[str], key: str, dismissed: DataFrame | None = None) -> DataFrame:
+    """(by, key, first, n): members of groups of two or more, a row each, under the smallest. A member that dismissed pairs (a, b) set apart from all others of its group is none of it."""
+    out = df.select(*by, key).distinct()
+    size = lambda d: d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")
+    groups = size(out)
+    met = out.join(groups, list(by))
+    if dismissed is None:
+        return met
+    pairs = dismissed.select("a", "b").union(dismissed.select("b", "a")).toDF("x_", "y_").where("x_ <> y_").distinct()
+    apart = met.select(*by, F.col(key).alias("x_"), "n").join(pairs, "x_").join(met.select(*by, F.col(key).alias("y_")), [*by, "y_"]).groupBy(*by, "x_", "n").agg(F.count(F.lit(1)).alias("m_")).where("m_ = n - 1").select(*by, F.col("x_").alias(key))
+    left = out.join(apart, [*by, key], "left_anti")
+    return left.join(size(left), list(by))
+
+
+def referential_checks(tables: Mapping[str, DataFrame], refs: Sequence[tuple[str, str, str, str, str]]) -> DataFrame:
+    """(check, n): for each reference (name, table, column, dimension, its key) the rows whose value no row of the dimension has; null values refer to nothing."""
+    out = None
+    for name, table, column, dim, key in refs:
+        one = tables[table].where(F.col(column).isNotNull()).select(F.col(column).alias("k_")).join(tables[dim].select(F.col(key).alias("k_")).distinct(), "k_", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def activity(histories: Mapping[str, DataFrame], n: int) -> DataFrame:
+    """(id, kind, at): the newest n entries of several histories (id, at), ties by kind and id."""
+    out = None
+    for kind, df in histories.items():
+        one = df.select("id", F.lit(kind).alias("kind"), "at")
+        out = one if out is None else out.unionByName(one)
+    return out.orderBy(F.desc("at"), "kind", "id").limit(n)
+
+
+def pick_tags(votes: DataFrame, entity: str, tag: str, least: int = 2, tiebreak: Sequence[Column] = ()) -> DataFrame:
+    """Of votes (entity, tag, votes) the tags with `least` or more; for an entity without any, the one with most, ties by the tiebreak, then by tag."""
+    nth = F.row_number().over(Window.partitionBy(entity).orderBy(F.desc("votes"), *tiebreak, tag))
+    top = F.max("votes").over(Window.partitionBy(entity))
+    return votes.withColumns({"nth_": nth, "top_": top}).where((F.col("votes") >= least) | ((F.col("top_") < least) & (F.col("nth_") == 1))).drop("nth_", "top_")
+
+
+def main_tag_mix(plays: DataFrame, tags: DataFrame, entity: str, tag: str, order: Sequence[Column]) -> DataFrame:
+    """(tag, plays): plays (entity, plays) by each entity's main tag, the first of its tags in the order, ties by tag."""
+    main = tags.withColumn("nth_", F.row_number().over(Window.partitionBy(entity).orderBy(*order, tag))).where("nth_ = 1").select(entity, F.col(tag).alias("tag"))
+    return plays.groupBy(entity).agg(F.sum("plays").alias("plays")).join(main, entity).groupBy("tag").agg(F.sum("plays").alias("plays"))
+
+
 def top_per_group(df: DataFrame, by: str, order: Sequence[Column], k: int) -> DataFrame:
     return df.withColumn("nth", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("nth") <= k)
 

@@ -98,11 +98,11 @@ def m3_validate_merges(t):
     return C.validate_merges(merges, t("part"), "absorbed", "canonical", "p_partkey", "p_brand")
 
 
-@query("""SELECT DISTINCT l_partkey AS entity, l_linestatus AS alias FROM lineitem WHERE l_partkey % 5 = 0 EXCEPT SELECT l_partkey, l_linestatus FROM lineitem WHERE l_returnflag = 'N'""")
+@query("""SELECT DISTINCT l_partkey AS entity, lower(trim(l_linestatus)) AS alias FROM lineitem WHERE l_partkey % 5 = 0 EXCEPT SELECT l_partkey, lower(trim(l_linestatus)) FROM lineitem WHERE l_returnflag = 'N'""")
 def m4_alias_rows(t):
     """Every spelling that moved rows come with and that is not an alias yet."""
-    lines = t("lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_linestatus").alias("alias"), "l_returnflag", "l_partkey")
-    return lines.where("l_partkey % 5 = 0").select("entity", "alias").distinct().join(lines.where("l_returnflag = 'N'").select("entity", "alias").distinct(), ["entity", "alias"], "left_anti")
+    lines = t("lineitem").select(F.col("l_partkey").alias("entity"), F.col("l_linestatus").alias("alias"), "l_returnflag")
+    return C.alias_rows(lines.where("entity % 5 = 0"), lines.where("l_returnflag = 'N'"), "entity", "alias")
 
 
 def _edited(orders):

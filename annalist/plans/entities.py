@@ -177,10 +177,12 @@ def m12_fill_from_cache(t):
     return N.fill_from_cache(df, p.where("p_partkey % 3 <> 0").select("p_partkey", value.alias("value")), "p_partkey", "brand", "manual").select("p_partkey", "status", "filled")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey = 1 AND l_returnflag = 'R' THEN 900001 WHEN l_suppkey = 1 AND l_returnflag = 'A' THEN 2 ELSE l_suppkey END AS l_suppkey, l_suppkey = 1 AND l_returnflag IN ('R', 'A') AS moved FROM lineitem")
+@query("SELECT l_orderkey, l_linenumber, l_partkey, CASE WHEN l_suppkey % 2 = 1 AND l_returnflag = 'R' THEN l_suppkey + 900000 WHEN l_suppkey % 2 = 1 AND l_returnflag = 'A' THEN 2 ELSE l_suppkey END AS l_suppkey, l_suppkey % 2 = 1 AND l_returnflag IN ('R', 'A') AS moved FROM lineitem")
 def m8_split_out(t):
-    """Lines of supplier 1 flagged R go to a new one, those flagged A to supplier 2."""
-    return N.split_out(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_suppkey", "l_returnflag", {"r": 900001, "a": 2}, 1).drop("l_returnflag")
+    """Lines of every second supplier flagged R go to a new one of its own, those flagged A to supplier 2."""
+    odd = t("supplier").where("s_suppkey % 2 = 1")
+    splits = odd.selectExpr("s_suppkey parent", "'r' raw", "s_suppkey + 900000 target").union(odd.selectExpr("s_suppkey", "'a'", "cast(2 as bigint)"))
+    return N.split_out(t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag"), "l_suppkey", "l_returnflag", splits).drop("l_returnflag")
 
 
 @query("""SELECT l_orderkey, l_linenumber, CASE WHEN o_custkey % 4 = 0 AND l_partkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer) AND l_partkey IN (SELECT p_partkey FROM part) THEN l_partkey + 1000000 ELSE l_partkey END AS l_partkey, coalesce(o_custkey % 4 = 0 AND l_partkey % 3 = 0, false) AS moved FROM lineitem LEFT JOIN orders ON o_orderkey = l_orderkey""")
@@ -247,8 +249,7 @@ def j8_neighbours(t):
 
 @query("SELECT event_id, user_id, nth FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS nth FROM events) WHERE nth IN (1, 10)")
 def w2_nth_occurrence(t):
-    nth = F.row_number().over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
-    return t("events").withColumn("nth", nth).where(F.col("nth").isin(1, 10)).select("event_id", "user_id", F.col("nth").cast("long").alias("nth"))
+    return R.nth_occurrence(t("events"), ["user_id", "event_type"], [F.asc("ts"), F.asc("event_id")], (1, 10)).select("event_id", "user_id", "nth")
 
 
 @query("SELECT p_partkey, 1 + (SELECT count(*) FROM part q WHERE q.p_retailprice > part.p_retailprice) AS rank FROM part")
@@ -265,9 +266,7 @@ def w6_nth_of(t):
 @query("SELECT p_brand, p_name, coalesce(p_type, 'Unknown') AS \"group\" FROM part")
 def t2_group_listing(t):
     """Groups by size, within them by name; rows of no group come last."""
-    p = t("part")
-    size = p.groupBy("p_type").agg(rows().alias("n"))
-    return p.join(size, "p_type", "left").orderBy(F.col("p_type").isNull(), F.desc("n"), "p_type", "p_name", "p_partkey").select("p_brand", "p_name", F.coalesce("p_type", F.lit("Unknown")).alias("group"))
+    return R.group_listing(t("part"), "p_type", [F.asc("p_name"), F.asc("p_partkey")]).select("p_brand", "p_name", "group")
 
 
 @query("SELECT l_suppkey, min(l_shipdate) AS first, max(l_shipdate) AS last, count(*) AS n FROM lineitem GROUP BY 1")
@@ -351,9 +350,9 @@ def s29_period_bounds(t):
 @query("""WITH a AS (SELECT o_orderkey AS id, 'merge' AS kind, o_orderdate AS "at" FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT l_orderkey, 'edit', max(l_shipdate) FROM lineitem GROUP BY 1) SELECT id, kind, "at" FROM a ORDER BY "at" DESC, kind, id LIMIT 200""")
 def m15_activity(t):
     """A page of the newest entries of two histories."""
-    merges = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("merge").alias("kind"), F.col("o_orderdate").alias("at"))
-    edits = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").alias("at")).select("id", F.lit("edit").alias("kind"), "at")
-    return merges.unionByName(edits).orderBy(F.desc("at"), "kind", "id").limit(200)
+    merges = t("orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.col("o_orderdate").alias("at"))
+    edits = t("lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.max("l_shipdate").alias("at"))
+    return R.activity({"merge": merges, "edit": edits}, 200)
 
 
 @query("""WITH n AS (SELECT s_nationkey AS city, s_suppkey AS place, coalesce(c, 0) AS c FROM supplier LEFT JOIN (SELECT l_suppkey, count(*) AS c FROM lineitem GROUP BY 1) ON l_suppkey = s_suppkey), b AS (SELECT city, place AS hall FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY c DESC, place) AS r FROM n WHERE place % 3 <> 0) WHERE r = 1)
@@ -379,6 +378,6 @@ SELECT f.p_type AS tag, count(*) AS plays FROM lineitem JOIN part ON p_partkey =
 def w1_main_tag_mix(t):
     """Each brand's main type, weighed by the lines of its parts."""
     p = t("part")
-    main = p.groupBy("p_brand", "p_type").agg(rows().alias("n"), F.sum("p_size").alias("w")).groupBy("p_brand").agg(F.min_by("p_type", F.struct((-F.col("n")).alias("n"), (-F.col("w")).alias("w"), "p_type")).alias("tag"))
-    plays = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(rows().alias("plays"))
-    return plays.join(p.select("p_partkey", "p_brand"), "p_partkey").groupBy("p_brand").agg(F.sum("plays").alias("plays")).join(main, "p_brand").groupBy("tag").agg(F.sum("plays").alias("plays"))
+    tags = p.groupBy("p_brand", "p_type").agg(rows().alias("n"), F.sum("p_size").alias("w"))
+    plays = t("lineitem").groupBy(F.col("l_partkey").alias("p_partkey")).agg(rows().alias("plays")).join(p.select("p_partkey", "p_brand"), "p_partkey")
+    return R.main_tag_mix(plays, tags, "p_brand", "p_type", [F.desc("n"), F.desc("w")])

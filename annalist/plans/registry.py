@@ -283,22 +283,21 @@ def s37_signatures(t):
 
 # --- duplicates and quality checks -----------------------------------------------------------
 
-@query("""SELECT p_brand, p_name, p_partkey, min(p_partkey) OVER g AS first, count(*) OVER g AS n FROM part WINDOW g AS (PARTITION BY p_brand, p_name) QUALIFY count(*) OVER g > 1""")
+@query("""WITH g AS (SELECT *, count(*) OVER (PARTITION BY p_brand, p_name) AS n FROM part), d AS (SELECT * FROM g WHERE n > 1 AND n - 1 <> (SELECT count(*) FROM part q WHERE q.p_brand = g.p_brand AND q.p_name = g.p_name AND (q.p_partkey % 5 = 0) <> (g.p_partkey % 5 = 0)))
+SELECT p_brand, p_name, p_partkey, min(p_partkey) OVER w AS first, count(*) OVER w AS n FROM d WINDOW w AS (PARTITION BY p_brand, p_name) QUALIFY count(*) OVER w > 1""")
 def d1_exact_groups(t):
-    """Members of groups of one title and owner, a row each, under the smallest of them."""
-    groups = t("part").groupBy("p_brand", "p_name").agg(F.count(F.lit(1)).alias("n"), F.min("p_partkey").alias("first")).where("n > 1")
-    return t("part").select("p_brand", "p_name", "p_partkey").join(groups, ["p_brand", "p_name"])
+    """Members of groups of one title and owner, a row each, under the smallest of them. Pairs of which one key is a multiple of five and the other isn't were dismissed."""
+    p = t("part").select("p_brand", "p_name", "p_partkey")
+    other = p.where("p_partkey % 5 <> 0").select("p_brand", "p_name", F.col("p_partkey").alias("b"))
+    dismissed = p.where("p_partkey % 5 = 0").join(other, ["p_brand", "p_name"]).select(F.col("p_partkey").alias("a"), "b")
+    return R.exact_groups(p, ["p_brand", "p_name"], "p_partkey", dismissed)
 
 
 @query("""SELECT 'orders without customer' AS "check", count(*) AS n FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) UNION ALL SELECT 'lines without order', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
 UNION ALL SELECT 'labels without document', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT 'customers without order', count(*) FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)""")
 def q1_referential_checks(t):
-    rules = [("orders without customer", "orders", "o_custkey", "customer", "c_custkey"), ("lines without order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels without document", "labels", "doc_id", "documents", "doc_id"), ("customers without order", "customer", "c_custkey", "orders", "o_custkey")]
-    out = None
-    for name, fact, a, dim, b in rules:
-        part = t(fact).select(F.col(a).alias("k")).join(t(dim).select(F.col(b).alias("k")), "k", "left_anti").agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("check"), "n")
-        out = part if out is None else out.unionByName(part)
-    return out
+    refs = [("orders without customer", "orders", "o_custkey", "customer", "c_custkey"), ("lines without order", "lineitem", "l_orderkey", "orders", "o_orderkey"), ("labels without document", "labels", "doc_id", "documents", "doc_id"), ("customers without order", "customer", "c_custkey", "orders", "o_custkey")]
+    return R.referential_checks({n: t(n) for n in ("orders", "customer", "lineitem", "labels", "documents")}, refs)
 
 
 @query("""WITH m AS (SELECT p_partkey AS absorbed, min(p_partkey) OVER (PARTITION BY p_brand, p_name) AS canonical FROM part)
@@ -314,5 +313,4 @@ def m1_apply_merges(t):
 SELECT a AS p_brand, tag, v AS votes FROM q WHERE v >= 2 OR (most < 2 AND r = 1)""")
 def gn1_pick_tags(t):
     votes = t("part").groupBy("p_brand", F.col("p_type").alias("tag")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("p_brand").agg(F.max("votes").alias("most"), F.min(F.struct((-F.col("votes")).alias("m"), "tag")).alias("b"))
-    return votes.join(best, "p_brand").where((F.col("votes") >= 2) | ((F.col("most") < 2) & (F.col("tag") == F.col("b.tag")))).select("p_brand", "tag", "votes")
+    return R.pick_tags(votes, "p_brand", "tag")
