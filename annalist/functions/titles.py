@@ -25,8 +25,10 @@ VARIANTS = {
 EDITION = r"\bre-?master|\b(deluxe|expanded|anniversary|edition|reissue|mono|stereo|bonus|explicit|clean|feat|ft|featuring|digital(ly)?|soundtrack|motion picture|hidden track)\b|\b(single|album|lp|original|us|uk)\s+(version|mix)\b|^\d{4}$"
 ISSUE_MIX = r"\b(mono|stereo|single|album|lp|original|us|uk)\s+mix\b"
 NEW_MIX = r"\bre-?mix(ed)?\b|\brmx\b|\bdub\b|\bvip\b"
-LANGUAGES = "english swedish german french spanish italian portuguese japanese finnish norwegian danish dutch polish russian hungarian czech latin korean chinese".split()
-ROMAN = dict(zip("i ii iii iv v vi vii viii ix x".split(), range(1, 11), strict=True))
+# Languages that a version may be named by.
+LANGUAGES = ["english", "swedish", "german", "french", "spanish", "italian", "portuguese", "japanese", "finnish", "norwegian", "danish", "dutch", "polish", "russian", "hungarian", "czech", "latin", "korean", "chinese"]
+# Numerals of sequels.
+ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 # Kinds of lines that are no items, the first that fits.
 NO_ITEM = {
     "medley": r"\bmedley\b|\s/\s",
@@ -118,6 +120,7 @@ def differing_words(a: Column, b: Column) -> Column:
 
 def page_key(title: Column) -> Column:
     """The key that pages group recordings by: without bracketed text and edition notes after " - ", blind to apostrophes; with #variant where the suffixes name one."""
+    # Notes of an edition after a dash, and what makes a variant (the language tail and the four kinds below).
     edition = r"(?i)\s+-\s+(?=.*\b(remaster(ed)?|live|version|mix|edit|demo|mono|stereo|single|bonus|edition|re-?record(ing)?|session|take|acoustic|instrumental|\d{4})\b).*$"
     plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(title, r"\s*[(\[].*?[)\]]", ""), edition, ""), _APOSTROPHES, "")
     tails = F.concat(F.regexp_extract_all(title, F.lit(r"[(\[]([^)\]]*)[)\]]"), F.lit(1)), F.when(title.rlike("^.+? - "), F.array(F.regexp_extract(title, "^.+? - (.*)$", 1))).otherwise(F.array().cast("array<string>")))

@@ -13,9 +13,9 @@ def f2_flag_values(t):
     return R.flag_values(t("events"), "event_type", ["Click", "unknown"]).select("event_id", "flagged")
 
 
-@query("SELECT p_partkey FROM part WHERE length(p_name) >= 20 AND length(p_type) >= 6")
+@query("SELECT p_partkey FROM part WHERE length(p_name) >= 11 AND length(p_type) >= 6")
 def f6_min_length(t):
-    return R.min_length(R.min_length(t("part"), ["p_name"], 20), ["p_type"], 6).select("p_partkey")
+    return R.min_length(R.min_length(t("part"), ["p_name"], 11), ["p_type"], 6).select("p_partkey")
 
 
 @query("SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_returnflag NOT IN ('R', 'A') AND l_suppkey IS DISTINCT FROM l_partkey")
