@@ -29,8 +29,8 @@ from .common import bitmap, in_bitmap, longs, mix, pieces, released, shingle_set
 FEW = 8
 #: Pairs sharing what sets them apart from a hub that are compared by their sizes; where there are more, they get a hub of their own.
 MEET = 4096
-#: Bits of a set's parity bitmap.
-PARITY = 2048
+#: Bits of the smallest parity bitmap of a set.
+PARITY = 64
 #: Tasks over which a costly shingle's or a hub's classes are dealt.
 SALTS = 32
 _SIG = np.uint64(0xA24BAED4963EE407)
@@ -42,8 +42,9 @@ def _class_key(tokens: np.ndarray) -> int:
 
 
 def _parity(tokens: np.ndarray) -> np.ndarray:
-    """Bits that each member of a set flips one of: two sets have at least as many members apart as their bitmaps have bits apart."""
-    odd = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % PARITY, minlength=PARITY) & 1
+    """Bits that each member of a set flips one of: two sets have at least as many members apart as their bitmaps have bits apart. As many bits as members or more, a power of two, so that it tells sets of any size apart; a half laid on the other is the bitmap of half as many bits."""
+    bits = max(PARITY, 1 << (len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens >> np.uint64(24)).astype(np.int64) % bits, minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -68,10 +69,16 @@ def components(edges: DataFrame) -> DataFrame:
         label = after.select("a", "l")
 
 
-def _together(pairs: DataFrame, content: DataFrame, work, out: str, salts: int = SALTS) -> DataFrame:
-    """pairs (a, b, ...) with the columns `out` that `work` tells of both sets, flags or lists of longs. A set a is sent once to each of `salts` tasks at most, ahead of the sets it meets."""
+def _together(pairs: DataFrame, content: DataFrame, work, out: str, bits: int, salts: int = SALTS) -> DataFrame:
+    """pairs (a, b, ...) with the columns `out` that `work` tells of both sets, flags or lists of longs. A set a is sent once to each of `salts` tasks at most, ahead of the sets it meets; sets in no pair stay where they are, but for a few that the bitmap of `bits` lets by."""
+    wanted = content.sparkSession.sparkContext.broadcast(bitmap(pairs.select(F.col("a").alias("k")).union(pairs.select("b")), "k", bits))
+
+    def in_pairs(batches):
+        for b in batches:
+            yield b.filter(pa.array(in_bitmap(wanted.value, bits, b.column(0).to_numpy().view(np.uint64))))
+
     salt = F.pmod(F.xxhash64("b"), F.lit(salts)).cast("int").alias("salt")
-    sets = content.select("k", "tokens")
+    sets = content.select("k", "tokens").mapInArrow(in_pairs, "k long, tokens binary")
     others = pairs.select("*", salt).join(sets.withColumnRenamed("k", "b").hint("merge"), "b")
     own = pairs.select("a", salt).distinct().join(sets.withColumnRenamed("k", "a").hint("merge"), "a")
     dealt = own.unionByName(others, allowMissingColumns=True).select(*pairs.columns, "tokens", "salt").repartition("a", "salt").sortWithinPartitions("a", "salt", F.col("b").asc_nulls_first())
@@ -131,7 +138,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     first = spark.sparkContext.broadcast(bitmap(costly_rows, "t", bits))
 
     def prefixes(batches, late):
-        """A class's key and set, the set in the global order, how many are not costly, and the length of its prefix; once a task, however many copies it reads."""
+        """A class's key, its set in the global order, how many are not costly, and its prefix's length and number of matches; once a task, however many copies it reads."""
         seen: set[int] = set()
         for _, got in sets(batches):
             for tokens in got:
@@ -139,21 +146,21 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
                     seen.add(k)
                     costly = in_bitmap(late.value, bits, tokens)
                     cheap = len(tokens) - int(costly.sum())
-                    yield k, np.concatenate([tokens[~costly], tokens[costly]]), cheap, _prefix(len(tokens), cheap, least, most_match)[0]
+                    yield k, np.concatenate([tokens[~costly], tokens[costly]]), cheap, *_prefix(len(tokens), cheap, least, most_match)
 
     def cheap_ones(batches):
         """The shingles of prefixes that are not costly."""
-        for _, order, cheap, length in prefixes(batches, first):
+        for _, order, cheap, length, _ in prefixes(batches, first):
             yield pa.RecordBatch.from_arrays([longs(order[: min(length, cheap)])], ["t"])
 
     def heads(batches):
-        """Rows (t, k, sizes, odd) of prefixes: sizes holds the class's size and its prefix's length, odd the tasks' number of a costly shingle and the share of those that are not."""
+        """Rows (t, k, what) of prefixes: what holds the class's size, the tasks' number of a costly shingle (6 bits), the class's number of matches (8) and its share of shingles that are not costly (10). Fewer columns are shuffled than told apart."""
         out: list[tuple[np.ndarray, ...]] = []
         size = 0
-        for k, order, cheap, length in prefixes(batches, costly):
+        for k, order, cheap, length, match in prefixes(batches, costly):
             head = order[:length]
             salt = np.where(np.arange(length) < cheap, 0, 1 + k % SALTS)
-            out.append((head, np.full(length, k), np.full(length, len(order) << 32 | length), salt << 16 | cheap * 1000 // len(order)))
+            out.append((head, np.full(length, k), len(order) << 24 | salt << 18 | match << 10 | cheap * 1000 // len(order)))
             size += length
             if size > 100_000:
                 yield batch_of(out)
@@ -164,10 +171,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     def batch_of(out):
         t, *rest = (np.concatenate(x) for x in zip(*out, strict=True))
         out.clear()
-        return pa.RecordBatch.from_arrays([longs(t), *(pa.array(x.astype(np.int64)) for x in rest)], ["t", "k", "sizes", "odd"])
+        return pa.RecordBatch.from_arrays([longs(t), *(pa.array(x.astype(np.int64)) for x in rest)], ["t", "k", "what"])
 
     def buckets(batches):
-        """Of rows (t, k, sizes, odd) sorted by t, the salt in odd, and k: the pairs of classes sharing a rare shingle (t = null); the members (t, a) of one that many share or that is costly. Holds `few` rows at a time."""
+        """Of rows (t, k, what) sorted by t, the salt in what, and k: the pairs of classes sharing a rare shingle (t = null); the members (t, a) of one that many share or that is costly. Holds `few` rows at a time."""
         now, held, many = None, [], False
         out: list[tuple] = []
 
@@ -181,10 +188,11 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
             return b
 
         for b in batches:
-            ts, ks, sizes, odds = (b.column(i).to_numpy() for i in range(4))
+            ts, ks, what = (b.column(i).to_numpy() for i in range(3))
+            salts = what >> 18 & 63
             # Of shingles that are not costly, only those met twice in a row matter; the first and last may go on in the neighbouring batches.
-            same = np.flatnonzero((odds >> 16 > 0) | np.concatenate([[True], ts[1:] == ts[:-1]]) | np.concatenate([ts[1:] == ts[:-1], [True]]))
-            for t, k, size, length, salt, odd in zip(*(x[same].tolist() for x in (ts, ks, sizes >> 32, sizes & 0xFFFFFFFF, odds >> 16, odds & 0xFFFF)), strict=True):
+            same = np.flatnonzero((salts > 0) | np.concatenate([[True], ts[1:] == ts[:-1]]) | np.concatenate([ts[1:] == ts[:-1], [True]]))
+            for t, k, size, match, salt, odd in zip(*(x[same].tolist() for x in (ts, ks, what >> 24, what >> 10 & 255, salts, what & 1023)), strict=True):
                 if t != now or salt != dealt:
                     close()
                     now, dealt, held, many, last = t, salt, [], salt > 0, None
@@ -192,24 +200,27 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
                     continue
                 last = k
                 if not many:
-                    held.append((k, size, length, odd))
+                    held.append((k, size, match, odd))
                     if len(held) > few:
                         many = True
                         out.extend((t, m, None, s, None, x, None, o) for m, s, x, o in held)
                 else:
-                    out.append((t, k, None, size, None, length, None, odd))
+                    out.append((t, k, None, size, None, match, None, odd))
             if len(out) > 10_000:
                 yield batch()
         close()
         yield batch()
 
+    del costly_rows
+    released(spark)
     # Shingles of many prefixes are costly too, and go last in a second pass.
     again = bitmap(docs.mapInArrow(cheap_ones, "t long").groupBy("t").agg(F.count(F.lit(1)).alias("c")).where(f"c > {few}"), "t", bits)
+    released(spark)
     costly = spark.sparkContext.broadcast(first.value | again)
-    salt = F.shiftright("odd", 16)
-    dealt = docs.mapInArrow(heads, "t long, k long, sizes long, odd long").repartition("t", salt).sortWithinPartitions("t", salt, "k")
+    salt = F.expr("shiftright(what, 18) & 63")
+    dealt = docs.mapInArrow(heads, "t long, k long, what long").repartition("t", salt).sortWithinPartitions("t", salt, "k")
     near = stored(dealt.mapInArrow(buckets, "t long, a long, b long, na int, nb int, la int, lb int, odd int"))
-    del dealt, costly_rows
+    del dealt
     released(spark)
 
     common = near.where("t is not null").select("t", F.col("a").alias("k"), F.col("na").alias("n"), "odd").distinct()
@@ -218,11 +229,10 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     groups = stored(in_common.where("k <> hub").select(F.col("hub").alias("g"), "hub", "hub_n", "k", "n").distinct())
 
     # Of pairs in rare shingles, those that may share as many of their prefixes as the smaller number of matches.
-    match = lambda size, length: F.col(length) - F.col(size) + F.expr(f"({size} * {p} + {q - 1}) div {q}")
     more = in_common.groupBy("k").agg(F.count(F.lit(1)).alias("more"))
     rare = near.where("t is null").groupBy("a", "b", "na", "nb", "la", "lb").agg(F.count(F.lit(1)).alias("c"))
     rare = rare.join(more.select(F.col("k").alias("a"), F.col("more").alias("ca")), "a", "left").join(more.select(F.col("k").alias("b"), F.col("more").alias("cb")), "b", "left")
-    todo = stored(rare.where(F.col("c") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))) >= F.least(match("na", "la"), match("nb", "lb"))).select("a", "b"))
+    todo = stored(rare.where(F.col("c") + F.least(F.coalesce("ca", F.lit(0)), F.coalesce("cb", F.lit(0))) >= F.least("la", "lb")).select("a", "b"))
 
     def in_any(pairs: DataFrame, groups: DataFrame) -> DataFrame:
         return pairs.select(F.col("a").alias("k")).union(pairs.select("b")).union(groups.select("k")).union(groups.select("hub")).distinct().hint("merge")
@@ -244,7 +254,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int
     content = stored(docs.mapInArrow(contents, "k long, tokens binary"))
     del rare, more, common, hubs, in_common, several, firsts
     released(spark)
-    named = _linked(first_pairs, groups, content, light, p, q, meet)
+    named = _linked(first_pairs, groups, content, light, p, q, meet, bits)
 
     of_class = members.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"))
     of_component = _labelled(of_class, named, "k", "c")
@@ -263,13 +273,16 @@ def _stars(groups: DataFrame, p: int, q: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, light: DataFrame, p: int, q: int) -> DataFrame:
-    """Pairs (a, b) whose parity bitmaps allow a link: linked sets of m and n members have (m + n) (q - p) / (q + p) members apart at most."""
-    apart = F.aggregate(F.zip_with("p1", "p2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    """Pairs (a, b) whose parity bitmaps, laid together at the smaller one's number of bits, allow a link: linked sets of m and n members have (m + n) (q - p) / (q + p) members apart at most."""
+    both, long = F.concat("p1", "p2"), F.least(F.size("p1"), F.size("p2"))
+    part = lambda i: F.slice(both, i * long + 1, long)
+    laid = F.aggregate(F.sequence(F.lit(1), (F.size(both) / long).cast("int") - 1), part(F.lit(0)), lambda got, i: F.zip_with(got, part(i), lambda x, y: x.bitwiseXOR(y)))
+    apart = F.aggregate(laid, F.lit(0), lambda x, y: x + F.bit_count(y))
     side = lambda c, s: light.select(F.col("k").alias(c), F.col("n").alias("n" + s), F.col("parity").alias("p" + s)).hint("merge")
     return pairs.join(side("a", "1"), "a").join(side("b", "2"), "b").where((q + p) * apart <= (q - p) * (F.col("n1") + F.col("n2"))).select("a", "b")
 
 
-def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataFrame, p: int, q: int, meet: int) -> DataFrame:
+def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataFrame, p: int, q: int, meet: int, bits: int) -> DataFrame:
     """(node, component) of classes: links among the pairs `todo` (a, b), and between components among the members of groups (g, hub, hub_n, k, n)."""
     linked = lambda x, y: ((i := len(np.intersect1d(x, y, assume_unique=True))) * q >= p * (len(x) + len(y) - i),)
 
@@ -285,7 +298,7 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
         if checked is not None:
             new = new.join(checked, ["x", "y"], "left_anti")
         new = stored(new)
-        judged = stored(_together((new if checked is None else _near(new, light, p, q)).select("a", "b"), content, linked, "linked boolean"))
+        judged = stored(_together(new.select("a", "b") if checked is None else stored(_near(new, light, p, q)), content, linked, "linked boolean", bits))
         released(content.sparkSession)
         pairs, found = new.select("x", "y"), judged.where("linked").select("a", "b")
         checked, edges = (pairs, found) if checked is None else (checked.unionByName(pairs), edges.unionByName(found))
@@ -298,7 +311,7 @@ def _linked(todo: DataFrame, groups: DataFrame, content: DataFrame, light: DataF
         if now.where("apart").isEmpty():
             return named
         now = now.join(now.where("apart").select("g").distinct(), "g", "left_semi").select(now.columns)
-        both = stored(_together(now, content, centred, "d array<long>, own array<long>")).select(F.col("b").alias("k"), "*")
+        both = stored(_together(now, content, centred, "d array<long>, own array<long>", bits)).select(F.col("b").alias("k"), "*")
         released(content.sparkSession)
         near_hub = both.where("size(d) > 0").select("g", "k", "n", "hub_n", "c", "apart", "d")
         far = both.where("size(own) > 0").select(F.xxhash64("g").alias("g"), "k", "n", F.lit(0).alias("hub_n"), "c", F.lit(True).alias("apart"), F.col("own").alias("d"))

@@ -48,3 +48,32 @@ def test_decontaminate_replaced(spark):
     got = decontaminate.overlaps(docs, spark.createDataFrame([(n, " ".join(w)) for n, w in items.items()], "item_id long, text string")).collect()
     assert len(want) < len(rows) and {(r.doc_id, r.item_id) for r in got} == want
     assert all(r.n_words >= min(12, r.item_id) and 5 * r.n_same >= 4 * r.n_words for r in got)
+
+
+@pytest.mark.parametrize("n", [1, 60, 1000, 6000])
+def test_jaccard_parity(spark, n):
+    """Bitmaps let every linked pair by, whichever of both is larger, and tell sets of any size apart, so that few sets are sent that have no link."""
+    rng = np.random.default_rng(n)
+    body, more = np.split(np.unique(rng.integers(0, 1 << 63, 3 * n + 9).astype(np.uint64)), [n])
+    linked = [body, body[: max(1, n * 3 // 4)], np.concatenate([body, more[: n // 3]]), np.concatenate([body[: n - n // 8], more[: n // 8]])]
+    apart = [np.concatenate([body[: n // 2], more[: n - n // 2]]), more[:n]] if n > 1 else []
+    rows = [(k, len(t), jaccard._parity(t).tolist()) for k, t in enumerate(linked + apart)]
+    light = spark.createDataFrame(rows, "k long, n long, parity array<long>")
+    pairs = spark.createDataFrame([x for k in range(1, len(rows)) for x in ((0, k), (k, 0))], "a long, b long")
+    got = {(r.a, r.b) for r in jaccard._near(pairs, light, 3, 4).collect()}
+    assert got == {x for k in range(1, len(linked)) for x in ((0, k), (k, 0))}
+
+
+def test_jaccard_bitmaps_smaller(spark):
+    """Bitmaps laid together at a fraction of the larger one's bits, as a low ratio allows."""
+    rng = np.random.default_rng(8)
+    body = np.unique(rng.integers(0, 1 << 63, 4000).astype(np.uint64))
+    sets = [body, body[:1000], body[:120]]
+    light = spark.createDataFrame([(k, len(t), jaccard._parity(t).tolist()) for k, t in enumerate(sets)], "k long, n long, parity array<long>")
+    apart = [jaccard._parity(sets[0]).reshape(-1, len(jaccard._parity(t))) for t in sets]
+    for k in (1, 2):  # a whole bitmap laid on itself is the bitmap of fewer bits
+        bits = 64 * apart[k].shape[1]
+        odd = np.bincount((body >> np.uint64(24)).astype(np.int64) % bits, minlength=bits) & 1
+        assert np.bitwise_xor.reduce(apart[k], axis=0).tolist() == np.packbits(odd.astype(np.uint8)).view(np.int64).tolist()
+    pairs = spark.createDataFrame([(0, 1), (2, 1)], "a long, b long")
+    assert {(r.a, r.b) for r in jaccard._near(pairs, light, 1, 9).collect()} == {(0, 1), (2, 1)}
