@@ -256,9 +256,18 @@ def group_listing(df: DataFrame, key: str, order: Sequence[Column], by: str = "s
     return df.join(size, key, "left").orderBy(F.col(key).isNull(), *first, key, *order).withColumn("group", F.coalesce(F.col(key).cast("string"), F.lit(unknown))).drop("size_")
 
 
-def exact_groups(df: DataFrame, by: Sequence[str], key: str, dismissed: DataFrame | None = None) -> DataFrame:
-    """(by, key, first, n): members of groups of two or more, a row each, under the smallest. A member that dismissed pairs (a, b) set apart from all others of its group is none of it."""
+def exact_groups(df: DataFrame, by: Sequence[str], key: str, dismissed: DataFrame | None = None, camp: Column | None = None) -> DataFrame:
+    """(by, key, first, n): members of groups of two or more, a row each, under the smallest. A member that dismissed pairs (a, b) set apart from all others of its group is none of it.
+
+    camp stands for dismissals by kind, without their pairs: every two keys of a group with different camps were dismissed, a key without one never.
+    """
     out = df.select(*by, key).distinct()
+    if camp is not None:
+        held = df.select(*by, key, camp.alias("camp_")).distinct()
+        of = held.groupBy(*by, "camp_").agg(F.count(F.lit(1)).alias("c_"))
+        all_ = of.groupBy(*by).agg(F.sum("c_").alias("n_"), F.sum(F.when(F.col("camp_").isNotNull(), F.col("c_"))).alias("k_"))
+        apart = of.join(all_, list(by)).where((F.col("n_") > 1) & (F.col("k_") - F.col("c_") == F.col("n_") - 1) & F.col("camp_").isNotNull()).select(*by, "camp_")
+        out = held.join(apart, [*by, "camp_"], "left_anti").select(*by, key)
     size = lambda d: d.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min(key).alias("first")).where("n > 1")
     groups = size(out)
     met = out.join(groups, list(by))
