@@ -124,17 +124,29 @@ def overlap(df: DataFrame, entity: str, key: str, least: int = 1) -> DataFrame:
     return met.select("a", "b", "shared", (F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))).alias("jaccard"))
 
 
+#: Words of 64 bits that stand for a group's members in contained_in().
+MASKS = 2
+
+
 def contained_in(sets: DataFrame, group: str, member: str) -> DataFrame:
     """(small, big): groups all of whose members another group has, equal ones both ways.
 
-    A group meets only the holders of its rarest member, and of these only those that have as many members or more; then
-    the members that both have are counted, by joins on group and member, so no set is carried whole.
+    A group meets only the holders of its rarest member, and of these only those that have as many members or more and, in
+    a mask of fixed size, every bit of its members; then the members that both have are counted, by joins on group and
+    member, so no set is carried whole.
     """
-    d = sets.select(F.col(group).alias("g_"), F.col(member).alias("m_")).where("g_ is not null and m_ is not null").distinct()
-    held = d.groupBy("m_").agg(F.count(F.lit(1)).alias("c_"))
-    rarest = d.join(held, "m_").groupBy("g_").agg(F.min_by("m_", F.struct("c_", "m_")).alias("m_"), F.count(F.lit(1)).alias("n_"))
-    size = rarest.select(F.col("g_").alias("b_"), F.col("n_").alias("of_"))
-    pairs = rarest.join(d.select(F.col("g_").alias("b_"), "m_"), "m_").where("g_ <> b_").join(size, "b_").where("n_ <= of_").select("g_", "b_", "n_")
+    # Dealt by group, so that members are told apart, counted and masked without another shuffle.
+    d = sets.select(F.col(group).alias("g_"), F.col(member).alias("m_")).where("g_ is not null and m_ is not null").repartition("g_").distinct()
+    bit = F.pmod(F.xxhash64("m_"), F.lit(64 * MASKS)).cast("int")
+    masks = [F.bit_or(F.when(F.floor(bit / 64) == i, F.call_function("shiftleft", F.lit(1).cast("long"), bit % 64)).otherwise(F.lit(0).cast("long"))).alias(f"s{i}_") for i in range(MASKS)]
+    size = d.groupBy("g_").agg(F.count(F.lit(1)).alias("n_"), *masks)
+    often = d.groupBy("m_").agg(F.count(F.lit(1)).alias("c_"))
+    rarest = d.join(often, "m_").groupBy("g_").agg(F.min_by("m_", F.struct("c_", "m_")).alias("m_")).join(size, "g_")
+    of = d.join(size, "g_").select(F.col("g_").alias("b_"), "m_", F.col("n_").alias("of_n_"), *[F.col(f"s{i}_").alias(f"of_s{i}_") for i in range(MASKS)])
+    within = F.col("n_") <= F.col("of_n_")
+    for i in range(MASKS):
+        within = within & (F.col(f"s{i}_").bitwiseAND(F.col(f"of_s{i}_")) == F.col(f"s{i}_"))
+    pairs = rarest.join(of, "m_").where((F.col("g_") != F.col("b_")) & within).select("g_", "b_", "n_")
     met = pairs.where("n_ > 1").join(d, "g_").join(d.select(F.col("g_").alias("b_"), "m_"), ["b_", "m_"]).groupBy("g_", "b_", "n_").agg(F.count(F.lit(1)).alias("k_")).where("k_ = n_")
     return pairs.where("n_ = 1").select("g_", "b_").unionByName(met.select("g_", "b_")).select(F.col("g_").alias("small"), F.col("b_").alias("big"))
 
